@@ -52,3 +52,30 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and ok as kept
 from s join ok using (rid)
 """
+
+MIXING = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    md5('mix' || coalesce(doc_id::varchar, '')) as key, coalesce(doc_id, -9223372036854775808) as id from documents),
+s0 as (select source, sum(size)::bigint as source_size from d group by source),
+s1 as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from s0),
+s2 as (select *, 3 * source_size as cap, (3 * source_size)::double / weight as level from s1),
+s3 as (
+  select *, coalesce(sum(cap) over before, 0)::bigint as capped, coalesce(sum(weight) over before, 0)::bigint as gone,
+    (sum(source_size) over ())::bigint as budget, (sum(weight) over ())::bigint as weights
+  from s2 window before as (order by level, source nulls last rows between unbounded preceding and 1 preceding)),
+s4 as (select *, (budget - capped)::double / (weights - gone) as w, row_number() over (order by level, source nulls last) as pos from s3),
+s5 as (select *, (select arg_min(w, pos) from s4 where w <= level) as water from s4),
+t as (select source, source_size, budget, case when level <= coalesce(water, level) then cap::double else weight * water end as target from s5),
+q as (
+  select d.*, t.source_size, t.target, t.budget, (sum(size) over (partition by d.source order by key, id, size))::bigint as cum
+  from d join t on d.source is not distinct from t.source where size > 0),
+c as (select *, unnest([0, 1, 2]) as epoch from q),
+v as (select *, (epoch * source_size + cum)::double / target as vft from c),
+m as (select *, sum(size) over (order by vft, key, id, size, epoch) as total from v),
+n as (select source, key, id, size, epoch, count(*) as k from m where total <= budget group by all),
+k as (select source, key, id, size, count(*) as copies from n group by all)
+select d.doc_id, d.size, t.source_size, t.target, (d.size * coalesce(k.copies, 0))::bigint as taken
+from d join t on d.source is not distinct from t.source
+left join k on d.source is not distinct from k.source and d.key = k.key and d.id = k.id and d.size = k.size
+"""
