@@ -62,8 +62,8 @@ def features(text: bytes) -> list[float]:
     sizes = np.fromiter(map(len, words), np.int64, n)
     letters = counts[65:91].sum() + counts[97:123].sum() + counts[192:].sum()
     return [
-        np.log1p(n) / 10, min(chars / n / 20, 1), symbols / chars, dup / lines, repeats / n,
-        counts[65:91].sum() / max(letters, 1), counts[48:58].sum() / chars, counts[33] / n, counts[SENTENCE_ENDS].sum() / n,
-        counts[PUNCTUATION].sum() / n, counts[124] / n, counts[192:].sum() / chars, lines / n, len(set(words)) / n,
+        np.log1p(n) / 10, min(chars / n / 20, 1), symbols / max(chars, 1), dup / max(lines, 1), repeats / n,
+        counts[65:91].sum() / max(letters, 1), counts[48:58].sum() / max(chars, 1), counts[33] / n, counts[SENTENCE_ENDS].sum() / n,
+        counts[PUNCTUATION].sum() / n, counts[124] / n, counts[192:].sum() / max(chars, 1), lines / n, len(set(words)) / n,
         float((sizes > 14).mean()), float((sizes < 4).mean()), float(-(seen * np.log2(seen)).sum()) / 8, sum(map(bytes.istitle, words)) / n,
     ]
