@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, mixing, oracle, packing, quality, quality_rules, simhash, token_counts
+from . import knn, mixing, oracle, packing, quality, quality_rules, simhash, token_counts, warc
 from .common import read
 
 
@@ -30,6 +30,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op9_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(read(spark, sf_dir, "embeddings"))
 
@@ -38,5 +42,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_mixing, op5_quality_rules, op6_packing, op9_knn, op10_token_counts)}
-ORACLES: dict[str, str] = {"op3_mixing": oracle.MIXING, "op9_knn": oracle.KNN, "op5_quality_rules": oracle.QUALITY_RULES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_mixing, op5_quality_rules, op6_packing, op8_warc, op9_knn, op10_token_counts)}
+ORACLES: dict[str, str] = {"op3_mixing": oracle.MIXING, "op8_warc": oracle.WARC, "op9_knn": oracle.KNN, "op5_quality_rules": oracle.QUALITY_RULES}

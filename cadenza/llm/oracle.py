@@ -90,3 +90,12 @@ s as (
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
+
+WARC = r"""
+with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as n, sha256(coalesce(html, '')) as digest from pages),
+f as (select *, case when n >= 100 then min(page_id) over (partition by digest) end as first from p)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from f
+"""
