@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, mixing, oracle, packing, quality, quality_rules, simhash, token_counts, warc
+from . import knn, mixing, oracle, packing, quality, quality_rules, simhash, token_counts, urls, warc
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(read(spark, sf_dir, "documents"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_mixing, op5_quality_rules, op6_packing, op8_warc, op9_knn, op10_token_counts)}
-ORACLES: dict[str, str] = {"op3_mixing": oracle.MIXING, "op8_warc": oracle.WARC, "op9_knn": oracle.KNN, "op5_quality_rules": oracle.QUALITY_RULES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_mixing, op4_urls, op5_quality_rules, op6_packing, op8_warc, op9_knn, op10_token_counts)}
+ORACLES: dict[str, str] = {"op3_mixing": oracle.MIXING, "op4_urls": oracle.URLS, "op8_warc": oracle.WARC, "op9_knn": oracle.KNN, "op5_quality_rules": oracle.QUALITY_RULES}

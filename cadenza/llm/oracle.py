@@ -99,3 +99,58 @@ select page_id, n as payload_bytes, digest as payload_digest,
   case when page_id is distinct from first then first end as refers_to
 from f
 """
+
+URLS = r"""
+with u as (
+  select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from u),
+p as (
+  select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h),
+x as (
+  select *, regexp_replace(path, '[0-9]+', '{n}', 'g') as shape, case
+    when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/7') then 'example.com/en/7'
+    when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/de/8') then 'example.net/de/8'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/en/') then 'com/en/'
+    when (host = 'net' or host like '%.net') and starts_with(path, '/de/') then 'net/de/'
+    when (host = 'org' or host like '%.org') and starts_with(path, '/es/') then 'org/es/' end as rule from p),
+y as (select *, case when rule in ('example.com/en/7', 'net/de/') then 'allow' when rule is not null then 'block' end as ruled from x),
+a0 as (
+  select host, shape, count(*) as n, count(ruled) as labels, count(*) filter (ruled = 'block') as blocked, '' as template, '' as parent,
+    string_split(shape, '/')[2] as s1, string_split(shape, '/')[3] as s2, string_split(shape, '/')[4] as s3,
+    len(string_split(shape, '/')) > 4 as deeper from y group by host, shape),
+c1 as (select host, template, s1 as s, sum(n) as own from a0 where s1 is not null group by host, template, s1),
+w1 as (select host, template, sum(own) as total from c1 group by host, template having count(*) > 20),
+r1 as (select c1.* from c1 join w1 using (host, template) where own * 20 < total),
+a1 as (
+  select a.* exclude (template, parent), case when a.s1 is null then a.parent else a.template end as parent,
+    case when a.s1 is null then a.template else a.template || '/' || case when r.s is null then a.s1 else '*' end end as template
+  from a0 a left join r1 r on a.host = r.host and a.template = r.template and a.s1 = r.s),
+c2 as (select host, template, s2 as s, sum(n) as own from a1 where s2 is not null group by host, template, s2),
+w2 as (select host, template, sum(own) as total from c2 group by host, template having count(*) > 20),
+r2 as (select c2.* from c2 join w2 using (host, template) where own * 20 < total),
+a2 as (
+  select a.* exclude (template, parent), case when a.s2 is null then a.parent else a.template end as parent,
+    case when a.s2 is null then a.template else a.template || '/' || case when r.s is null then a.s2 else '*' end end as template
+  from a1 a left join r2 r on a.host = r.host and a.template = r.template and a.s2 = r.s),
+c3 as (select host, template, s3 as s, sum(n) as own from a2 where s3 is not null group by host, template, s3),
+w3 as (select host, template, sum(own) as total from c3 group by host, template having count(*) > 20),
+r3 as (select c3.* from c3 join w3 using (host, template) where own * 20 < total),
+a3 as (
+  select a.* exclude (template, parent), case when a.s3 is null then a.parent else a.template end as parent,
+    case when a.s3 is null then a.template else a.template || '/' || case when r.s is null then a.s3 else '*' end end as template
+  from a2 a left join r3 r on a.host = r.host and a.template = r.template and a.s3 = r.s),
+t as (select host, parent, shape, template || case when deeper then '/**' else '' end as template, labels, blocked from a3),
+l as (select host, parent, template, sum(labels)::bigint as labels, sum(blocked)::bigint as blocked from t group by host, parent, template),
+g as (select coalesce(sum(blocked)::double / nullif(sum(labels), 0), 0.0) as share from l),
+q as (
+  select host, (sum(blocked)::double + 4 * (select share from g)) / (sum(labels) + 4) as prior from l group by host),
+b as (
+  select l.*, prior, least(floor((blocked + 4 * prior) / (labels + 4) * 5), 4)::int as band from l join q using (host)),
+m as (
+  select host, parent, band from b group by host, parent, band
+  having sum(labels) >= 10 and (sum(blocked)::double + 4 * max(prior)) / (sum(labels) + 4) >= 0.5),
+bad as (select distinct t.host, t.shape from t join b using (host, parent, template) join m using (host, parent, band))
+select page_id, y.host, path, rule, coalesce(ruled, case when bad.host is not null and y.host <> '' then 'block' else 'allow' end) as verdict
+from y left join bad on y.host = bad.host and y.shape = bad.shape
+"""
