@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, mixing, oracle, packing, quality, quality_rules, simhash, token_counts, urls, warc
+from . import knn, mixing, oracle, packing, quality, quality_rules, simhash, token_counts, toxicity, urls, warc
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
@@ -46,5 +50,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_mixing, op4_urls, op5_quality_rules, op6_packing, op8_warc, op9_knn, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_mixing, op4_urls, op5_quality_rules, op6_packing, op7_toxicity, op8_warc, op9_knn, op10_token_counts)}
 ORACLES: dict[str, str] = {"op3_mixing": oracle.MIXING, "op4_urls": oracle.URLS, "op8_warc": oracle.WARC, "op9_knn": oracle.KNN, "op5_quality_rules": oracle.QUALITY_RULES}
