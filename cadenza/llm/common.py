@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A word: a run of anything but ASCII white space (Java, DuckDB and Python agree on it).
@@ -62,22 +64,29 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """`docs` as one struct column _doc, so that no name of theirs meets one of ours; `select("_doc.*")` undoes it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+
+
 def append_columns(
     df: DataFrame, name: str, fields: list[tuple[str, T.DataType]], compute: Callable[[list[bytes]], dict[str, pa.Array]]
 ) -> DataFrame:
     """`df` with the columns `fields` that `compute` makes from the texts of column `name`, batch by batch.
 
-    Other columns pass through as they are; `fields` must not clash with them.
+    `name` may be a field of a struct, as in _doc.text. Other columns pass through as they are; `fields` must not
+    clash with them.
     """
     clash = {f for f, _ in fields} & set(df.columns)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     schema = T.StructType([*df.schema.fields, *(T.StructField(f, t) for f, t in fields)])
-    names = [f for f, _ in fields]
+    names, path = [f for f, _ in fields], name.split(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = compute(texts(batch.column(batch.schema.get_field_index(name))))
+            column = batch.column(batch.schema.get_field_index(path[0]))
+            made = compute(texts(pc.struct_field(column, path[1:]) if path[1:] else column))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(made[f] for f in names)], [*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)

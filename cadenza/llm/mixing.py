@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, packed
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -34,11 +34,12 @@ BROADCAST_ROWS = 20_000
 SEED = "mix"
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    """`docs` with _size and _place, the place in the shuffled order."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+def _sized(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """`docs` with _size and _place, the place in the shuffled order; prefix: of a struct that holds text and doc_id."""
+    doc_id = F.col(f"{prefix}doc_id")
+    size = F.coalesce(F.regexp_count(f"{prefix}text", F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.md5(F.concat(F.lit(SEED), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    id_ = F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
     return docs.withColumn("_size", size).withColumn("_place", F.struct(key.alias("key"), id_.alias("id"), F.col("_size").alias("size")))
 
 
@@ -62,11 +63,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def _beside(rows: DataFrame, sources: DataFrame, columns: list[str]) -> DataFrame:
+def _beside(rows: DataFrame, sources: DataFrame, columns: list[str], source: str = "source") -> DataFrame:
     """`rows` with columns of their source's row. `sources` is checkpointed, so its count is cheap."""
     small = sources.select(F.col("source").alias("_source"), *columns)
     small = F.broadcast(small) if sources.count() <= BROADCAST_ROWS else small
-    return rows.join(small, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return rows.join(small, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def _running(rows: DataFrame) -> DataFrame:
@@ -150,5 +151,5 @@ def shares(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix, as often as it takes them, with their columns as they were."""
     rows = checkpoint(_sized(docs.select("doc_id", "source", "text")).select("source", "_size", "_place"))
-    beside = _beside(_sized(docs), last_copies(rows), ["last"])
-    return beside.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies()))).select(*docs.columns)
+    beside = _beside(_sized(packed(docs), "_doc."), last_copies(rows), ["last"], "_doc.source")
+    return beside.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies()))).select("_doc.*")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, checkpoint
+from .common import append_columns, checkpoint, packed
 from .textstats import FEATURES, features
 
 DIMENSIONS = 128
@@ -51,13 +51,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def featurise(docs: DataFrame) -> DataFrame:
+def featurise(docs: DataFrame, name: str = "text") -> DataFrame:
     """`docs` and `_x`, the FEATURES of each text."""
 
     def compute(texts: list[bytes]) -> dict[str, pa.Array]:
         return {"_x": _lists(np.array([features(t) for t in texts], np.float32).reshape(-1, len(FEATURES)))}
 
-    return append_columns(docs, "text", [("_x", T.ArrayType(T.FloatType()))], compute)
+    return append_columns(docs, name, [("_x", T.ArrayType(T.FloatType()))], compute)
 
 
 @dataclass(frozen=True)
@@ -189,4 +189,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     x = featurise(docs.select("doc_id", "text")).drop("text")
     model = fit(checkpoint(training_rows(x, labels, "quality")))
-    return _scored(featurise(docs), model).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    return _scored(featurise(packed(docs), "_doc.text"), model).where(F.col("_score") >= THRESHOLD).select("_doc.*")

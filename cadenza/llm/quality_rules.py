@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import append_columns, checkpoint
+from .common import append_columns, checkpoint, packed
 from .textstats import SENTENCE_ENDS, base_stats, byte_counts
 
 MIN_WORDS = 50
@@ -43,9 +43,9 @@ def _counted(texts: list[bytes]) -> dict[str, pa.Array]:
     return {"_stats": pa.StructArray.from_arrays([pa.array(c) for c in columns], list(_COUNTS))}
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
+def with_stats(docs: DataFrame, name: str = "text") -> DataFrame:
     """`docs` and a struct column `_stats` of whole-text counts."""
-    return append_columns(docs, "text", [("_stats", _STATS)], _counted)
+    return append_columns(docs, name, [("_stats", _STATS)], _counted)
 
 
 def _statistics(s: Column) -> dict[str, Column]:
@@ -89,11 +89,11 @@ def fences(sketch: DataFrame) -> DataFrame:
     return used.groupBy("lang", "source").agg(*(F.max(F.when(F.col("stat") == k, F.col("fence"))).alias(f"fence_{k}") for k in SLACK))
 
 
-def _verdict(stats: DataFrame, limits: DataFrame) -> DataFrame:
-    """`stats` with base_failed and kept."""
+def _verdict(stats: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """`stats` with _failed and _kept."""
     s = F.col("_stats")
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = stats.join(limits, stats["lang"].eqNullSafe(limits["_lang"]) & stats["source"].eqNullSafe(limits["_source"]), "left")
+    joined = stats.join(limits, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
     inside = F.lit(True)
     for k, v in _statistics(s).items():
@@ -114,4 +114,4 @@ def keep_clean(docs: DataFrame) -> DataFrame:
     Counts are made twice (for the sketches and for the filter): that costs less than moving the texts.
     """
     limits = checkpoint(fences(sketches(with_stats(docs.select("lang", "source", "text")))))
-    return _verdict(with_stats(docs), limits).where("_kept").select(*docs.columns)
+    return _verdict(with_stats(packed(docs), "_doc.text"), limits, "_doc.lang", "_doc.source").where("_kept").select("_doc.*")
