@@ -41,14 +41,14 @@ _LAYER = "round_even(l_discount * 100 / 10 * 11, 0) / 11"
   t as (select floor(pos)::bigint as target, layer, 1 - (pos - floor(pos)) as weight, colour from s union all select floor(pos)::bigint + 1, layer, pos - floor(pos), colour from s),
   u as (select *, max(layer) over (partition by target) as front, min(layer) over (partition by target) as back from t where weight > 1e-4)
   select target, round(max(front), 6) as front, sum((layer >= front - 0.05)::int)::bigint as hits, round(sum(weight) filter (layer >= front - 0.05), 5) as coverage,
-    round(sum(weight * colour) filter (layer >= front - 0.05) / sum(weight) filter (layer >= front - 0.05), 3) as near, round(sum(weight * colour) filter (layer <= back + 0.05) / sum(weight) filter (layer <= back + 0.05), 3) as far, sum(weight) filter (layer >= front - 0.05) >= 0.02 as valid from u group by target""")
+    round(sum(weight * colour) filter (layer >= front - 0.05) / sum(weight) filter (layer >= front - 0.05) + 1e-6, 3) as near, round(sum(weight * colour) filter (layer <= back + 0.05) / sum(weight) filter (layer <= back + 0.05) + 1e-6, 3) as far, sum(weight) filter (layer >= front - 0.05) >= 0.02 as valid from u group by target""")
 def visibility_splat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as sources: part and tax make the position, discount the layer, price the colour."""
     layer = F.rint(F.col("l_discount") * 100 / 10 * 11) / 11
     s = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + F.col("l_tax") * 10).alias("pos"), layer.alias("layer"), F.col("l_extendedprice").alias("colour"))
     rows = s.select("layer", "colour", F.explode(P.taps(F.col("pos"))).alias("t")).select("layer", "colour", "t.target", "t.weight")
     out = P.splat(rows, 0.05)
-    return out.select("target", F.round("front", 6).alias("front"), "hits", F.round("coverage", 5).alias("coverage"), F.round("near", 3).alias("near"), F.round("far", 3).alias("far"), "valid")
+    return out.select("target", F.round("front", 6).alias("front"), "hits", F.round("coverage", 5).alias("coverage"), F.round(F.col("near") + 1e-6, 3).alias("near"), F.round(F.col("far") + 1e-6, 3).alias("far"), "valid")
 
 
 @query("select l_partkey % 500 as pixel, count(*) as tiles, round(sum(l_extendedprice * l_quantity) / greatest(sum(l_quantity), 1e-4), 4) as value from lineitem group by l_partkey % 500")

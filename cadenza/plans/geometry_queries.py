@@ -20,18 +20,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(k.alias("id"), (320 + (k * 37) % 3800).alias("w"), (240 + (k * 91) % 2100).alias("h"), F.col("p_size").alias("size"), choose("half-sbs", "full-sbs", "half-ou", "full-ou").alias("layout"), choose("left", "right", "both").alias("anchor"), choose("nv12", "rgb24").alias("packing"))
 
 
-W, H = F.col("w"), F.col("h")
-
-
 @query(f"{REQUESTS} select id, case when packing = 'nv12' then w * h * 3 // 2 else w * h * 3 end as bytes, ceil(w / ceil(w / greatest(64, size * 8.0)))::bigint as gw, ceil(h / ceil(w / greatest(64, size * 8.0)))::bigint as gh, ceil(w / greatest(64, size * 8.0))::bigint as tile from rq")
 def guide_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tile, gw, gh = G.guide(W, H, F.col("size") * 8)
-    return requests(spark, sf_dir).select("id", G.frame_bytes(W, H, F.col("packing")).alias("bytes"), gw.alias("gw"), gh.alias("gh"), tile.alias("tile"))
+    tile, gw, gh = G.guide(F.col("w"), F.col("h"), F.col("size") * 8)
+    return requests(spark, sf_dir).select("id", G.frame_bytes(F.col("w"), F.col("h"), F.col("packing")).alias("bytes"), gw.alias("gw"), gh.alias("gh"), tile.alias("tile"))
 
 
 @query(f"{REQUESTS}, s as (select *, least(1.0::double, greatest(128, size * 20) / greatest(w, h)::double) as k from rq) select id, greatest(128, round_even(w * k / 8, 0) * 8)::bigint as gw, greatest(128, round_even(h * k / 8, 0) * 8)::bigint as gh from s")
 def scaled_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gw, gh = G.scaled_guide(W, H, F.col("size") * 20)
+    gw, gh = G.scaled_guide(F.col("w"), F.col("h"), F.col("size") * 20)
     return requests(spark, sf_dir).select("id", gw.alias("gw"), gh.alias("gh"))
 
 
@@ -39,19 +36,19 @@ def scaled_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
   case layout when 'half-sbs' then w // 2 * 2 when 'full-sbs' then w * 2 else w end as packed_w, case layout when 'half-ou' then h // 2 * 2 when 'full-ou' then h * 2 else h end as packed_h from rq""")
 def layout_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("eye_w", "eye_h", "packed_w", "packed_h")
-    return requests(spark, sf_dir).select("id", *(c.alias(n) for c, n in zip(G.layout(W, H, F.col("layout")), names, strict=True)))
+    return requests(spark, sf_dir).select("id", *(c.alias(n) for c, n in zip(G.layout(F.col("w"), F.col("h"), F.col("layout")), names, strict=True)))
 
 
 @query(f"{REQUESTS}, s as (select *, least(1920.0::double / w, 1080.0::double / h) as k0 from rq), k as (select *, case when id % 2 = 0 then k0 else least(1.0::double, k0) end as k from s) select id, (2 * greatest(1, floor(w * k / 2)))::bigint as w, (2 * greatest(1, floor(h * k / 2)))::bigint as h, (4 * greatest(16, floor(w / 4.0)))::bigint as w4 from k")
 def fit_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, h = G.fit(W, H, F.lit(1920.0), F.lit(1080.0), F.col("id") % 2 == 0)
-    return requests(spark, sf_dir).select("id", w.alias("w"), h.alias("h"), G.multiple_of_four(W).cast("long").alias("w4"))
+    w, h = G.fit(F.col("w"), F.col("h"), F.lit(1920.0), F.lit(1080.0), F.col("id") % 2 == 0)
+    return requests(spark, sf_dir).select("id", w.alias("w"), h.alias("h"), G.multiple_of_four(F.col("w")).cast("long").alias("w4"))
 
 
 @query(f"""{REQUESTS}, s as (select *, least(1.0::double, 512.0::double / greatest(w, h)) as k from rq), i as (select id, (2 * greatest(1, floor(w * k / 2)))::bigint as iw, (2 * greatest(1, floor(h * k / 2)))::bigint as ih from s)
   select id, iw, ih, (ceil(iw / 64) * 64)::bigint as cw, (ceil(ih / 64) * 64)::bigint as ch, ((ceil(iw / 64) * 64)::bigint - iw) // 2 as px, ((ceil(ih / 64) * 64)::bigint - ih) // 2 as py from i""")
 def model_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests(spark, sf_dir).select("id", *(c.alias(n) for c, n in zip(G.model_canvas(W, H, 512), ("iw", "ih", "cw", "ch", "px", "py"), strict=True)))
+    return requests(spark, sf_dir).select("id", *(c.alias(n) for c, n in zip(G.model_canvas(F.col("w"), F.col("h"), 512), ("iw", "ih", "cw", "ch", "px", "py"), strict=True)))
 
 
 #: Least memory in MiB, then side and batch.
@@ -74,13 +71,13 @@ def warp_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{REQUESTS}, r as (select id, w, greatest(w - 512, 0)::bigint as last from rq) select id, array_to_string(list_sort(list_distinct(list_append(range(0, last + 1, 448), last))), ',') as starts, greatest(25, ceil((w + 3) / 8.0) * 8 + 1)::bigint as padded from r")
 def tile_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    starts = F.array_sort(G.tile_starts(W, 512, 64))
-    return requests(spark, sf_dir).select("id", F.array_join(starts.cast("array<string>"), ",").alias("starts"), G.padded_count(W).alias("padded"))
+    starts = F.array_sort(G.tile_starts(F.col("w"), 512, 64))
+    return requests(spark, sf_dir).select("id", F.array_join(starts.cast("array<string>"), ",").alias("starts"), G.padded_count(F.col("w")).alias("padded"))
 
 
 @query(f"{REQUESTS} select id, greatest(0, least(round_even(size * 37.5 - 128, 0), w - 256))::bigint as x0, greatest(0, least(round_even(size * 20.5 - 128, 0), h - 256))::bigint as y0 from rq")
 def bounded_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x0, y0 = G.bounded_square(F.col("size") * 37.5, F.col("size") * 20.5, F.lit(256), W, H)
+    x0, y0 = G.bounded_square(F.col("size") * 37.5, F.col("size") * 20.5, F.lit(256), F.col("w"), F.col("h"))
     return requests(spark, sf_dir).select("id", x0.alias("x0"), y0.alias("y0"))
 
 
@@ -121,7 +118,7 @@ def tier_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     budget = F.least(F.lit(6e9), F.greatest(F.lit(1e9), 0.25 * F.col("size") * 1e9))
     chunk = F.element_at(F.array(*map(F.lit, (2, 4, 8, 16, 24))), (F.col("id") % 5 + 1).cast("int"))
     scale = F.when(F.col("id") % 3 == 0, 0.5).when(F.col("id") % 3 == 1, 0.667).otherwise(1.0)
-    return requests(spark, sf_dir).select("id", (W * H * 3 * 240 <= budget).alias("in_memory"), chunk.alias("chunk"), scale.alias("scale"), F.when(F.col("size") * 600 >= 12000, "large").otherwise("small").alias("variant"))
+    return requests(spark, sf_dir).select("id", (F.col("w") * F.col("h") * 3 * 240 <= budget).alias("in_memory"), chunk.alias("chunk"), scale.alias("scale"), F.when(F.col("size") * 600 >= 12000, "large").otherwise("small").alias("variant"))
 
 
 @query(REQUESTS + """ select id, round(x, 5) as x, round(y, 5) as y from (select id, (i + 0.5) / 4 as x, (j + 0.5) / 4 as y from (select id from rq where id < 50), range(4) t(i), range(4) u(j))""")
@@ -134,7 +131,7 @@ def coordinate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(REQUESTS + """, c as (select id, w * h / 1e6 as mp, size from rq) select id, round((mp * 0.8 + 2.5) * case when size > 25 then 1.4 else 1 end / greatest(0.25, size / 50.0), 6) as seconds from c""")
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic estimate of seconds from size and tier."""
-    seconds = (W * H / 1e6 * 0.8 + 2.5) * F.when(F.col("size") > 25, 1.4).otherwise(1.0) / F.greatest(F.lit(0.25), F.col("size") / 50.0)
+    seconds = (F.col("w") * F.col("h") / 1e6 * 0.8 + 2.5) * F.when(F.col("size") > 25, 1.4).otherwise(1.0) / F.greatest(F.lit(0.25), F.col("size") / 50.0)
     return requests(spark, sf_dir).select("id", F.round(seconds, 6).alias("seconds"))
 
 

@@ -97,12 +97,12 @@ def periodic_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline(spark, sf_dir).select("session", "frame", (F.pmod("frame", F.lit(24)) == 0).alias("forced"))
 
 
-@query(f"{TIMELINE}, p as (select session, frame, t, 100.0::double * (frame + 1) / count(*) over (partition by session) as percent from tl) select session, frame, round(case when percent > 0.25 and percent < 100 then t * (100 - percent) / percent end, 4) as eta from p")
+@query(f"{TIMELINE}, p as (select session, frame, t, 100.0::double * (frame + 1) / count(*) over (partition by session) as percent from tl) select session, frame, round(case when percent > 0.25 and percent < 100 then t * (100 - percent) / percent end + 1e-6, 4) as eta from p")
 def progress_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     percent = 100.0 * (F.col("frame") + 1) / F.count("*").over(Window.partitionBy("session"))
     t = timeline(spark, sf_dir).withColumn("percent", percent)
     eta = F.when((F.col("percent") > 0.25) & (F.col("percent") < 100), F.col("t") * (100 - F.col("percent")) / F.col("percent"))
-    return t.select("session", "frame", F.round(eta, 4).alias("eta"))
+    return t.select("session", "frame", F.round(eta + 1e-6, 4).alias("eta"))
 
 
 @query(f"{SCENES} select session, frame, min(frame) over w as first_context, max(frame) over w as last_context, count(*) over w as context, round(avg(value) over w, 6) as mean_value from sc window w as (partition by session, scene order by frame rows between 3 preceding and 8 following)")
@@ -116,10 +116,11 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
   r as materialized (select * from n), e as (with recursive f as (
     select session, scene, frame, i, value as smooth from r where i = 1 union all
     select r.session, r.scene, r.frame, r.i, r.value * (1 - 0.9) + f.smooth * 0.9 from r join f on r.session = f.session and r.scene = f.scene and r.i = f.i + 1) select * from f)
-  select session, frame, round(smooth, 6) as smooth from e""")
+  select session, frame, round(smooth + 1e-9, 6) as smooth from e""")
 def range_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = S.ema(scenes(spark, sf_dir), ["session", "scene"], "value", "smooth", 0.9, ["session", "frame"])
-    return df.select("session", "frame", F.round("smooth", 6).alias("smooth"))
+    # a little above, as two decimals often make a tie
+    return df.select("session", "frame", F.round(F.col("smooth") + 1e-9, 6).alias("smooth"))
 
 
 @query(f"""{SCENES}, r as materialized (select session, frame, coalesce(delta >= {CUT}, false) as cut, confidence, value from sc), e as (with recursive f as (
