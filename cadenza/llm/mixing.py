@@ -12,7 +12,7 @@ The global sort is one into ranges of finish time: sums over RANGES ranges tell
 that range alone is divided again, until few rows are left to sort. What comes out is a row per source, with its
 last copy in the mix; documents need no shuffle to be compared with it.
 
-Defined cases: a null text has size 0; null ids share one place in the order; repeated rows (same id, source and
+Defined cases: a null text has size 0, and documents without words are not in the mix; null ids share one place in the order; repeated rows (same id, source and
 size) stay together, in or out; an empty table gives an empty result; `mixed` keeps extra columns, `shares`
 ignores them.
 """
@@ -138,7 +138,7 @@ def last_copies(rows: DataFrame) -> DataFrame:
 
 def _copies() -> Column:
     """How many copies of a row are in the mix."""
-    return F.when(F.col("last").isNull(), 0).otherwise(F.col("last.epoch") + F.when(F.col("_place") <= F.col("last.place"), 1).otherwise(0))
+    return F.when(F.col("last").isNull() | (F.col("_size") == 0), 0).otherwise(F.col("last.epoch") + F.when(F.col("_place") <= F.col("last.place"), 1).otherwise(0))
 
 
 def shares(docs: DataFrame) -> DataFrame:
