@@ -98,8 +98,8 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, kind: str, options: dict):
-        self.kind, self.path = kind, options["path"]
+    def __init__(self, kind: str, schema, options: dict):
+        self.kind, self.schema, self.path = kind, schema, options["path"]
 
     def partitions(self) -> list[_File]:
         from pyarrow import fs
@@ -112,12 +112,11 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
         if partition.path is None:
             return
         system, _ = fs.FileSystem.from_uri(self.path)
-        schema = to_arrow_schema(StructType.fromDDL(SCHEMAS[self.kind]))
+        schema = to_arrow_schema(self.schema)
         rows, held = [], 0
         with system.open_input_file(partition.path) as file:
             for row in READERS[self.kind][0](partition.path, file, partition.size):
@@ -192,7 +191,7 @@ class _Sidecar(DataSource):
         return SCHEMAS[self.kind]
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.kind, self.options)
+        return _Reader(self.kind, schema, self.options)
 
 
 class VrdDataSource(_Sidecar):
