@@ -22,8 +22,8 @@ s as (
 v as (
   select rid, unnest([
     {'stat': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1), 'slack': 30},
-    {'stat': 'dups', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'slack': 350},
-    {'stat': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'slack': 350},
+    {'stat': 'dups', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'slack': 400},
+    {'stat': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'slack': 450},
     {'stat': 'upper', 'v': 1000 * n_upper // greatest(word_chars, 1), 'slack': 200},
     {'stat': 'marks', 'v': 1000 * n_marks // greatest(n_words, 1), 'slack': 600},
     {'stat': 'word_len', 'v': 100 * word_chars // greatest(n_words, 1), 'slack': 400}], recursive := true) from s),

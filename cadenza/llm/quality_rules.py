@@ -27,7 +27,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 50
 #: statistic: least distance of its fence from the upper quartile. The fence is q75 + max(slack, SPREAD * (q75 - q25)).
-SLACK = {"symbols": 30, "dups": 350, "repeats": 350, "upper": 200, "marks": 600, "word_len": 400}
+SLACK = {"symbols": 30, "dups": 400, "repeats": 450, "upper": 200, "marks": 600, "word_len": 400}
 SPREAD = 6
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_marks")
