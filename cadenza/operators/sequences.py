@@ -6,13 +6,14 @@ runs as one task per session or scene, over Arrow batches, with a few scalars of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window, WindowSpec
 
 
@@ -62,32 +63,36 @@ def runs(df: DataFrame, keys: list[str], along: str) -> DataFrame:
 def fold(df: DataFrame, keys: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, dict]], fields: str, columns: list[str], order: str = "frame") -> DataFrame:
     """The rows with new columns that a sequential rule makes: `step` takes the state and a row, and gives both anew.
 
-    The state is a few scalars. A session's rows are one group, so sessions should be bounded (as scenes are).
+    Rows are dealt by key and sorted within partitions, and stream by in Arrow batches; the state is a few scalars, so
+    a session may be of any length. One session is one task's.
     """
     added = T.StructType.fromDDL(fields)
-    schema = T.StructType([*(df.schema[c] for c in columns), *added.fields])
+    schema, types = T.StructType([*(df.schema[c] for c in columns), *added.fields]), to_arrow_schema(added)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        state, out = start(), []
-        for row in rows.to_dict("records"):
-            state, made = step(state, row)
-            out.append(made)
-        new = pd.DataFrame(out, columns=added.names, index=rows.index)
-        return pd.concat([rows[columns], new], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if own != key:
+                    key, state = own, start()
+                state, new = step(state, row)
+                made.append(new)
+            new_columns = [pa.array([m[f.name] for m in made], f.type) for f in types]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), *new_columns], schema.names)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 def ema(df: DataFrame, keys: list[str], value: str, name: str, smoothing: float, columns: list[str]) -> DataFrame:
     """Exponential mean: the first value, then value * (1 - smoothing) + previous * smoothing."""
-    schema = T.StructType([*(df.schema[c] for c in columns), T.StructField(name, T.DoubleType())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame")
-        return rows[columns].assign(**{name: rows[value].ewm(alpha=1 - smoothing, adjust=False).mean()})
+    def step(last: float | None, row: dict) -> tuple[float, dict]:
+        now = row[value] if last is None else row[value] * (1 - smoothing) + last * smoothing
+        return now, {name: now}
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return fold(df, keys, lambda: None, step, f"{name} double", columns)
 
 
 def refresh_schedule(df: DataFrame, interval: int, least: int, confidence_below: float, motion_above: float) -> DataFrame:
