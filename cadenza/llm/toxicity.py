@@ -32,7 +32,11 @@ BUCKETS = 1 << 14
 EMBED = 8
 HIDDEN = 16
 FIT_POSITIVE, FIT_NEGATIVE, FIT_WORDS = 600, 900, 1000
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: At least so many epochs, and steps.
+EPOCHS, LEAST_STEPS = 6, 150
+BATCH, RATE = 64, 0.01
+#: Words of fewer training documents are blanked in training: they tell documents apart, not labels.
+LEAST_DOCUMENTS = 3
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 SEED = 5
@@ -98,7 +102,7 @@ class Network:
         def normal(*shape: int, scale: float) -> np.ndarray:
             return rng.normal(0, scale, shape).astype(np.float32)
 
-        self.p = {"word": normal(BUCKETS, EMBED, scale=0.1), "char": normal(BUCKETS, EMBED, scale=0.1)}
+        self.p = {"word": np.zeros((BUCKETS, EMBED), np.float32), "char": normal(BUCKETS, EMBED, scale=0.1)}
         for way in "fb":
             self.p |= {f"W{way}": normal(d, 3 * h, scale=d**-0.5), f"U{way}": normal(h, 3 * h, scale=h**-0.5), f"c{way}": np.zeros(3 * h, np.float32)}
         self.p |= {"A": normal(2 * h, h, scale=(2 * h) ** -0.5), "a": np.zeros(h, np.float32), "v": normal(h, scale=h**-0.5), "w": normal(2 * h, scale=0.1), "o": np.zeros(1, np.float32)}
@@ -221,6 +225,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network | None:
     pairs = np.unique(np.stack([owner, at], axis=1), axis=0) if n else np.zeros((0, 2), int)
     seen = [np.bincount(pairs[labels[pairs[:, 0]] == y, 1], minlength=n) for y in (0, 1)]
     odds = np.log((seen[1] + 0.2) / (labels.sum() + 1)) - np.log((seen[0] + 0.2) / (len(labels) - labels.sum() + 1))
+    rare = np.append(seen[0] + seen[1] < LEAST_DOCUMENTS, False)
     total = np.append(0, np.cumsum(np.maximum(odds, 0)[at] ** 2))
     signal = total[start + size] - total[start]
     word, grams, starts = lexicon.buckets()
@@ -228,8 +233,9 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network | None:
     of_gram = np.repeat(np.arange(n), counts)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
-        if epoch in (3, 5):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // (2 * len(documents))))
+    for epoch in range(epochs):
+        if epoch in (epochs // 2, epochs * 5 // 6):
             table = net.inputs(lexicon)
             signal = np.concatenate([net.forward(table, *_laid_out(at, start[i : i + 2048], size[i : i + 2048], n)) for i in range(0, len(doc), 2048)])
         best = np.array([f + int(signal[f:e].argmax()) for f, e in zip(first, [*first[1:], len(doc)], strict=True)])
@@ -239,6 +245,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> Network | None:
         for i in range(0, len(chosen), BATCH):
             some = chosen[i : i + BATCH]
             rows, mask = _laid_out(at, start[some], size[some], n)
+            rows = np.where(rare[rows], n, rows)
             used, rows = np.unique(rows, return_inverse=True)
             g, d_rows = net.gradients(net.inputs(lexicon)[used] if n < 2000 else _inputs_of(net, word, grams, starts, counts, used, n), rows.reshape(mask.shape), mask, labels[doc[some]].astype(np.float32))
             real = used < n
