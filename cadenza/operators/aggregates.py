@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def chunk_results(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,9 +25,29 @@ def run_results(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.groupBy(*keys).agg(F.count("*").alias("chunks"), frames.alias("frames"), F.sum("cuts").alias("cuts"), (F.sum(F.col("low_confidence") * F.col("frames")) / frames).alias("low_confidence"), F.max("scale_deviation").alias("largest_deviation"))
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The element of a sorted array at int(n * share) - 1, at least the first."""
-    return F.element_at(values, F.greatest(F.floor(F.size(values) * share).cast("int"), F.lit(1)))
+def ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Each distinct value of a key (nulls left out) with _upto, how many are at most so large, and _all, how many there are.
+
+    Equal values are counted before the shuffle, and running totals come from windows, which spill: no buffer holds a
+    key's values, as that of an exact percentile does.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    all_ = Window.partitionBy(*keys)
+    upto = all_.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(all_))
+
+
+def interpolated(value: str, share: float) -> Column:
+    """An aggregate over `ranked` rows: the value at place (n - 1) * share, between two neighbours if need be."""
+    place = (F.col("_all") - 1) * share
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    return low + (high - low) * F.max(place - F.floor(place))
+
+
+def nearest_rank(value: str, share: float) -> Column:
+    """An aggregate over `ranked` rows: the value of rank int(n * share), at least the first."""
+    return F.min(F.when(F.col("_upto") >= F.greatest(F.floor(F.col("_all") * share), F.lit(1)), F.col(value)))
 
 
 def combined_rate(serial: list[Column], overlapped: list[Column]) -> Column:

@@ -59,8 +59,11 @@ def overlap_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{TIMELINE} select kind, round(quantile_cont(value, 0.02), 6) as q02, round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.98), 6) as q98, round(quantile_cont(case when frame % 4 = 0 then value end, 0.5), 6) as q50_strided from tl group by kind")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda c, p: F.round(F.percentile(c, p), 6)
-    return timeline(spark, sf_dir).groupBy("kind").agg(q("value", 0.02).alias("q02"), q("value", 0.5).alias("q50"), q("value", 0.98).alias("q98"), q(F.when(F.col("frame") % 4 == 0, F.col("value")), 0.5).alias("q50_strided"))
+    t = timeline(spark, sf_dir).select("kind", "value", "frame")
+    q = lambda p: F.round(A.interpolated("value", p), 6)
+    every = A.ranked(t, ["kind"], "value").groupBy("kind").agg(q(0.02).alias("q02"), q(0.5).alias("q50"), q(0.98).alias("q98"))
+    strided = A.ranked(t.where("frame % 4 = 0"), ["kind"], "value").groupBy("kind").agg(q(0.5).alias("q50_strided"))
+    return every.join(strided, "kind", "left")
 
 
 @query(f"{CELLS}, m as (select frame, scene, y, x, v, lag(v) over (partition by scene, y, x order by frame) as was from cl) select frame, round(avg(abs(v - was)) / 255, 8) as mae from m where was is not null group by frame")
@@ -105,9 +108,10 @@ def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{TIMELINE}, s as (select session, median(value) as median, list(value order by value) as v from tl group by session) select session, round(median, 6) as median, v[greatest(1, floor(len(v) * 0.95))::int] as p95, round(1000 / median, 6) as fps from s")
 def benchmark_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median, nearest-rank p95 of a run's few samples, and frames per second."""
-    s = timeline(spark, sf_dir).groupBy("session").agg(F.median("value").alias("m"), F.array_sort(F.collect_list("value")).alias("v"))
-    return s.select("session", F.round("m", 6).alias("median"), A.nearest_rank(F.col("v"), 0.95).alias("p95"), F.round(1000 / F.col("m"), 6).alias("fps"))
+    """Median, nearest-rank p95 and frames per second of a run's samples."""
+    r = A.ranked(timeline(spark, sf_dir), ["session"], "value")
+    s = r.groupBy("session").agg(A.interpolated("value", 0.5).alias("m"), A.nearest_rank("value", 0.95).alias("p95"))
+    return s.select("session", F.round("m", 6).alias("median"), "p95", F.round(1000 / F.col("m"), 6).alias("fps"))
 
 
 @query(f"{TIMELINE}, d as (select session, value - lag(value) over (partition by session order by frame) as drift, value as fps, t from tl) select session, round(max(abs(drift)), 6) as largest_drift, round(avg(fps), 6) as mean_fps, min(fps) as least_fps, count(*) as samples, count(*) >= 4 as enough from d where t >= 2 group by session")

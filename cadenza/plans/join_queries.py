@@ -120,7 +120,8 @@ def positional_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _ordinal(spark, sf_dir)
     side = lambda kind, s: o.where(F.col("kind") == kind).select("session", "i", F.col("value").alias(f"v{s}"), F.col("k").alias(f"k{s}"))
     p = side("view", "a").join(side("error", "b"), ["session", "i"]).withColumn("at", F.when(F.col("va") != F.col("vb"), F.col("i")))
-    first = F.slice(F.array_sort(F.collect_list("at")), 1, 10)
+    p = p.withColumn("nth", F.count("at").over(S.so_far("session", by="i")))
+    first = F.array_sort(F.collect_list(F.when(F.col("nth") <= 10, F.col("at"))))
     return p.groupBy("session").agg(F.count("*").alias("compared"), F.sum((F.col("va") != F.col("vb")).cast("int")).alias("value_differs"), F.sum((F.col("ka") != F.col("kb")).cast("int")).alias("k_differs"), F.concat(F.lit("["), F.array_join(first, ", "), F.lit("]")).alias("first_ten"))
 
 
