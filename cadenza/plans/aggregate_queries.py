@@ -187,7 +187,9 @@ def cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{TIMELINE}, o as (select session, frame, value, k - 50 as off, k >= lag(k) over (partition by session order by frame) as up from tl) select session, round(avg(value), 6) as mean_error, round_even(median(off), 0)::bigint as median_offset, sum((abs(off) <= 1)::int)::bigint as within_one, bool_and(coalesce(up, true)) as monotonic from o group by session")
 def alignment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = timeline(spark, sf_dir).withColumn("off", F.col("k") - 50).withColumn("up", F.coalesce(F.col("k") >= F.lag("k").over(S.ordered("session")), F.lit(True)))
-    return o.groupBy("session").agg(F.round(F.avg("value"), 6).alias("mean_error"), F.bround(F.median("off")).cast("long").alias("median_offset"), F.count_if(F.abs("off") <= 1).alias("within_one"), F.bool_and("up").alias("monotonic"))
+    sums = o.groupBy("session").agg(F.round(F.avg("value"), 6).alias("mean_error"), F.count_if(F.abs("off") <= 1).alias("within_one"), F.bool_and("up").alias("monotonic"))
+    medians = A.ranked(o, ["session"], "off").groupBy("session").agg(F.bround(A.interpolated("off", 0.5)).cast("long").alias("median_offset"))
+    return sums.join(medians, "session", "left")
 
 
 @query("select p_partkey % 20 as chunk, count(*) as frames, round(sum(p_retailprice) / 1000, 6) as elapsed, round(count(*) / (sum(p_retailprice) / 1000), 6) as fps, max(p_size) as peak from part group by p_partkey % 20")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadenza.operators import aggregates as A
 from cadenza.operators import sequences as S
 
 from .registry import CELLS, TIMELINE, cells, query, timeline
@@ -162,8 +163,9 @@ def temporal_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scale and offset that align values with those of the frame before, from quantiles of confident pairs."""
     p = timeline(spark, sf_dir).withColumn("was", F.lag("value").over(S.ordered("session"))).where("confidence > 0.62 and was is not null")
-    q = p.groupBy("session").agg(F.count("*").alias("n"), F.percentile("value", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("c"), F.percentile("was", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("h"))
-    c, h = (lambda i: F.col("c")[i]), (lambda i: F.col("h")[i])
+    of = lambda column, name: A.ranked(p, ["session"], column).groupBy("session").agg(F.max("_all").alias(f"n_{name}"), *(A.interpolated(column, share).alias(f"{name}{i}") for i, share in enumerate((0.1, 0.5, 0.9))))
+    q = of("value", "c").join(of("was", "h"), "session").withColumnRenamed("n_h", "n")
+    c, h = (lambda i: F.col(f"c{i}")), (lambda i: F.col(f"h{i}"))
     scale = F.least(F.greatest((h(2) - h(0)) / F.nullif(c(2) - c(0), F.lit(0.0)), F.lit(0.72)), F.lit(1.38))
     plain = (F.col("n") < 8) | (c(2) - c(0) <= 1e-5)
     shift = F.least(F.greatest(h(1) - c(1) * scale, F.lit(-0.2)), F.lit(0.2))
