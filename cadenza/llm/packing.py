@@ -1,14 +1,15 @@
 """Best-fit decreasing packing of token sequences.
 
 Documents become token ids and an end id; one longer than the capacity is cut into full pieces, the first of which
-may be shorter. Pieces are dealt into groups of about GROUP_ROWS by a hash, and each group is packed by itself:
+may be shorter. Pieces are dealt into groups of about GROUP_ROWS by a hash that takes in their contents' checksum (so
+that many pieces of one id, or of none, spread), and each group is packed by itself:
 longest first, each into the open sequence with the least room that still holds it. A segment tree over the
 remaining capacities (its leaves count the open sequences with so much room) finds that in log2(capacity) steps.
 A group leaves at most about one sequence unfilled, so groups cost well under a part in a thousand, and no task
 ever holds more than a group.
 
 Defined cases: a null text is an empty one, which is its end id alone; equal lengths go in order of id and piece;
-repeated rows are packed each; null ids are packed as any other; an empty table gives an empty result; extra
+repeated rows are packed each, those with equal contents by one group; null ids are packed as any other; an empty table gives an empty result; extra
 columns are ignored by `tokenise` and kept by `pack`.
 """
 
@@ -166,7 +167,8 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         out = table.drop_columns(["_group"])
         return out.append_column("sequence_id", pa.array(sequences + (group << 32))).append_column("offset", pa.array(offsets))
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)))
+    by = [c for c in ("doc_id", "piece", "length", "ids_crc32") if c in names]
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*by), F.lit(groups)))
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
 
