@@ -19,15 +19,16 @@ an empty table gives an empty result; `keep_one` keeps extra columns, `near_dupl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, configured, stage
+from .common import append_columns, configured, packed, stage
 from .components import components
 
 DISTANCE = 4
@@ -160,12 +161,17 @@ def links(prints: DataFrame) -> DataFrame:
     return out
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """fp, least (its least doc_id) and root (its component's fingerprint) of every distinct fingerprint of `rows`."""
+    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    star = components(links(prints))
+    return stage(prints.join(star, prints["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every document."""
     rows = stage(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", F.col("_fp").alias("fp")))
-    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    star = components(links(prints))
-    rooted = stage(prints.join(star, prints["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    rooted = _rooted(rows)
     least = stage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     of_print = stage(rooted.join(least, "root").select("fp", "component_id"))
     return rows.join(of_print, "fp").select("doc_id", "fp", "component_id")
@@ -176,10 +182,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _content(docs: DataFrame) -> dict[str, Column]:
+    """Two hashes of a packed row's columns and of which are null; columns with maps or variants cannot be hashed and are left out."""
+    fields = [f for f in docs.schema["_doc"].dataType.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    values = [F.col(f"_doc.`{f.name}`") for f in fields]
+    parts = [*values, *(v.isNull() for v in values)]
+    return {"_h1": F.xxhash64(*parts), "_h2": F.xxhash64(F.lit(SEED), *parts)}
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the least id, its columns as they were.
+    """One document of each component, the first by (doc_id, nulls last; content), its columns as they were.
 
-    Documents with a null id, and rows that repeat an id, stay if they are the one of their component or share its id.
+    Rows are told apart by id and content, so what goes in one component touches no other. Rows that repeat the kept
+    one, id and all, stay with it; without an id nothing says that they are one document, and a single one stays.
     """
-    gone = classes(docs).where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    whole = packed(docs)
+    whole = whole.withColumns(_content(whole))
+    texts = whole.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_h1", "_h2")
+    rows = stage(with_fingerprint(texts).select("doc_id", "_h1", "_h2", F.col("_fp").alias("fp")))
+    keys = stage(rows.groupBy("doc_id", "_h1", "_h2", "fp").agg(F.count("*").alias("n")))
+    members = stage(keys.join(_rooted(rows), "fp").select("root", "n", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_h1", "_h2", "fp").alias("key")))
+    first = stage(members.groupBy("root").agg(F.min("key").alias("first")))
+    marked = members.join(first, "root").withColumn("once", F.col("key").eqNullSafe(F.col("first"))).where("not once or (key.none and n > 1)")
+    marked = stage(marked.select("once", F.col("key.doc_id").alias("_id"), F.col("key._h1").alias("_a"), F.col("key._h2").alias("_b")))
+    gone, once = marked.where("not once").drop("once"), marked.where("once").drop("once")
+
+    def those(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return rows.join(some, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")), how)
+
+    kept = those(whole, gone, "left_anti")
+    if not once.isEmpty():
+        single = those(kept, once, "left_semi").dropDuplicates(["_h1", "_h2"])
+        kept = those(kept, once, "left_anti").unionByName(single)
+    return kept.select("_doc.*")

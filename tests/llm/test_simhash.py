@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from helpers import content, empty, odd, odd_rows, with_clashes
+from helpers import DOCS, content, empty, odd, odd_rows, sentence, with_clashes
 
 from cadenza.llm import catalog, components, simhash
 
@@ -96,3 +96,18 @@ def test_odd_documents(spark):
     ids = [r.doc_id for r in kept.collect()]
     assert 67 not in ids and 61 not in ids and 60 in ids and ids.count(0) == 3  # 67 copies 1; a repeated row shares its id
     assert simhash.near_duplicates(empty(spark)).count() == 0 == simhash.keep_one(empty(spark)).count()
+
+
+def test_keep_one_tells_rows_apart_by_id_and_content(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(sentence(rng, 9) for _ in range(4)) for _ in range(5))
+    rows = [(None, None), (60, None), (None, a)]  # a null id linked to an id; an unlinked one
+    rows += [(70, b), (71, b), (71, c)]  # id 71 twice, once in the component of 70
+    rows += [(None, d), (None, d), (None, f"{d} "), (None, e)]  # a component without ids
+    rows += [(80, e), (81, "x"), (81, "x")]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS).repartition(3)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
+    assert sorted(((i, t) for i, t in kept if i is not None), key=str) == sorted([(60, None), (70, b), (71, c), (80, e), (81, "x"), (81, "x")], key=str)
+    nameless = sorted((t.strip() for i, t in kept if i is None))
+    assert nameless == sorted([a, d])
+    assert (None, "a null id") in [(r.doc_id, r.text) for r in simhash.keep_one(odd(spark)).collect()]
