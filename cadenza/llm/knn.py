@@ -56,7 +56,7 @@ class Cells:
     counts: np.ndarray
     queries: np.ndarray
     radius: np.ndarray
-    nearest: np.ndarray  # the k + 1 least distances from the pivot; infinite where there are fewer
+    nearest: np.ndarray  # the k + 1 least distances from the pivot, each query id's once over all cells; infinite where there are fewer
 
     def needed(self, q: np.ndarray, k: int) -> np.ndarray:
         """Which cells may hold one of the k best of any of the queries q."""
@@ -101,11 +101,11 @@ def _summaries(assigned: DataFrame, pivots: np.ndarray, dtype: str, k: int) -> C
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for batch in batches:
-            cell, distance, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "distance", "is_query"))
+            cell, distance, query, row, bounds = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "distance", "is_query", "row", "bounds"))
             for c in np.unique(cell).tolist():
                 own = cell == c
                 n, nq, radius, near = held.get(c, (0, 0, 0.0, np.zeros(0)))
-                held[c] = [n + int(own.sum()), nq + int(query[own].sum()), max(radius, float(distance[own].max())), cut(np.concatenate([near, distance[own]]))]
+                held[c] = [n + int(row[own].sum()), nq + int((query & row)[own].sum()), max(radius, float(distance[own].max())), cut(np.concatenate([near, distance[own & bounds]]))]
         columns = list(zip(*held.values(), strict=True)) if held else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array([list(x) for x in columns[3]], pa.list_(pa.float64()))], ["cell", "n", "nq", "radius", "near"])
 
@@ -115,7 +115,11 @@ def _summaries(assigned: DataFrame, pivots: np.ndarray, dtype: str, k: int) -> C
         return pa.table({"cell": table.column("cell").slice(0, 1), "n": [n], "nq": [nq], "radius": [float(table.column("radius").to_numpy().max())], "near": pa.array([near.tolist()], pa.list_(pa.float64()))})
 
     schema = "cell int, n long, nq long, radius double, near array<double>"
-    rows = assigned.select("cell", "distance", "is_query").mapInArrow(partial, schema).groupBy("cell").applyInArrow(merge, schema).collect()
+    # Rows of a query's own id are not its candidates: such an id bounds once, by its nearest row of all cells.
+    asking = assigned.where("is_query").groupBy("vec_id").agg(F.min_by("cell", "distance").alias("cell"), F.min("distance").alias("distance"))
+    every = assigned.select("cell", "distance", "is_query", F.lit(True).alias("row"), (~F.col("is_query")).alias("bounds"))
+    every = every.unionByName(asking.select("cell", "distance", F.lit(True).alias("is_query"), F.lit(False).alias("row"), F.lit(True).alias("bounds")))
+    rows = every.mapInArrow(partial, schema).groupBy("cell").applyInArrow(merge, schema).collect()
     m = len(pivots)
     out = Cells(pivots, dtype, np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m), np.full((m, k + 1), np.inf))
     for r in rows:

@@ -221,6 +221,15 @@ def test_top_k_of_odd_vectors(spark):
         knn.top_k(spark.createDataFrame([(0, [1e30], 0)], VECTORS))
 
 
+@pytest.mark.parametrize("cells", [1, 3])
+def test_top_k_where_a_query_id_repeats(spark, cells):
+    rows = [(20, [100.0, float(i % cells)]) for i in range(30)] + [(i, [99.0, 0.0]) for i in range(1, 6)]
+    rows += [(1001 + i, [-100.0, i / 64]) for i in range(500) if (1001 + i) % 20]
+    df = spark.createDataFrame([(*r, 0) for r in rows], VECTORS).repartition(3)
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in knn.top_k(df, 20).collect()}
+    assert len(got) == 20 and got == plain_top(rows, 20)
+
+
 def test_far_cells_are_not_needed():
     pivots = np.array([[100.0, 0], [-100.0, 0]])
     cells = knn.Cells(pivots, "<i2", np.array([50, 50]), np.array([1, 1]), np.array([5.0, 5.0]), np.tile(np.linspace(0, 5, 6), (2, 1)))
