@@ -36,7 +36,7 @@ SHINGLE = 4
 SEED = 42
 PASSES = 4
 BUCKET_WORDS = 1 << 20
-_CHUNK = 4096
+_CHUNK_WORDS = 4096 * 2081
 
 #: Multiplying by an odd number spreads words over buckets, and is undone by its inverse.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -79,26 +79,26 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """`docs` and a long column _fp."""
+def with_fingerprint(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """`docs` and a long column _fp, of `size`-word shingles."""
 
     def compute(texts: list[bytes]) -> dict[str, pa.Array]:
-        return {"_fp": pa.array([fingerprint(t) for t in texts], pa.int64())}
+        return {"_fp": pa.array([fingerprint(t, size) for t in texts], pa.int64())}
 
     return append_columns(docs, "text", [("_fp", T.LongType())], compute)
 
 
-def _emit(step: int, bucket_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _emit(step: int, bucket_bits: int, distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The words of a pass: rows (bucket, spread words, mask numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = ball(DISTANCE // 2)
-        numbers = np.arange(len(masks), dtype="<u2")
+        masks = ball(distance // 2)
+        numbers, chunk = np.arange(len(masks), dtype="<u2"), max(1, _CHUNK_WORDS // len(masks))
         mask_pass = _pass_of(masks)
         for batch in batches:
             all_ = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in range(0, len(all_), _CHUNK):
-                some = all_[at : at + _CHUNK]
+            for at in range(0, len(all_), chunk):
+                some = all_[at : at + chunk]
                 groups = _pass_of(some)
                 keys, which = [], []
                 for g in range(PASSES):
@@ -123,48 +123,57 @@ def _emit(step: int, bucket_bits: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _collide(table: pa.Table) -> pa.Table:
-    """Links (a, b) among the fingerprints that meet at a word of this bucket."""
-    masks = ball(DISTANCE // 2)
-    key = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")])
-    number = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in table.column("masks")])
-    order = np.argsort(key)
-    key = key[order]
-    same = key[1:] == key[:-1]
-    met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    key, number = key[met], number[order[met]]
-    if not len(key):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    prints = key * _UNSPREAD ^ masks[number]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    least = np.minimum.reduceat(prints, np.flatnonzero(first))[np.cumsum(first) - 1]
-    linked = (prints != least) & (np.bitwise_count(prints ^ least) <= DISTANCE)
-    pairs = np.unique(np.stack([prints[linked], least[linked]], axis=1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0].view(np.int64)), "b": pa.array(pairs[:, 1].view(np.int64))})
-
-
-def links(prints: DataFrame) -> DataFrame:
-    """a, b: links that connect all distinct fingerprints (column fp, staged) within DISTANCE bits."""
+def _collide(distance: int) -> Callable[[pa.Table], pa.Table]:
+    """Links (a, b) among the fingerprints that meet at a word of a bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        masks = ball(distance // 2)
+        key = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")])
+        number = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for x in table.column("masks")])
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        key, number = key[met], number[order[met]]
+        if not len(key):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        prints = key * _UNSPREAD ^ masks[number]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        least = np.minimum.reduceat(prints, np.flatnonzero(first))[np.cumsum(first) - 1]
+        linked = (prints != least) & (np.bitwise_count(prints ^ least) <= distance)
+        pairs = np.unique(np.stack([prints[linked], least[linked]], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0].view(np.int64)), "b": pa.array(pairs[:, 1].view(np.int64))})
+
+    return run
+
+
+def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """a, b: links that connect all distinct fingerprints (column fp, staged) within `distance` bits: 0, 2, 4 or 6.
+
+    At an odd distance those that meet at a word could be a bit too far apart; from 8 on a ball has some 700,000 words.
+    """
+    if distance not in (0, 2, 4, 6):
+        raise ValueError("distance must be 0, 2, 4 or 6")
     spark = prints.sparkSession
-    words = prints.count() * len(ball(DISTANCE // 2)) // PASSES
+    words = prints.count() * len(ball(distance // 2)) // PASSES
     bits = 5
     while words >> bits > BUCKET_WORDS:
         bits += 1
     found = []
     for step in range(PASSES):
         with configured(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-            met = prints.select("fp").mapInArrow(_emit(step, bits), "bucket int, words binary, masks binary")
-            found.append(stage(met.groupBy("bucket").applyInArrow(_collide, "a long, b long").distinct()))
+            met = prints.select("fp").mapInArrow(_emit(step, bits, distance), "bucket int, words binary, masks binary")
+            found.append(stage(met.groupBy("bucket").applyInArrow(_collide(distance), "a long, b long").distinct()))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _rooted(rows: DataFrame) -> DataFrame:
+def _rooted(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """fp, least (its least doc_id) and root (its component's fingerprint) of every distinct fingerprint of `rows`."""
     prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    star = components(links(prints))
+    star = components(links(prints, distance))
     return stage(prints.join(star, prints["fp"] == star["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
 
 
@@ -190,8 +199,8 @@ def _content(docs: DataFrame) -> dict[str, Column]:
     return {"_h1": F.xxhash64(*parts), "_h2": F.xxhash64(F.lit(SEED), *parts)}
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, the first by (doc_id, nulls last; content), its columns as they were.
+def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One document of each component (fingerprints of `size` words, `distance` bits), the first by (doc_id, nulls last; content), its columns as they were.
 
     Rows are told apart by id and content, so what goes in one component touches no other. Rows that repeat the kept
     one, id and all, stay with it; without an id nothing says that they are one document, and a single one stays.
@@ -199,9 +208,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     whole = packed(docs)
     whole = whole.withColumns(_content(whole))
     texts = whole.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_h1", "_h2")
-    rows = stage(with_fingerprint(texts).select("doc_id", "_h1", "_h2", F.col("_fp").alias("fp")))
+    rows = stage(with_fingerprint(texts, size).select("doc_id", "_h1", "_h2", F.col("_fp").alias("fp")))
     keys = stage(rows.groupBy("doc_id", "_h1", "_h2", "fp").agg(F.count("*").alias("n")))
-    members = stage(keys.join(_rooted(rows), "fp").select("root", "n", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_h1", "_h2", "fp").alias("key")))
+    members = stage(keys.join(_rooted(rows, distance), "fp").select("root", "n", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_h1", "_h2", "fp").alias("key")))
     first = stage(members.groupBy("root").agg(F.min("key").alias("first")))
     marked = members.join(first, "root").withColumn("once", F.col("key").eqNullSafe(F.col("first"))).where("not once or (key.none and n > 1)")
     marked = stage(marked.select("once", F.col("key.doc_id").alias("_id"), F.col("key._h1").alias("_a"), F.col("key._h2").alias("_b")))

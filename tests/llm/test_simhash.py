@@ -111,3 +111,23 @@ def test_keep_one_tells_rows_apart_by_id_and_content(spark):
     nameless = sorted((t.strip() for i, t in kept if i is None))
     assert nameless == sorted([a, d])
     assert (None, "a null id") in [(r.doc_id, r.text) for r in simhash.keep_one(odd(spark)).collect()]
+
+
+def test_keep_one_with_other_shingles_and_distance(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(0, 60, 3):
+        words = sentence(rng, 150).split()
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:-1])), (i + 2, " ".join(["new", *words[2:]]))]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS)
+    kept = {}
+    for size, distance in ((4, 4), (5, 2)):
+        prints = {i: simhash.fingerprint(t.encode(), size) & (1 << 64) - 1 for i, t in rows}
+        root, least = groups(prints.values(), distance), {}
+        for i, p in prints.items():
+            least.setdefault(root[p], i)
+        kept[size] = sorted(r.doc_id for r in simhash.keep_one(docs, size, distance).collect())
+        assert kept[size] == sorted(least.values())
+    assert kept[4] != kept[5]
+    with pytest.raises(ValueError):
+        simhash.links(docs, 3)
