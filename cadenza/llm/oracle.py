@@ -19,38 +19,40 @@ s as (
     coalesce(lc.dup, 0)::bigint as n_dup_lines, coalesce(lc.n, 0)::bigint as n_lines, coalesce(covered.n, 0)::bigint as n_repeat_words,
     length(regexp_replace(text, '[^A-Z]', '', 'g'))::bigint as n_upper, length(regexp_replace(text, '[^.!?]', '', 'g'))::bigint as n_marks
   from w left join lc using (rid) left join covered using (rid)),
+base as (select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed from s),
 v as (
-  select rid, unnest([
-    {'stat': 'symbols', 'v': 1000 * n_symbols // greatest(word_chars, 1), 'slack': 30},
-    {'stat': 'dups', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'slack': 400},
-    {'stat': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'slack': 450},
-    {'stat': 'upper', 'v': 1000 * n_upper // greatest(word_chars, 1), 'slack': 200},
-    {'stat': 'marks', 'v': 1000 * n_marks // greatest(n_words, 1), 'slack': 600},
-    {'stat': 'word_len', 'v': 100 * word_chars // greatest(n_words, 1), 'slack': 400}], recursive := true) from s),
-b as (
-  select s.lang, s.source, stat, slack, v, v - v % (1::bigint << greatest(length(bin(v)) - 5, 0)::int) as bucket, rid from v join s using (rid)),
-sk as (select lang, source, stat, slack, bucket, count(*) as n from b group by lang, source, stat, slack, bucket),
-sk_all as (select stat, slack, bucket, sum(n) as n from sk group by stat, slack, bucket),
+  select rid, lang, source, base_failed, unnest([
+    {'stat': 'symbols', 'percent': 90, 'v': 100 * n_symbols // greatest(word_chars, 1)},
+    {'stat': 'dups', 'percent': 99, 'v': 1000 * n_dup_lines // greatest(n_lines, 1)},
+    {'stat': 'repeats', 'percent': 99, 'v': 1000 * n_repeat_words // greatest(n_words, 1)},
+    {'stat': 'upper', 'percent': 90, 'v': 1000 * n_upper // greatest(word_chars, 1)},
+    {'stat': 'marks', 'percent': 90, 'v': 1000 * n_marks // greatest(n_words, 1)},
+    {'stat': 'word_len', 'percent': 90, 'v': 100 * word_chars // greatest(n_words, 1)}], recursive := true) from base),
+b as (select *, v - v % (1::bigint << greatest(length(bin(v)) - 7, 0)::int) + (1::bigint << greatest(length(bin(v)) - 7, 0)::int) - 1 as bucket
+  from v where not base_failed),
+-- level 0: all documents, 1: a language, 2: a language and source
+k as (
+  select 0 as level, null as lang, null as source, stat, percent, bucket from b
+  union all select 1, lang, null, stat, percent, bucket from b union all select 2, lang, source, stat, percent, bucket from b),
+sk as (select level, lang, source, stat, percent, bucket, count(*) as n from k group by all),
 cum as (
-  select *, sum(n) over (partition by lang, source, stat order by bucket) as c, sum(n) over (partition by lang, source, stat) as total from sk),
-own as (
-  select lang, source, stat, max(total) as total, max(slack) as slack, min(bucket) filter (c * 100 >= total * 25) as q25,
-    min(bucket) filter (c * 100 >= total * 75) as q75 from cum group by lang, source, stat),
-cum_all as (select *, sum(n) over (partition by stat order by bucket) as c, sum(n) over (partition by stat) as total from sk_all),
-of_all as (
-  select stat, max(slack) as slack, min(bucket) filter (c * 100 >= total * 25) as q25, min(bucket) filter (c * 100 >= total * 75) as q75
-  from cum_all group by stat),
-fence as (
-  select own.lang, own.source, own.stat,
-    case when total < 50 then a.q75 + greatest(a.slack, 6 * (a.q75 - a.q25)) else own.q75 + greatest(own.slack, 6 * (own.q75 - own.q25)) end as fence
-  from own join of_all a using (stat)),
+  select *, sum(n) over (partition by level, lang, source, stat order by bucket) as c, sum(n) over (partition by level, lang, source, stat) as total
+  from sk),
+q as (
+  select level, lang, source, stat, max(total)::bigint as n, min(bucket) filter (c * 100 >= total * 50) as mid,
+    min(bucket) filter (c * 100 >= total * percent) as tail from cum group by level, lang, source, stat),
+lq as (
+  select l.lang, l.stat, (l.mid * l.n + 100 * a.mid)::double / (l.n + 100) as mid, (l.tail * l.n + 100 * a.tail)::double / (l.n + 100) as tail
+  from q l join q a using (stat) where l.level = 1 and a.level = 0),
+gq as (
+  select g.lang, g.source, g.stat, (g.mid * g.n + 100 * lq.mid) / (g.n + 100) as mid, (g.tail * g.n + 100 * lq.tail) / (g.n + 100) as tail
+  from q g join lq on g.level = 2 and g.stat = lq.stat and g.lang is not distinct from lq.lang),
+fence as (select lang, source, stat, tail + 5 * (tail - mid) as fence from gq),
 ok as (
-  select b.rid, bool_and(v <= fence) as ok from b join fence f
-    on b.stat = f.stat and b.lang is not distinct from f.lang and b.source is not distinct from f.source group by b.rid)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and ok as kept
-from s join ok using (rid)
+  select v.rid, bool_and(v <= fence) as ok from v join fence f
+    on v.stat = f.stat and v.lang is not distinct from f.lang and v.source is not distinct from f.source group by v.rid)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(ok, false) as kept
+from base left join ok using (rid)
 """
 
 MIXING = r"""

@@ -81,3 +81,29 @@ def test_sketches_merge(spark):
     whole = quality_rules.sketches(docs)
     parts = quality_rules.sketches(docs.where("doc_id % 2 = 0")).unionByName(quality_rules.sketches(docs.where("doc_id % 2 <> 0 or doc_id is null")))
     assert content(parts.groupBy("lang", "source", "stat", "bucket").agg(F.sum("n").alias("n"))) == content(whole.select("lang", "source", "stat", "bucket", "n"))
+
+
+def _sketch(spark, rows):
+    return spark.createDataFrame([("en", s, k, b, n) for s, k, b, n in rows], "lang string, source string, stat string, bucket long, n long")
+
+
+def test_a_group_of_any_size_moves_its_fence(spark):
+    """Beside a large source, one of 10, 200 or 100,000 documents with longer words: the more it has, the farther its fence."""
+    got = []
+    for n in (0, 10, 200, 100_000):
+        rows = [("large", k, b, m) for k in quality_rules.TAILS for b, m in ((100, 60_000), (140, 40_000))]
+        rows += [("own", "word_len", b, n // 2) for b in (300, 340) if n]
+        limits = {r.source: r for r in quality_rules.fences(_sketch(spark, rows)).collect()}
+        got.append(limits["own"].fence_word_len if n else limits["large"].fence_word_len)
+    assert got == sorted(set(got)) and abs(got[-1] - (340 + quality_rules.REACH * 40)) < 3
+
+
+def test_rules_judge_each_group_by_its_own_fence(spark):
+    rng = np.random.default_rng(1)
+
+    def text(capitals):
+        return " ".join("".join(rng.choice(list("abcdefgh"), 5)).capitalize() if rng.random() < capitals else "".join(rng.choice(list("abcdefgh"), 5)) for _ in range(80))
+
+    rows = [(i, text(0.05), "en", "calm", 1) for i in range(150)] + [(1000 + i, text(0.6), "en", "titles", 1) for i in range(150)] + [(5000, text(0.6), "en", "calm", 1)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert not kept[5000] and sum(kept[i] for i in range(150)) > 145 and sum(kept[1000 + i] for i in range(150)) > 145
