@@ -42,10 +42,10 @@ q as (
   select level, lang, source, stat, max(total)::bigint as n, min(bucket) filter (c * 100 >= total * 50) as mid,
     min(bucket) filter (c * 100 >= total * percent) as tail from cum group by level, lang, source, stat),
 lq as (
-  select l.lang, l.stat, (l.mid * l.n + 100 * a.mid)::double / (l.n + 100) as mid, (l.tail * l.n + 100 * a.tail)::double / (l.n + 100) as tail
+  select l.lang, l.stat, (l.mid * l.n + 30 * a.mid)::double / (l.n + 30) as mid, (l.tail * l.n + 30 * a.tail)::double / (l.n + 30) as tail
   from q l join q a using (stat) where l.level = 1 and a.level = 0),
 gq as (
-  select g.lang, g.source, g.stat, (g.mid * g.n + 100 * lq.mid) / (g.n + 100) as mid, (g.tail * g.n + 100 * lq.tail) / (g.n + 100) as tail
+  select g.lang, g.source, g.stat, (g.mid * g.n + 30 * lq.mid) / (g.n + 30) as mid, (g.tail * g.n + 30 * lq.tail) / (g.n + 30) as tail
   from q g join lq on g.level = 2 and g.stat = lq.stat and g.lang is not distinct from lq.lang),
 fence as (select lang, source, stat, tail + 5 * (tail - mid) as fence from gq),
 ok as (

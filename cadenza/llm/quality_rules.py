@@ -34,7 +34,7 @@ MAX_REPEAT_PERCENT = 50
 #: statistic: percent of the documents below its tail.
 TAILS = {"symbols": 90, "dups": 99, "repeats": 99, "upper": 90, "marks": 90, "word_len": 90}
 REACH = 5
-PRIOR_DOCS = 100
+PRIOR_DOCS = 30
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_marks")
 _STATS = T.StructType([T.StructField(f, T.LongType()) for f in _COUNTS])

@@ -104,6 +104,6 @@ def test_rules_judge_each_group_by_its_own_fence(spark):
     def text(capitals):
         return " ".join("".join(rng.choice(list("abcdefgh"), 5)).capitalize() if rng.random() < capitals else "".join(rng.choice(list("abcdefgh"), 5)) for _ in range(80))
 
-    rows = [(i, text(0.05), "en", "calm", 1) for i in range(150)] + [(1000 + i, text(0.6), "en", "titles", 1) for i in range(150)] + [(5000, text(0.6), "en", "calm", 1)]
+    rows = [(i, text(0.05), "en", "calm", 1) for i in range(1500)] + [(3000 + i, text(0.9), "en", "titles", 1) for i in range(200)] + [(5000, text(0.9), "en", "calm", 1)]
     kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
-    assert not kept[5000] and sum(kept[i] for i in range(150)) > 145 and sum(kept[1000 + i] for i in range(150)) > 145
+    assert not kept[5000] and sum(kept[i] for i in range(1500)) > 1480 and sum(kept[3000 + i] for i in range(200)) > 190
