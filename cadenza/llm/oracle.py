@@ -103,7 +103,7 @@ from f
 """
 
 URLS = r"""
-with u as (
+with recursive u as (
   select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
 h as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from u),
 p as (
@@ -117,42 +117,52 @@ x as (
     when (host = 'net' or host like '%.net') and starts_with(path, '/de/') then 'net/de/'
     when (host = 'org' or host like '%.org') and starts_with(path, '/es/') then 'org/es/' end as rule from p),
 y as (select *, case when rule in ('example.com/en/7', 'net/de/') then 'allow' when rule is not null then 'block' end as ruled from x),
-a0 as (
-  select host, shape, count(*) as n, count(ruled) as labels, count(*) filter (ruled = 'block') as blocked, '' as template, '' as parent,
-    string_split(shape, '/')[2] as s1, string_split(shape, '/')[3] as s2, string_split(shape, '/')[4] as s3,
-    len(string_split(shape, '/')) > 4 as deeper from y group by host, shape),
-c1 as (select host, template, s1 as s, sum(n) as own from a0 where s1 is not null group by host, template, s1),
-w1 as (select host, template, sum(own) as total from c1 group by host, template having count(*) > 20),
-r1 as (select c1.* from c1 join w1 using (host, template) where own * 20 < total),
-a1 as (
-  select a.* exclude (template, parent), case when a.s1 is null then a.parent else a.template end as parent,
-    case when a.s1 is null then a.template else a.template || '/' || case when r.s is null then a.s1 else '*' end end as template
-  from a0 a left join r1 r on a.host = r.host and a.template = r.template and a.s1 = r.s),
-c2 as (select host, template, s2 as s, sum(n) as own from a1 where s2 is not null group by host, template, s2),
-w2 as (select host, template, sum(own) as total from c2 group by host, template having count(*) > 20),
-r2 as (select c2.* from c2 join w2 using (host, template) where own * 20 < total),
-a2 as (
-  select a.* exclude (template, parent), case when a.s2 is null then a.parent else a.template end as parent,
-    case when a.s2 is null then a.template else a.template || '/' || case when r.s is null then a.s2 else '*' end end as template
-  from a1 a left join r2 r on a.host = r.host and a.template = r.template and a.s2 = r.s),
-c3 as (select host, template, s3 as s, sum(n) as own from a2 where s3 is not null group by host, template, s3),
-w3 as (select host, template, sum(own) as total from c3 group by host, template having count(*) > 20),
-r3 as (select c3.* from c3 join w3 using (host, template) where own * 20 < total),
-a3 as (
-  select a.* exclude (template, parent), case when a.s3 is null then a.parent else a.template end as parent,
-    case when a.s3 is null then a.template else a.template || '/' || case when r.s is null then a.s3 else '*' end end as template
-  from a2 a left join r3 r on a.host = r.host and a.template = r.template and a.s3 = r.s),
-t as (select host, parent, shape, template || case when deeper then '/**' else '' end as template, labels, blocked from a3),
-l as (select host, parent, template, sum(labels)::bigint as labels, sum(blocked)::bigint as blocked from t group by host, parent, template),
-g as (select coalesce(sum(blocked)::double / nullif(sum(labels), 0), 0.0) as share from l),
-q as (
-  select host, (sum(blocked)::double + 4 * (select share from g)) / (sum(labels) + 4) as prior from l group by host),
-b as (
-  select l.*, prior, least(floor((blocked + 4 * prior) / (labels + 4) * 5), 4)::int as band from l join q using (host)),
+a as (
+  select host, shape, count(*) as n, count(ruled) as labels, count(*) filter (ruled = 'block') as blocked from y group by host, shape),
+-- level by level down the paths; a step sees the rows of the step before
+t as (
+  select host, shape, n, labels, blocked, '' as node, string_split(shape, '/')[2:] as rest,
+    case when len(string_split(shape, '/')) = 1 then [''] else []::varchar[] end as up from a
+  union all
+  select host, shape, n, labels, blocked, longer, case when below <= 20 then []::varchar[] else rest[2:] end, list_append(up, longer)
+  from (
+    select *, node || '/' || case when below <= 20 then array_to_string(rest, '/') when children > 20 and own * 20 < total then '*' else rest[1] end as longer
+    from (
+      select *, count(*) over (partition by host, node) as below, count(distinct rest[1]) over (partition by host, node) as children,
+        sum(n) over (partition by host, node) as total, sum(n) over (partition by host, node, rest[1]) as own
+      from t where len(rest) > 0))),
+leaf as (select host, shape, labels, blocked, up from t where len(rest) = 0),
+-- level by level up the labelled branches; final rows are merged branches' templates, with their branch's number
 m as (
-  select host, parent, band from b group by host, parent, band
-  having sum(labels) >= 10 and (sum(blocked)::double + 4 * max(prior)) / (sum(labels) + 4) >= 0.5),
-bad as (select distinct t.host, t.shape from t join b using (host, parent, template) join m using (host, parent, band))
+  select max(len(up)) over () as d, host, up, labels, blocked, false as split, null::bigint as grp, false as final
+  from (select host, up, sum(labels)::bigint as labels, sum(blocked)::bigint as blocked from leaf where labels > 0 group by host, up)
+  union all
+  select d - 1, host, up, sum(labels)::bigint, sum(blocked)::bigint, bool_or(split), grp, final
+  from (
+    select d, host, labels, blocked, k = 1 as final, case when k = 1 then grp end as grp,
+      case when len(up) < d or k = 1 then up else up[:d - 1] end as up,
+      case when len(up) < d then split when k = 1 then false else split or stays end as split
+    from (
+      select *, bool_or(split or grp0 > 0) over (partition by host, len(up) = d, up[:d - 1]) as stays, grp0 as grp
+      from (
+        select * exclude (grp), sum(coalesce(apart, false)::int) over (w order by blocked / labels, up[-1]) as grp0
+        from (
+          select *, pow(n1::double * blocked - b1::double * labels, 2) * (n1 + labels) > 3.8416::double * n1 * labels * (b1 + blocked) * (n1 + labels - b1 - blocked) as apart
+          from (
+            select *, lag(labels) over (v order by blocked / labels, up[-1]) as n1, lag(blocked) over (v order by blocked / labels, up[-1]) as b1
+            from m where d > 0 and not final window v as (partition by host, len(up) = d, up[:d - 1], split)))
+        window w as (partition by host, len(up) = d, up[:d - 1], split))),
+      (select unnest([0, 1]) as k)
+    where k = 0 and (len(up) < d or d > 1) or k = 1 and len(up) = d and not split and (stays or d = 1))
+  group by d, host, up, grp, final),
+g as (select coalesce(sum(blocked)::double / nullif(sum(labels), 0), 0.0) as share from a),
+q as (select host, (sum(blocked)::double + 4 * (select share from g)) / (sum(labels) + 4) as prior from a group by host),
+f as (
+  select host, up[-1] as template, sum(labels) over w as labels, sum(blocked) over w as blocked
+  from m where final window w as (partition by d, host, up[:-2], grp)),
+bad as (
+  select distinct leaf.host, shape from (select *, unnest(up) as template from leaf) leaf join f using (host, template) join q using (host)
+  where f.labels >= 10 and (f.blocked + 4 * prior) / (f.labels + 4) >= 0.5)
 select page_id, y.host, path, rule, coalesce(ruled, case when bad.host is not null and y.host <> '' then 'block' else 'allow' end) as verdict
 from y left join bad on y.host = bad.host and y.shape = bad.shape
 """

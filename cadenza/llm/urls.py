@@ -1,14 +1,19 @@
 """URL filter: stated rules first, then a path-template tree.
 
-Per host, paths form a tree. Runs of digits become {n}; a segment that is one of many (over MAX_CHILDREN) under its
-node and has less than 1 / RARE of that node's pages becomes a wildcard. Pages that a rule judges label the
-templates. A template's share of blocked labels is smoothed towards its host's, and that towards all hosts'.
-Sibling templates whose smoothed shares lie in the same of BANDS bands are merged, and a merged branch with at least
-MIN_LABELS labels and a smoothed share of at least REJECT is blocked.
+Per host, paths form a tree, as deep as they are. Runs of digits become {n}; a segment that is one of many (over
+MAX_CHILDREN) under its node and has less than 1 / RARE of that node's pages becomes a wildcard, and what follows the
+wildcards of a node goes on as one branch. Below a node with at most MAX_CHILDREN different paths nothing can become a
+wildcard, so these paths are its leaves as they are; the levels to build are those of the crowded nodes only.
+
+Pages that a rule judges label the tree. From the deepest level up, labelled siblings stand in order of their blocked
+share, and neighbours merge unless a two-proportion test tells them apart (its square above TOLERANCE). Where all
+labelled children of a node merge, the node is one branch, with their counts, among its own siblings. A merged branch
+with at least MIN_LABELS labels is rejected if its blocked share, smoothed towards its host's and that towards all
+hosts', is at least REJECT. Branches without labels are neither merged nor rejected.
 
 Everything is a DataFrame operation. Pages are counted by host and {n}-path before anything else; tree levels are
-grouped counts of those. Hosts may be hot: no window and no list spans a host, and joins are with staged tables, so
-that Spark can split their hot keys. Only rejected templates join the pages.
+grouped counts of those. Hosts may be hot: joins are with staged tables, so that Spark can split their hot keys, and
+windows span the children of one node, which are at most MAX_CHILDREN + RARE + 1. Only rejected shapes join the pages.
 
 Defined cases: a null url, or one without ://, has an empty host and path and is allowed; repeated rows are judged
 each; without any rule hit everything is allowed; an empty table gives an empty result; extra columns are ignored.
@@ -21,6 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stage
 
@@ -32,11 +38,11 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-DEPTH = 3
 MAX_CHILDREN = 20
 RARE = 20
 SMOOTHING = 4
-BANDS = 5
+#: 1.96 squared: shares of one branch are told apart once in twenty.
+TOLERANCE = 3.8416
 MIN_LABELS = 10
 REJECT = 0.5
 
@@ -59,35 +65,73 @@ def _ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def _rejected(pages: DataFrame) -> DataFrame:
-    """host and shape ({n}-path) of what the tree blocks; pages: host, path, verdict of the rules."""
-    shape = F.regexp_replace("path", "[0-9]+", "{n}")
-    counts = pages.groupBy("host", shape.alias("shape")).agg(F.count("*").alias("n"), F.count("verdict").alias("labels"), F.count_if(F.col("verdict") == "block").alias("blocked"))
+def _shape(path: Column) -> Column:
+    return F.regexp_replace(path, "[0-9]+", "{n}")
+
+
+def _tree(counts: DataFrame) -> DataFrame:
+    """host, shape, labels, blocked and up, the templates from the host down to the shape's leaf, of every counted shape."""
+    node, rest = F.col("node"), F.col("rest")
     parts = F.split("shape", "/")
-    tree = counts.select("*", F.lit("").alias("template"), F.lit("").alias("parent"), *(F.get(parts, F.lit(i)).alias(f"s{i}") for i in range(1, DEPTH + 1)), (F.size(parts) > DEPTH + 1).alias("deeper"))
-    tree = stage(tree)
-    for level in range(1, DEPTH + 1):
-        segment = F.col(f"s{level}")
-        children = stage(tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("n").alias("own")))
-        wide = stage(children.groupBy("host", "template").agg(F.sum("own").alias("all"), F.count("*").alias("children")).where(F.col("children") > MAX_CHILDREN).select("host", "template", "all"))
-        rare = stage(children.join(wide, ["host", "template"]).where(F.col("own") * RARE < F.col("all")).select(F.col("host").alias("_host"), F.col("template").alias("_template"), F.col("segment").alias("_segment")))
-        joined = tree.join(rare, (tree["host"] == rare["_host"]) & (tree["template"] == rare["_template"]) & (segment == rare["_segment"]), "left")
-        longer = F.concat("template", F.lit("/"), F.when(F.col("_segment").isNotNull(), "*").otherwise(segment))
-        tree = joined.withColumn("parent", F.when(segment.isNull(), F.col("parent")).otherwise(F.col("template"))).withColumn("template", F.when(segment.isNull(), F.col("template")).otherwise(longer))
-        tree = stage(tree.drop("_host", "_template", "_segment"))
-    tree = tree.withColumn("template", F.concat("template", F.when(F.col("deeper"), "/**").otherwise("")))
-    leaves = stage(tree.groupBy("host", "parent", "template").agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked")))
-    hosts = leaves.groupBy("host").agg(F.sum("labels").alias("host_labels"), F.sum("blocked").alias("host_blocked"))
-    total = leaves.agg(F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
-    share = F.coalesce(F.col("all_blocked") / F.nullif(F.col("all_labels"), F.lit(0)), F.lit(0.0))
-    prior = (F.col("host_blocked") + SMOOTHING * share) / (F.col("host_labels") + SMOOTHING)
-    hosts = stage(hosts.join(F.broadcast(total)).select("host", prior.alias("prior")))  # total is one row
-    smoothed = (F.col("blocked") + SMOOTHING * F.col("prior")) / (F.col("labels") + SMOOTHING)
-    banded = stage(leaves.join(hosts, "host").withColumn("band", F.least(F.floor(smoothed * BANDS), F.lit(BANDS - 1)).cast("int")))
-    branches = banded.groupBy("host", "parent", "band").agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"), F.max("prior").alias("prior"))
-    bad = stage(branches.where((F.col("labels") >= MIN_LABELS) & (smoothed >= REJECT)).select("host", "parent", "band"))
-    templates = stage(banded.join(bad, ["host", "parent", "band"], "left_semi").select("host", "template"))
-    return stage(tree.join(templates, ["host", "template"], "left_semi").select(F.col("host").alias("_host"), F.col("shape").alias("_shape")))
+    active = counts.select("*", F.lit("").alias("node"), F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))).alias("rest"), F.array().cast("array<string>").alias("up"))
+    leaves = [active.where(F.size(rest) == 0).withColumn("up", F.array(F.lit("")))]
+    active = stage(active.where(F.size(rest) > 0))
+    while not active.isEmpty():
+        children = active.groupBy("host", "node", F.get(rest, F.lit(0)).alias("segment")).agg(F.sum("n").alias("own"), F.count("*").alias("shapes"))
+        nodes = children.groupBy("host", "node").agg(F.sum("own").alias("all"), F.sum("shapes").alias("below"), F.count("*").alias("children")).where(F.col("below") > MAX_CHILDREN)
+        rare = (F.col("children") > MAX_CHILDREN) & (F.col("own") * RARE < F.col("all"))
+        crowded = children.join(nodes, ["host", "node"]).select(F.col("host").alias("_host"), F.col("node").alias("_node"), F.col("segment").alias("_segment"), rare.alias("rare"))
+        joined = active.join(stage(crowded), (F.col("host") == F.col("_host")) & (node == F.col("_node")) & (F.get(rest, F.lit(0)) == F.col("_segment")), "left")
+        few = F.col("rare").isNull()
+        longer = F.concat(node, F.lit("/"), F.when(few, F.array_join(rest, "/")).when(F.col("rare"), "*").otherwise(F.get(rest, F.lit(0))))
+        left = F.when(few, F.array().cast("array<string>")).otherwise(F.slice(rest, 2, F.size(rest)))
+        step = stage(joined.select("host", "shape", "n", "labels", "blocked", longer.alias("node"), left.alias("rest"), F.array_append("up", longer).alias("up")))
+        leaves.append(step.where(F.size(rest) == 0))
+        active = step.where(F.size(rest) > 0)
+    out = leaves[0]
+    for more in leaves[1:]:
+        out = out.unionByName(more)
+    return out.select("host", "shape", "labels", "blocked", "up")
+
+
+def _smoothed(labels: str, blocked: str, towards: str) -> Column:
+    return (F.col(blocked) + SMOOTHING * F.col(towards)) / (F.col(labels) + SMOOTHING)
+
+
+def _branches(leaves: DataFrame) -> DataFrame:
+    """host, template, labels, blocked: every merged branch's counts beside each template that it consists of; leaves: host, up, labels, blocked."""
+    live = leaves.where("labels > 0").groupBy("host", "up").agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked")).withColumn("split", F.lit(False))
+    live, found = stage(live), None
+    siblings = Window.partitionBy("host", "parent", "split")
+    ordered = siblings.orderBy(F.col("blocked") / F.col("labels"), "template")
+    n1, b1, n2, b2 = (F.col(c).cast("double") for c in ("n1", "b1", "labels", "blocked"))
+    apart = (b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) > TOLERANCE * n1 * n2 * (b1 + b2) * (n1 + n2 - b1 - b2)
+    for depth in range(live.agg(F.max(F.size("up"))).first()[0] or 0, 0, -1):
+        here = live.where(F.size("up") == depth).withColumns({"template": F.element_at("up", -1), "parent": F.coalesce(F.get("up", F.lit(depth - 2)), F.lit(""))})
+        here = here.withColumns({"n1": F.lag("labels").over(ordered), "b1": F.lag("blocked").over(ordered)})
+        here = here.withColumn("group", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(ordered))
+        whole = F.max(F.col("split") | (F.col("group") > 0)).over(Window.partitionBy("host", "parent"))
+        here = stage(here.withColumn("stays", whole if depth > 1 else F.lit(True)))
+        branch = Window.partitionBy("host", "parent", "group")
+        ends = here.where("stays and not split").select("host", "template", F.sum("labels").over(branch).alias("labels"), F.sum("blocked").over(branch).alias("blocked"))
+        found = ends if found is None else found.unionByName(ends)
+        if depth > 1:
+            above = here.groupBy("host", F.slice("up", 1, depth - 1).alias("up")).agg(F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"), F.max("stays").alias("split"))
+            live = live.where(F.size("up") < depth).unionByName(above)
+    return live.select("host", F.lit("").alias("template"), "labels", "blocked").limit(0) if found is None else found
+
+
+def _rejected(pages: DataFrame) -> DataFrame:
+    """_host and _shape ({n}-path) of what the tree blocks; pages: host, path, verdict of the rules."""
+    counts = stage(pages.groupBy("host", _shape(F.col("path")).alias("shape")).agg(F.count("*").alias("n"), F.count("verdict").alias("labels"), F.count_if(F.col("verdict") == "block").alias("blocked")))
+    hosts = counts.groupBy("host").agg(F.sum("labels").alias("host_labels"), F.sum("blocked").alias("host_blocked"))
+    total = counts.agg((F.sum("blocked") / F.nullif(F.sum("labels"), F.lit(0))).alias("share")).first()[0] or 0.0
+    hosts = hosts.where("host_labels > 0").withColumn("share", F.lit(total)).select("host", _smoothed("host_labels", "host_blocked", "share").alias("prior"))
+    leaves = _tree(counts)
+    bad = _branches(leaves).where(F.col("labels") >= MIN_LABELS).join(hosts, "host").where(_smoothed("labels", "blocked", "prior") >= REJECT)
+    bad = bad.select(F.col("host").alias("_host"), F.col("template").alias("_template"))
+    below = leaves.select("host", "shape", F.explode("up").alias("template"))
+    return stage(below.join(bad, (F.col("host") == F.col("_host")) & (F.col("template") == F.col("_template")), "left_semi").select(F.col("host").alias("_host"), F.col("shape").alias("_shape")).distinct())
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -97,6 +141,6 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     rule, verdict = _ruled(F.col("host"), F.col("path"), rules)
     rows = stage(split.withColumns({"rule": rule, "verdict": verdict}))
     bad = _rejected(rows)
-    joined = rows.join(bad, (rows["host"] == bad["_host"]) & (F.regexp_replace(rows["path"], "[0-9]+", "{n}") == bad["_shape"]), "left")
+    joined = rows.join(bad, (rows["host"] == bad["_host"]) & (_shape(rows["path"]) == bad["_shape"]), "left")
     method = F.when(F.col("_host").isNotNull() & (F.col("host") != ""), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"))

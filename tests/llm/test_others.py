@@ -148,6 +148,48 @@ def test_templates_reject_what_labels_say(spark):
     assert shapes["ad", "x"] == {"block"} and shapes["art", "x"] == shapes["art", "y"] == {"allow"}
 
 
+def test_the_deepest_segment_alone_decides(spark):
+    rows = [(i, f"http://shop.org/a/b/c/d/e/{'ad' if i % 2 else 'art'}/{i}", "") for i in range(200)]
+    rules = [("block", "shop.org", f"/a/b/c/d/e/ad/{i}") for i in range(1, 60, 2)] + [("allow", "shop.org", f"/a/b/c/d/e/art/{i}") for i in range(0, 60, 2)]
+    rows += [(1000 + i, f"http://shop.org/{i % 7}/w{i}x/{'y' * (i % 3)}/z{i % 5}/v/{i}", "") for i in range(80)]
+    out = urls.judge(spark.createDataFrame(rows, PAGES), rules).where("rule is null").collect()
+    assert all((r.verdict == "block") == ("/ad/" in r.path) for r in out) and any(r.verdict == "block" for r in out)
+
+
+def test_similar_branches_merge(spark):
+    """Shares of .39 and .41 are one branch; of many labels, .41 and .59 are two. A uniform node is a branch among its siblings."""
+    rows = [("h", ["/a"], 100, 39), ("h", ["/b"], 100, 41), ("i", ["/a"], 1000, 410), ("i", ["/b"], 1000, 590), ("i", ["/c"], 0, 0)]
+    rows += [("j", ["/a", "/a/x"], 4, 4), ("j", ["/a", "/a/y"], 4, 4), ("j", ["/b"], 4, 4), ("j", ["/c", "/c/x"], 50, 0), ("j", ["/c", "/c/y"], 50, 50), ("j", ["/d", "/d/x", "/d/x/x"], 3, 0)]
+    out = {(r.host, r.template): (r.labels, r.blocked) for r in urls._branches(spark.createDataFrame(rows, "host string, up array<string>, labels long, blocked long")).collect()}
+    assert out == {
+        ("h", "/a"): (200, 80), ("h", "/b"): (200, 80), ("i", "/a"): (1000, 410), ("i", "/b"): (1000, 590),
+        ("j", "/a"): (12, 12), ("j", "/b"): (12, 12), ("j", "/d"): (3, 0), ("j", "/c/x"): (50, 0), ("j", "/c/y"): (50, 50),
+    }
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_tree_equals_sql_on_deep_paths(spark, tmp_path, seed):
+    import duckdb
+    from oracle import rows as in_order
+
+    rng = np.random.default_rng(seed)
+    heads = ["en", "de", "es"] + [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(6000):
+        host = str(rng.choice(["a.com", "b.example.com", "c.net", "d.org"]))
+        deep = [str(rng.choice([f"s{rng.integers(4)}", f"u{rng.integers(200)}x", str(rng.integers(1000))])) for _ in range(rng.integers(0, 5))]
+        rows.append((i, f"http://{host}/{'/'.join([str(rng.choice(heads)), *deep])}", ""))
+    rows += [(9000, "http://a.com", ""), (9001, "http://a.com/", ""), (9002, "http://a.com//en//", ""), (9003, None, "")]
+    pages = spark.createDataFrame(rows, PAGES)
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view pages as select * from '{tmp_path}/pages.parquet'")
+    made, out = c.sql(catalog.ORACLES["op4_urls"]), urls.judge(pages)
+    got = in_order(out.columns, [tuple(r) for r in out.collect()])
+    assert got == in_order(made.columns, made.fetchall())
+    assert out.where("rule is null and verdict = 'block'").count() > 10
+
+
 # WARC
 
 
