@@ -6,11 +6,12 @@ others. Each source's documents stand in a shuffled order (by a hash of the id).
 target, are a document's virtual finish time; a second and third epoch queue behind the first. The mix is the
 queue of all copies in order of finish time, cut off where it would pass the total budget.
 
-Everything is a DataFrame operation. A source may hold a third of the rows, so no window spans a source: running
-totals are made from sums over hash ranges of the shuffled order, then inside each range, of some hundred rows.
-The global sort is one into ranges of finish time: sums over RANGES ranges tell which range holds the cut, and
-that range alone is divided again, until few rows are left to sort. What comes out is a row per source, with its
-last copy in the mix; documents need no shuffle to be compared with it.
+Everything is a DataFrame operation. Rows at one place of the order (same id, source and size) stand or fall together,
+so they are added up first, and a key that a third of the rows share is one row. A source may hold a third of the
+rows, so no window spans a source: running totals are made from sums over hash ranges of the shuffled order, then
+inside each range, of some hundred rows. The copies are then sorted globally by finish time into ranges of at most
+about SORT_ROWS rows; the ranges' sums tell the one that holds the cut, and only there a running total is made. What
+comes out is a row per source, with its last copy in the mix; documents need no shuffle to be compared with it.
 
 Defined cases: a null text has size 0, and documents without words are not in the mix; null ids share one place in the order; repeated rows (same id, source and
 size) stay together, in or out; an empty table gives an empty result; `mixed` keeps extra columns, `shares`
@@ -23,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpoint, packed
+from .common import WORD, checkpoint, packed, stage
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-RANGES = 1024
 ROWS_IN_RANGE = 256
+SORT_ROWS = 1 << 20
 #: A table of sources with at most so many rows is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 20_000
 SEED = "mix"
@@ -70,49 +71,39 @@ def _beside(rows: DataFrame, sources: DataFrame, columns: list[str], source: str
     return rows.join(small, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
 
 
-def _running(rows: DataFrame) -> DataFrame:
-    """Rows (source, _size, _place) with _cum, the source's running total of _size in order of _place."""
-    n, ranges = rows.count(), 1
+def _running(places: DataFrame) -> DataFrame:
+    """Rows (source, _size, _place), one per place of a source, with _cum, the source's running total of _size in order of _place."""
+    n, ranges = places.count(), 1
     while ranges * ROWS_IN_RANGE < n:
         ranges *= 2
     hashed = F.conv(F.substring("_place.key", 1, 10), 16, 10).cast("long")
-    at = rows.withColumn("_range", F.floor(hashed * ranges / 16**10).cast("long"))
+    at = places.withColumn("_range", F.floor(hashed * ranges / 16**10).cast("long"))
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = at.groupBy("source", "_range").agg(F.sum("_size").alias("_sum"))
     starts = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = F.sum("_size").over(Window.partitionBy("source", "_range").orderBy("_place").rangeBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("_size").over(Window.partitionBy("source", "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
     joined = at.withColumn("_in", inside).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     return joined.select("source", "_size", "_place", "source_size", "target", (F.col("_start") + F.col("_in")).alias("_cum"))
 
 
-def _cut(copies: DataFrame, budget: int) -> tuple | None:
-    """(vft, place, epoch) of the last copy in the mix; None if there is none."""
-    low, high, used, last = 0.0, copies.agg(F.max("vft")).first()[0], 0, None
-    while high is not None:
-        between = copies.where((F.col("vft") > low) & (F.col("vft") <= high))
-        width = (high - low) / RANGES
-        if not low < low + width < high:
-            break
-        part = F.least(F.floor((F.col("vft") - low) / width), F.lit(RANGES - 1)).cast("int")
-        sums = between.groupBy(part.alias("part")).agg(F.sum("_size").alias("n"), F.count("*").alias("rows"), F.max("vft").alias("last"))
-        for r in sums.orderBy("part").collect():
-            if used + r["n"] > budget:
-                break
-            used, low = used + r["n"], r["last"]
-        else:
-            break
-        high = r["last"]
-        if r["rows"] <= ROWS_IN_RANGE:
-            break
-    if high is None:
-        return None
-    # What is at `low` is in, what is above `high` is out; the few copies between go one by one, those at one place together.
-    rest = copies.where((F.col("vft") > low) & (F.col("vft") <= high)).groupBy("vft", "_place", "epoch").agg(F.sum("_size").alias("n"))
-    for r in rest.orderBy("vft", "_place", "epoch").toLocalIterator():
+def _within(copies: DataFrame, budget: int) -> DataFrame:
+    """source, epoch, _place of the copies before the budget is passed, in order of (vft, _place, epoch)."""
+    spark, order = copies.sparkSession, ["vft", "_place", "epoch"]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), copies.count() // SORT_ROWS + 1)
+    queue = stage(copies.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    used, cut = 0, None
+    for r in queue.groupBy("_range").agg(F.sum("_size").alias("n")).orderBy("_range").collect():  # a row per range
         if used + r["n"] > budget:
+            cut = r["_range"]
             break
-        used, last = used + r["n"], (r["vft"], tuple(r["_place"]), r["epoch"])
-    return last or (low, ("g", 0, 0), 0)  # "g" stands after all hex digits: whatever finishes at `low`
+        used += r["n"]
+    columns = ["source", "epoch", "_place"]
+    if cut is None:
+        return queue.select(*columns)
+    # The sources' rows at one finish time and place are one step of the queue.
+    total = F.sum("_size").over(Window.partitionBy("_range").orderBy(*order).rangeBetween(Window.unboundedPreceding, 0))
+    inside = queue.where(F.col("_range") == cut).withColumn("_total", total).where(F.col("_total") <= budget - used)
+    return queue.where(F.col("_range") < cut).select(*columns).unionByName(inside.select(*columns))
 
 
 def last_copies(rows: DataFrame) -> DataFrame:
@@ -121,17 +112,12 @@ def last_copies(rows: DataFrame) -> DataFrame:
     rows: source, _size, _place; checkpointed.
     """
     sources = checkpoint(targets(rows))
-    queue = checkpoint(_running(_beside(rows.where("_size > 0"), sources, ["source_size", "target"])))
+    places = checkpoint(rows.where("_size > 0").groupBy("source", "_place").agg(F.sum("_size").alias("_size")))
+    queue = checkpoint(_running(_beside(places, sources, ["source_size", "target"])))
     finish = F.array(*(F.struct(((e * F.col("source_size") + F.col("_cum")) / F.col("target")).alias("vft"), F.lit(e).alias("epoch")) for e in range(MAX_EPOCHS)))
     copies = queue.select("source", "_size", "_place", F.explode(finish).alias("c")).select("source", "_size", "_place", "c.vft", "c.epoch")
     budget = sources.agg(F.sum("source_size")).first()[0] or 0
-    cut = _cut(copies, budget)
-    if cut is None:
-        return sources.withColumn("last", F.lit(None).cast("struct<epoch:int,place:struct<key:string,id:bigint,size:bigint>>"))
-    vft, place, epoch = cut
-    place = F.struct(F.lit(place[0]).alias("key"), F.lit(place[1]).cast("long").alias("id"), F.lit(place[2]).cast("long").alias("size"))
-    inside = F.struct("vft", "_place", "epoch") <= F.struct(F.lit(vft).alias("vft"), place.alias("_place"), F.lit(epoch).alias("epoch"))
-    ends = copies.where(inside).groupBy("source").agg(F.max(F.struct("epoch", F.col("_place").alias("place"))).alias("last"))
+    ends = _within(copies, budget).groupBy("source").agg(F.max(F.struct("epoch", F.col("_place").alias("place"))).alias("last"))
     joined = sources.join(ends.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
     return checkpoint(joined.select("source", "source_size", "target", "last"))
 

@@ -1,16 +1,17 @@
 """Best-fit decreasing packing of token sequences.
 
 Documents become token ids and an end id; one longer than the capacity is cut into full pieces, the first of which
-may be shorter. Pieces are dealt into groups of about GROUP_ROWS by a hash that takes in their contents' checksum (so
-that many pieces of one id, or of none, spread), and each group is packed by itself:
-longest first, each into the open sequence with the least room that still holds it. A segment tree over the
-remaining capacities (its leaves count the open sequences with so much room) finds that in log2(capacity) steps.
-A group leaves at most about one sequence unfilled, so groups cost well under a part in a thousand, and no task
-ever holds more than a group.
+may be shorter. Equal pieces (in every column) are counted before they are shuffled, and travel as one row with the
+number of copies, at most COPIES of them. Those rows are dealt by a hash into groups of about GROUP_ROWS pieces, so a
+piece that a third of all rows repeat is spread over as many groups, and each group is packed by itself: longest
+first, each into the open sequence with the least room that still holds it. A segment tree over the remaining
+capacities (its leaves count the open sequences with so much room) finds that in log2(capacity) steps. A group leaves
+at most about one sequence unfilled, so groups cost well under a part in a thousand, and no task ever holds more than
+a group. The outcome does not depend on how the rows were partitioned.
 
 Defined cases: a null text is an empty one, which is its end id alone; equal lengths go in order of id and piece;
-repeated rows are packed each, those with equal contents by one group; null ids are packed as any other; an empty table gives an empty result; extra
-columns are ignored by `tokenise` and kept by `pack`.
+repeated rows are packed each; null ids are packed as any other; an empty table gives an empty result; extra columns
+are ignored by `tokenise` and kept by `pack` (but for maps, which cannot be compared).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .common import texts
 CAPACITY = 1024
 END_ID = 2
 GROUP_ROWS = 2048
+COPIES = 64
 
 
 def tokenizer_path() -> str:
@@ -158,17 +160,20 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     id_at, piece_at, length_at = (names.index(c) for c in ("doc_id", "piece", "length"))
 
     def run(table: pa.Table) -> pa.Table:
-        group = table.column(len(names))[0].as_py()
+        group = table.column("_group")[0].as_py()
+        table = table.take(np.repeat(np.arange(table.num_rows), table.column("_copies").to_numpy())).drop_columns(["_group", "_copies"])
         ids, numbers, lengths = (table.column(i).to_pylist() for i in (id_at, piece_at, length_at))
         order = sorted(range(table.num_rows), key=lambda i: (-lengths[i], ids[i] is None, ids[i] or 0, numbers[i]))
         bins, sequences, offsets = BestFit(capacity), np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         for i in order:
             sequences[i], offsets[i] = bins.place(lengths[i])
-        out = table.drop_columns(["_group"])
-        return out.append_column("sequence_id", pa.array(sequences + (group << 32))).append_column("offset", pa.array(offsets))
+        return table.append_column("sequence_id", pa.array(sequences + (group << 32))).append_column("offset", pa.array(offsets))
 
+    counted = pieces.groupBy(*names).agg(F.count("*").alias("_n"))
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}"))))
+    copies = F.least(F.col("_n") - COPIES * F.col("_block"), F.lit(COPIES))
     by = [c for c in ("doc_id", "piece", "length", "ids_crc32") if c in names]
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*by), F.lit(groups)))
+    dealt = blocks.select(*names, copies.alias("_copies"), F.pmod(F.xxhash64(*by, "_block"), F.lit(groups)).alias("_group"))
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
 

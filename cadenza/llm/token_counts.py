@@ -3,8 +3,9 @@
 Each task inserts the distinct pre-tokens of its documents in a trie. A node stands for a prefix and stores the
 forward score of the best segmentation of that prefix and its number of pieces; it is scored once, when it is
 made, from the scores of its ancestors. A pre-token's count is read at its terminal node, so a prefix that a
-thousand words share is scored once. The trie is dropped when it reaches MAX_NODES, which bounds a worker's
-memory and changes no count. There is no shuffle: a document's count is the sum over its pre-tokens.
+thousand words share is scored once. The trie is dropped when it reaches MAX_NODES, and of a pre-token longer than
+LONG the rest is scored beyond the trie with the last scores only, as many as a piece is long: both bound a worker's
+memory and change no count. There is no shuffle: a document's count is the sum over its pre-tokens.
 
 The vocabulary is a public sentencepiece file. Its pieces stand in order of rank; as unigram score a piece of
 rank r has -log(r + 1). A character that no piece covers costs UNKNOWN and counts as one token for each of its
@@ -17,6 +18,7 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
@@ -28,6 +30,7 @@ from .common import append_columns
 
 UNKNOWN = -25.0
 MAX_NODES = 400_000
+LONG = 2_000
 MARK = "▁"
 
 
@@ -67,20 +70,22 @@ class Trie:
         if len(self.children) > MAX_NODES:
             self.clear()
         path = [0]
-        for end, char in enumerate(word, 1):
+        for end, char in enumerate(word[:LONG], 1):
             children = self.children[path[-1]]
             node = children.get(char)
             if node is None:
                 node = children[char] = len(self.children)
                 self.children.append({})
-                self._forward(word, end, path)
+                self._forward(word, end, path, self.score, self.tokens)
             path.append(node)
+        if len(word) > LONG:
+            return self._beyond(word, path)
         self.terminal[word] = found = self.tokens[path[-1]]
         return found
 
-    def _forward(self, word: str, end: int, path: list[int]) -> None:
-        """Score the prefix word[:end] from its ancestors, path[i] being the node of word[:i]."""
-        score, tokens, scores = self.score, self.tokens, self.scores
+    def _forward(self, word: str, end: int, path: Sequence[int], score: list[float], tokens: list[int]) -> None:
+        """Score the prefix word[:end] from its ancestors, path[i] being the place of word[:i] in `score` and `tokens`, and append it there."""
+        scores = self.scores
         best, fewest = score[path[end - 1]] + UNKNOWN, tokens[path[end - 1]] + len(word[end - 1].encode("utf-8", "surrogatepass"))
         for start in range(max(0, end - self.longest), end):
             piece = scores.get(word[start:end])
@@ -92,6 +97,17 @@ class Trie:
         score.append(best)
         tokens.append(fewest)
 
+    def _beyond(self, word: str, path: list[int]) -> int:
+        """Tokens of a word whose first LONG characters are the nodes of `path`; of the rest, the last scores alone are kept."""
+        score, tokens = [self.score[i] for i in path[-self.longest :]], [self.tokens[i] for i in path[-self.longest :]]
+        for at in range(LONG, len(word), LONG):
+            before = len(score) - 1
+            part = word[at - before : at + LONG]
+            for end in range(before + 1, len(part) + 1):
+                self._forward(part, end, range(end), score, tokens)
+            score, tokens = score[-self.longest :], tokens[-self.longest :]
+        return tokens[-1]
+
 
 @cache
 def _trie(path: str) -> Trie:
@@ -113,7 +129,8 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
                 if n is None:
                     n = known[word] = trie.count(MARK + word.decode("utf-8", "replace"))
                     known = trie.terminal
-                    known[word] = n
+                    if len(word) <= LONG:
+                        known[word] = n
                 total += n
             tokens[i] = total
         return {"n_pretokens": pa.array(words), "n_tokens": pa.array(tokens)}

@@ -6,12 +6,13 @@ states, and a logistic unit scores the window. A document's score is its highest
 WINDOW - STRIDE words and cover the whole text.
 
 The network is fitted on the driver, on a sample with stated bounds: at most FIT_POSITIVE and FIT_NEGATIVE labelled
-documents (by a hash of the id) of at most FIT_WORDS words. A label belongs to a document, and the window that
-carries it is not known: at first it is the one with the highest log-odds of its words, later the one that the
-network itself scores highest. Everything is seeded, so runs agree.
+documents (by a hash of the id), each id once, first those of at most FIT_BYTES bytes and, where these are too few,
+others of at most MOST_BYTES; so the driver never gets more than (FIT_POSITIVE + FIT_NEGATIVE) * MOST_BYTES bytes. A
+label belongs to a document, and the window that carries it is not known: at first it is the one with the highest
+log-odds of its words, later the one that the network itself scores highest. Everything is seeded, so runs agree.
 
 Defined cases: a null or empty text has one window without words; fewer words than a window are padded, and padding
-changes no state; repeated rows are scored each; labels that repeat count as toxic if one of them is; without both
+changes no state; repeated rows are scored each; labels that repeat count as toxic if one of them is; of documents that repeat an id the shortest is learnt from; without both
 labels in the sample all scores are 0.5; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -24,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, checkpoint
 from .quality import fold
 
 WINDOW, STRIDE = 64, 48
 BUCKETS = 1 << 14
 EMBED = 8
 HIDDEN = 16
-FIT_POSITIVE, FIT_NEGATIVE, FIT_WORDS = 600, 900, 1000
+FIT_POSITIVE, FIT_NEGATIVE = 600, 900
+FIT_BYTES, MOST_BYTES = 8_000, 64_000
 #: At least so many epochs, and steps.
 EPOCHS, LEAST_STEPS = 6, 150
 BATCH, RATE = 64, 0.01
@@ -281,15 +283,22 @@ def _inputs_of(net: Network, word: np.ndarray, grams: np.ndarray, starts: np.nda
     return out
 
 
+def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, label of the training sample: a row per id, of a bounded number and size."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("label")).where("label is not null and _id is not null").groupBy("_id").agg(F.max("label").alias("label"))
+    known = known.where(fold(F.col("_id"), FOLDS) != HELD_OUT)
+    sized = docs.select("doc_id", "text").withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0))).where(F.col("_bytes") <= MOST_BYTES)
+    usable = sized.select("doc_id", "_bytes").join(known, F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.max("label").alias("label"), F.min("_bytes").alias("_least"))
+    usable = checkpoint(usable)
+    some = lambda label, most: usable.where(F.col("label") == label).orderBy(F.col("_least") > FIT_BYTES, F.xxhash64("_id"), "_id").limit(most)
+    chosen = F.broadcast(some(1, FIT_POSITIVE).unionByName(some(0, FIT_NEGATIVE)))  # a bounded number of rows
+    rows = sized.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("_bytes") == F.col("_least")))
+    return rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
     """A network from the labelled documents outside the held-out fold, within the bounds of the sample."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    known = known.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    some = lambda label, most: known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = some(1, FIT_POSITIVE).unionByName(some(0, FIT_NEGATIVE)).withColumnRenamed("doc_id", "_id")
-    joined = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))  # ids: a bounded number
-    short = joined.where(F.coalesce(F.size(F.split("text", r"\s+")), F.lit(0)) <= FIT_WORDS)
-    rows = short.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").orderBy("doc_id", "text").collect()
+    rows = sample(docs, labels).orderBy("doc_id").collect()
     return train([r["text"].encode("utf-8", "surrogatepass") for r in rows], np.array([r["label"] for r in rows], np.int64))
 
 

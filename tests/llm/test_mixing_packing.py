@@ -105,3 +105,48 @@ def test_round_trip(spark, tokenizer):
     assert len(bins) <= sum(r.length for r in out) / 1024 * 1.05 + 1
     assert content(packing.pack_documents(with_clashes(odd(spark)))) == content(packing.pack_documents(odd(spark)))
     assert packing.pack_documents(empty(spark)).count() == 0
+
+
+def test_mix_of_a_row_that_a_third_repeats(spark):
+    """100,000 rows without an id and 100,000 of one id, beside others: each place is one row of the queue."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    others = spark.range(1000, 4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 90).cast("int")).alias("text"), F.lit("en").alias("lang"), F.lit("other").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    rows = mixing._sized(hot.unionByName(others)).select("source", "_size", "_place")
+    places = rows.groupBy("source", "_place").agg(F.sum("_size").alias("_size"))
+    assert places.where("source = 'hot'").count() == 2
+    out = mixing.shares(hot.unionByName(others)).groupBy("doc_id", "size", "taken", "source_size").count().collect()
+    assert sum(r["count"] for r in out) == 203_000 and {r["count"] for r in out if r.source_size == 600_000} == {100_000}
+    assert sum(r.taken * r["count"] for r in out) <= sum(r["size"] * r["count"] for r in out)
+
+
+def test_mix_is_cut_inside_a_range(spark, sf_dir, monkeypatch):
+    from cadenza.llm.common import read
+
+    docs = read(spark, sf_dir, "documents")
+    expected = content(mixing.shares(docs))
+    for rows in (1, 50):
+        monkeypatch.setattr(mixing, "SORT_ROWS", rows)
+        assert content(mixing.shares(docs.repartition(5))) == expected
+
+
+def test_packing_of_a_row_that_repeats(spark):
+    """200,000 equal pieces are dealt over all groups, and packed as tightly as others."""
+    from pyspark.sql import functions as F
+
+    pieces = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(100).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"))
+    groups = 200_000 // packing.GROUP_ROWS
+    out = packing.pack(pieces, groups)
+    per = out.groupBy(F.shiftright("sequence_id", 32).alias("g")).agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("bins")).collect()
+    assert sum(r.n for r in per) == 200_000 and max(r.n for r in per) < 2 * packing.GROUP_ROWS
+    assert sum(r.bins for r in per) <= 200_000 / 10 + groups
+    assert out.groupBy("sequence_id", "offset").count().where("count > 1").count() == 0
+
+
+def test_ids_of_all_documents_are_those_of_tokenizers(tokenizer, sf_dir):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table(sf_dir.replace("0.001", "0.01") + "/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for text, ids in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert packing.encode(text, packing.tokenizer_path()).tolist() == ids.ids

@@ -1,4 +1,5 @@
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -57,6 +58,22 @@ def test_token_counts_of_odd_documents(spark):
     assert token_counts.count_tokens(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("long", [5, 17, 40])
+def test_words_beyond_the_trie(monkeypatch, long):
+    monkeypatch.setattr(token_counts, "LONG", long)
+    scores = token_counts.vocabulary(token_counts.default_model())
+    trie = token_counts.Trie(scores)
+    words = [token_counts.MARK + w for w in ["internationalisation" * 4, "x" * 41, "nation" * 9 + "é中", "the", "a" * long, "a" * (long - 1)]]
+    assert [trie.count(w) for w in words] == [plain_count(w, scores) for w in words]
+
+
+def test_a_very_long_word_makes_few_nodes():
+    trie = token_counts.Trie(token_counts.vocabulary(token_counts.default_model()))
+    word = "abcdefghij" * 40_000
+    assert trie.count(word) == trie.count(word) > 40_000
+    assert len(trie.children) <= token_counts.LONG + 1 and word not in trie.terminal
+
+
 # Toxicity
 
 
@@ -124,6 +141,31 @@ def test_toxicity_of_odd_documents(spark):
     assert toxicity.score(empty(spark), labels).count() == 0
 
 
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "FIT_POSITIVE", 3)
+    monkeypatch.setattr(toxicity, "FIT_NEGATIVE", 5)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 40, F.repeat(F.lit("long "), 2_000)).otherwise(F.lit("short")).alias("text"))
+    docs = docs.unionByName(spark.range(20_000).select(F.lit(ids[-1]).cast("long").alias("doc_id"), F.lit("the same id again and again").alias("text")))
+    docs = docs.unionByName(spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), toxicity.MOST_BYTES + 1).alias("text")))
+    labels = spark.createDataFrame([(i, 1, int(i < 30)) for i in range(60)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.sample(docs, labels).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 8 and set(r.doc_id for r in rows) <= set(ids)
+    assert [len(r.text) for r in rows if r.label] == [10_000] * 3  # no short ones: longer ones take their place
+    assert {len(r.text) for r in rows if not r.label} == {5}
+
+
+def test_toxicity_of_sf_documents_one_by_one(spark, sf_dir):
+    """The query's scores are the network's of each text alone, and separate the held-out documents."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    out = {r.doc_id: r for r in catalog.op7_toxicity(spark, sf_dir).collect()}
+    net = toxicity.fit(docs, labels)
+    for r in docs.limit(40).collect():
+        assert abs(net.scores([toxicity.words_of((r.text or "").encode())])[0] - out[r.doc_id].score) < 1e-5
+
+
 # URLs
 
 
