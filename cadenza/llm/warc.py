@@ -1,12 +1,14 @@
 """WARC archives as a PySpark data source, and a deduplicating writer on top of it.
 
 Format `warc`, columns RECORD. Writing makes one or more archives per partition, each record a gzip member of its
-own (option `compression` "none": plain). Files are written under a temporary name and renamed when the job commits,
-so a retried or lost task leaves no archive. Reading plans partitions of whole files of about PARTITION_BYTES each.
-Filters on any column but the payload are pushed down: a record's headers are parsed first, and if a filter rejects
-them, or the payload is not among the columns of the schema, the payload is skipped (in a plain archive by seeking,
-in a compressed one by inflating it in small pieces that are dropped). Files are reached through pyarrow's file
-systems, so paths may be local, HDFS or object stores.
+own (option `compression` "none": plain), whose extra field `sl` holds the member's length as stored and inflated.
+Files are written under a temporary name and renamed when the job commits, so a retried or lost task leaves no
+archive. Reading plans partitions of whole files of about PARTITION_BYTES each. Filters on any column but the payload
+are pushed down: a record's headers are parsed first, and if a filter rejects them, or the payload is not among the
+columns of the schema, the payload is skipped: in a plain archive, and in a compressed one with such lengths, by
+seeking; in other compressed ones by inflating it in small pieces that are dropped. Archives of others may hold
+several records in a member, and headers in any case. An archive that ends inside a record raises an error. Files are
+reached through pyarrow's file systems, so paths may be local, HDFS or object stores.
 
 `archive_pages` writes pages so that of equal payloads of at least MIN_REVISIT bytes one is stored, as a response,
 and the others are revisits that refer to it.
@@ -19,6 +21,7 @@ least id are responses each; an empty table makes an empty archive folder, which
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -65,12 +68,37 @@ def to_bytes(record: dict) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+def to_member(data: bytes) -> bytes:
+    """A gzip member of `data`, with its lengths in the extra field `sl`."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    total = 24 + len(body) + 8
+    lengths = (total, len(data)) if max(total, len(data)) < 1 << 32 else (0, 0)  # 0: unknown
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, *lengths)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+def _member_lengths(head: bytes) -> tuple[int, int]:
+    """(stored, inflated) length of the gzip member that starts with `head`; (0, 0) where it does not say."""
+    if len(head) >= 12 and head[3] & 4:
+        at, end = 12, 12 + int.from_bytes(head[10:12], "little")
+        while at + 4 <= min(end, len(head)):
+            size = int.from_bytes(head[at + 2 : at + 4], "little")
+            if head[at : at + 2] == b"sl" and size == 8 and at + 12 <= len(head):
+                return struct.unpack("<II", head[at + 4 : at + 12])
+            at += 4 + size
+    return 0, 0
+
+
 def parse_headers(block: bytes) -> dict:
-    """The columns that a record's headers hold, and its content length as `length`."""
-    found = dict(line.split(": ", 1) for line in block.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    out: dict = {name: found.get(header) for name, header in _HEADERS.items()}
+    """The columns that a record's headers hold, and its content length as `length`; header names in any case."""
+    lines = (line.split(":", 1) for line in block.decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
+    found = {name.strip().lower(): value.strip() for name, value in lines}
+    if not found.get("content-length", "").isdigit():
+        raise ValueError("a record without a content length")
+    out: dict = {name: found.get(header.lower()) for name, header in _HEADERS.items()}
     out["payload_bytes"] = None if out["payload_bytes"] is None else int(out["payload_bytes"])
-    return out | {"length": int(found.get("Content-Length", 0))}
+    return out | {"length": int(found["content-length"])}
 
 
 class _Plain:
@@ -79,74 +107,98 @@ class _Plain:
     def __init__(self, file):
         self.file, self.held = file, b""
 
+    def _more(self, most: int) -> bytes:
+        """Some of the next bytes; none at the end of the archive."""
+        return self.file.read(max(most, 1 << 14))
+
     def headers(self) -> bytes | None:
         while (end := self.held.find(b"\r\n\r\n")) < 0:
-            more = self.file.read(1 << 14)
+            more = self._more(1024)
             if not more:
+                if self.held:
+                    raise ValueError("the archive ends inside a record")
                 return None
             self.held += more
         block, self.held = self.held[:end], self.held[end + 4 :]
         return block
 
     def payload(self, length: int) -> bytes:
-        while len(self.held) < length + 4:
-            more = self.file.read(max(1 << 14, length + 4 - len(self.held)))
-            if not more:
-                raise ValueError("the archive ends inside a record")
-            self.held += more
-        body, self.held = self.held[:length], self.held[length + 4 :]
+        parts, left = [self.held], length + 4 - len(self.held)
+        while left > 0:
+            parts.append(self._piece(left))
+            left -= len(parts[-1])
+        whole = b"".join(parts)
+        body, self.held = whole[:length], whole[length + 4 :]
         return body
 
+    def _piece(self, most: int) -> bytes:
+        more = self._more(min(most, 1 << 20))
+        if not more:
+            raise ValueError("the archive ends inside a record")
+        return more
+
     def skip(self, length: int) -> None:
-        if len(self.held) >= length + 4:
-            self.held = self.held[length + 4 :]
-        else:
-            self.file.seek(self.file.tell() + length + 4 - len(self.held))
+        left = length + 4 - len(self.held)
+        if left > 0:
             self.held = b""
+            if self.file.tell() + left > self.file.size():
+                raise ValueError("the archive ends inside a record")
+            self.file.seek(self.file.tell() + left)
+        else:
+            self.held = self.held[length + 4 :]
 
 
-class _Gzip:
-    """An archive whose records are gzip members."""
+class _Gzip(_Plain):
+    """A compressed archive: the members' contents, laid end to end."""
 
     def __init__(self, file):
-        self.file, self.raw, self.member, self.held = file, b"", None, b""
+        super().__init__(file)
+        self.raw, self.member, self.inflated = b"", None, 0
+
+    def _fill(self, least: int) -> bool:
+        """Whether `least` bytes are at hand of the archive as stored."""
+        while len(self.raw) < least:
+            more = self.file.read(1 << 18)
+            if not more:
+                return False
+            self.raw += more
+        return True
 
     def _more(self, most: int) -> bytes:
-        """At most `most` more bytes of this member; none at its end."""
-        while not self.member.eof:
-            if not self.raw:
-                self.raw = self.file.read(1 << 18)
-                if not self.raw:
-                    raise ValueError("the archive ends inside a record")
+        while True:
+            if self.member is None:
+                if not self._fill(1):
+                    return b""
+                self._fill(64)
+                self.start, (self.stored, self.whole) = self.file.tell() - len(self.raw), _member_lengths(self.raw)
+                self.member, self.inflated = zlib.decompressobj(31), 0
+            if not self._fill(1):
+                raise ValueError("the archive ends inside a record")
             out = self.member.decompress(self.raw, most)
-            self.raw = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+            self.inflated += len(out)
+            ended = self.member.eof
+            self.raw = self.member.unused_data if ended else self.member.unconsumed_tail
+            if ended:
+                self.member = None
             if out:
                 return out
-        return b""
-
-    def headers(self) -> bytes | None:
-        if not self.raw:
-            self.raw = self.file.read(1 << 18)
-            if not self.raw:
-                return None
-        self.member, self.held = zlib.decompressobj(31), b""
-        while (end := self.held.find(b"\r\n\r\n")) < 0:
-            more = self._more(1024)
-            if not more:
-                raise ValueError("a record without headers")
-            self.held += more
-        block, self.held = self.held[:end], self.held[end + 4 :]
-        return block
-
-    def payload(self, length: int) -> bytes:
-        parts = [self.held]
-        while more := self._more(1 << 20):
-            parts.append(more)
-        return b"".join(parts)[:length]
 
     def skip(self, length: int) -> None:
-        while self._more(1 << 14):
-            pass
+        left = length + 4 - len(self.held)
+        if left > 0 and self.member is not None and self.stored and self.inflated + left == self.whole:
+            end, at = self.start + self.stored, self.file.tell()
+            if end > self.file.size():
+                raise ValueError("the archive ends inside a record")
+            if end > at:
+                self.file.seek(end)
+            self.raw, self.member, self.held = self.raw[len(self.raw) - (at - end) :] if end <= at else b"", None, b""
+            return
+        if left <= 0:
+            self.held = self.held[length + 4 :]
+        while left > 0:
+            more = self._piece(min(left, 1 << 14))
+            self.held = more[left:]
+            left -= len(more)
 
 
 def _accepts(filters: Sequence[Filter], record: dict) -> bool:
@@ -254,8 +306,7 @@ class _Writer(DataSourceArrowWriter):
                 for record in batch.to_pylist():
                     data = to_bytes(record)
                     if self.gzip:
-                        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                        data = packer.compress(data) + packer.flush()
+                        data = to_member(data)
                     if file is None or size + len(data) > ROLL_BYTES:
                         if file:
                             file.close()

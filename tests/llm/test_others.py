@@ -252,6 +252,81 @@ def test_warc_round_trip(spark, tmp_path, compression):
     assert spark.read.format("warc").load(path).count() == 2
 
 
+def _records(n):
+    return [{"record_id": f"<r{i}>", "record_type": "revisit" if i % 3 == 0 else "response", "payload_bytes": i, "payload": bytes(range(256)) * (i % 5 * 700)} for i in range(n)]
+
+
+class _Counting:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        import io
+
+        self.io, self.read_bytes, self.length = io.BytesIO(data), 0, len(data)
+
+    def read(self, n):
+        out = self.io.read(min(n, 256))
+        self.read_bytes += len(out)
+        return out
+
+    def tell(self):
+        return self.io.tell()
+
+    def seek(self, at):
+        self.io.seek(at)
+
+    def size(self):
+        return self.length
+
+
+def test_rejected_payloads_are_not_inflated():
+    import gzip
+
+    rng = np.random.default_rng(0)
+    big = [{"record_id": f"<r{i}>", "record_type": "revisit", "payload": rng.bytes(50_000)} for i in range(6)]
+    data = b"".join(warc.to_member(warc.to_bytes(r)) for r in big)
+    assert gzip.decompress(data) == b"".join(map(warc.to_bytes, big))  # ordinary gzip to others
+    file = _Counting(data)
+    archive, ids = warc._Gzip(file), []
+    while (block := archive.headers()) is not None:
+        head = warc.parse_headers(block)
+        ids.append(head["record_id"])
+        archive.skip(head["length"])
+    assert ids == [r["record_id"] for r in big] and file.read_bytes < len(data) / 20
+
+
+@pytest.mark.parametrize("members", ["own", "foreign", "three in one", "plain"])
+@pytest.mark.parametrize("skipping", [0, 1, 2])
+def test_archives_of_all_kinds(members, skipping):
+    import gzip
+
+    records = _records(31)
+    texts = [warc.to_bytes(r).replace(b"Content-Length: ", b"content-length:") for r in records]
+    if members == "own":
+        data = b"".join(map(warc.to_member, texts))
+    elif members == "plain":
+        data = b"".join(texts)
+    else:
+        size = 3 if members == "three in one" else 1
+        data = b"".join(gzip.compress(b"".join(texts[i : i + size])) for i in range(0, 31, size))
+    read = warc._Plain if members == "plain" else warc._Gzip
+
+    def all_of(data):
+        archive, out = read(_Counting(data)), []
+        while (block := archive.headers()) is not None:
+            head = warc.parse_headers(block)
+            wanted = skipping == 0 or len(out) % (skipping + 1)
+            out.append((head["record_id"], archive.payload(head["length"]) if wanted else archive.skip(head["length"])))
+        return out
+
+    out = all_of(data)
+    assert [i for i, _ in out] == [r["record_id"] for r in records]
+    assert all(p is None or p == r["payload"] for (_, p), r in zip(out, records, strict=True))
+    for cut in range(len(data) - 400, len(data), 7):
+        with pytest.raises(ValueError):
+            all_of(data[:cut])
+
+
 def test_failed_write_leaves_no_archive(spark, tmp_path):
     from pyspark.sql import functions as F
 
