@@ -84,12 +84,12 @@ left join k on d.source is not distinct from k.source and d.key = k.key and d.id
 
 KNN = r"""
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
-  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+  select q.rid, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on c.rid <> q.rid where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by rid order by score desc, vec_id nulls last) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 20
 """
 

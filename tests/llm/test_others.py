@@ -349,12 +349,18 @@ def test_pages_with_odd_rows(spark):
 
 
 def plain_top(rows, k):
+    """The answers as a sorted list: a query for every row with a query id, against all other rows."""
     use = [(i, [math.floor(64 * np.float32(x).item()) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out = set()
-    for i, q in {i: v for i, v in sorted(use, key=lambda r: (r[0] is None, r[0] or 0, r[1]), reverse=True) if i is not None and i % 20 == 0}.items():
-        found = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j is None, j or 0) for j, v in use if j != i)
-        out |= {(i, n, None if none else j, -s) for n, (s, none, j) in enumerate(found[:k], 1)}
-    return out
+    out = []
+    for at, (i, q) in enumerate(use):
+        if i is not None and i % 20 == 0:
+            found = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j is None, j or 0) for n, (j, v) in enumerate(use) if n != at)
+            out += [(i, n, None if none else j, -s) for n, (s, none, j) in enumerate(found[:k], 1)]
+    return sorted(out, key=str)
+
+
+def top(df, k):
+    return sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in knn.top_k(df, k).collect()), key=str)
 
 
 @pytest.mark.parametrize("clustered", [False, True])
@@ -364,15 +370,14 @@ def test_top_k_against_brute_force(spark, clustered):
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * 0.2 + centre[i % 6]]) for i in range(1500)]
     rows += [(2000 + i, rows[20][1]) for i in range(700)]  # one vector a third of the rows share, and ties
     df = spark.createDataFrame([(*r, 0) for r in rows], VECTORS).repartition(5)
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in knn.top_k(df, 7).collect()}
-    assert got == plain_top(rows, 7)
+    assert top(df, 7) == plain_top(rows, 7)
 
 
 def test_top_k_of_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (20, None), (40, [float("nan"), 1.0]), (60, [None, 1.0]), (80, [float("inf"), 1.0]), (1, [1.0]), (2, [0.5, -0.01, 9.0]), (3, []), (None, [2.0, 2.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (100, [0.0, 0.0]), (120, [3e4, -3e4])]
     df = spark.createDataFrame([(*r, 0) for r in rows], VECTORS)
     out = knn.top_k(with_clashes(df), 4)
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()} == plain_top(rows, 4)
+    assert sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()), key=str) == plain_top(rows, 4)
     assert content(knn.top_k(df.repartition(6), 4)) == content(out)
     assert knn.top_k(empty(spark, VECTORS)).count() == 0
     assert knn.top_k(spark.createDataFrame([(0, [1.0], 0)], VECTORS)).count() == 0
@@ -385,11 +390,37 @@ def test_top_k_where_a_query_id_repeats(spark, cells):
     rows = [(20, [100.0, float(i % cells)]) for i in range(30)] + [(i, [99.0, 0.0]) for i in range(1, 6)]
     rows += [(1001 + i, [-100.0, i / 64]) for i in range(500) if (1001 + i) % 20]
     df = spark.createDataFrame([(*r, 0) for r in rows], VECTORS).repartition(3)
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in knn.top_k(df, 20).collect()}
-    assert len(got) == 20 and got == plain_top(rows, 20)
+    got = top(df, 20)
+    assert len(got) == 30 * 20 and got == plain_top(rows, 20)
+
+
+def test_top_k_of_rows_that_repeat_a_query(spark):
+    """Two vectors of one id are two queries, candidates of each other; equal rows too."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [2.0, 1.0])]
+    assert top(spark.createDataFrame([(*r, 0) for r in rows], VECTORS), 3) == plain_top(rows, 3)
+
+
+def test_a_small_query_set_has_many_parts(spark, monkeypatch):
+    for name, value in {"BLOCK_ROWS": 16, "BLOCKS_IN_PART": 2, "GROUP_QUERIES": 8, "LARGE_GROUP": 2}.items():
+        monkeypatch.setattr(knn, name, value)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in [*range(1, 20), 20, *range(21, 40), 40, *range(1001, 2501)] if i % 20 or i in (20, 40)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], VECTORS).repartition(3)
+    assert top(df, 5) == plain_top(rows, 5)
+    plan = knn.top_k(df, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(0, (parts" in plan
+    many = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(0, 4000, 5)]
+    assert top(spark.createDataFrame([(*r, 0) for r in many], VECTORS), 5) == plain_top(many, 5)
+
+
+def test_parts_grow_with_the_blocks():
+    pivots = np.zeros((1, 2))
+    cells = knn.Cells(pivots, np.array([512 * 400, 512 * 9, 1, 0]), np.ones(4), np.array([1]), np.full((1, 6), np.inf))
+    assert cells.blocks().tolist() == [400, 9, 1, 1]
 
 
 def test_far_cells_are_not_needed():
     pivots = np.array([[100.0, 0], [-100.0, 0]])
-    cells = knn.Cells(pivots, "<i2", np.array([50, 50]), np.array([1, 1]), np.array([5.0, 5.0]), np.tile(np.linspace(0, 5, 6), (2, 1)))
-    assert cells.needed(np.array([[90.0, 3.0]]), 5).tolist() == [0]
+    counts, radius = np.array([50, 0, 0, 1, 50, 0, 0, 1]), np.array([5.0, 0, 0, 400, 5, 0, 0, 6])
+    cells = knn.Cells(pivots, counts, radius, np.array([1, 1]), np.tile(np.linspace(0, 5, 6), (2, 1)))
+    assert cells.needed(np.array([[90.0, 3.0]]), 5).tolist() == [0, 3]  # not the other cell; of its own, the far ring alone besides
