@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,17 +22,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders that this process has written between steps.
+_staged: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local master (tests) may leave it unset and gets a temporary one."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if folder is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="cadenza-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The path of a new folder for intermediate data, in the shared one."""
+    _staged.append(f"{shared_dir(spark)}/cadenza/{uuid.uuid4().hex}")
+    return _staged[-1]
+
+
+def drop_staged(spark: SparkSession, first: int = 0, keep: int = 0) -> None:
+    """Remove what was staged from the `first` on, but for the last `keep`: once a query's result is written, nothing of it is needed."""
+    paths = _staged[first : len(_staged) - keep]
+    del _staged[first : len(_staged) - keep]
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the shared folder; it outlives lost executors."""
     shared_dir(df.sparkSession)
@@ -43,11 +65,19 @@ def stage(df: DataFrame) -> DataFrame:
 
     A join with it shuffles both sides, so that Spark can split a partition that a hot key makes large.
     """
-    path = f"{shared_dir(df.sparkSession)}/cadenza/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def finished(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """The staged result of `make`; what was staged to make it is removed."""
+    first = len(_staged)
+    out = stage(make())
+    drop_staged(spark, first, keep=1)
+    return out
+
+
 @contextmanager
 def configured(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """`key` set to `value` in the block."""

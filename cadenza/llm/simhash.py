@@ -202,22 +202,22 @@ def _content(docs: DataFrame) -> dict[str, Column]:
 def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each component (fingerprints of `size` words, `distance` bits), the first by (doc_id, nulls last; content), its columns as they were.
 
-    Rows are told apart by id and content, so what goes in one component touches no other. Rows that repeat the kept
-    one, id and all, stay with it; without an id nothing says that they are one document, and a single one stays.
+    Rows are told apart by id and content, so what goes in one component touches no other. Of rows that repeat the
+    kept one, id and all, a single one stays.
     """
     whole = packed(docs)
-    whole = whole.withColumns(_content(whole))
-    texts = whole.select(F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"), "_h1", "_h2")
+    whole = whole.withColumns(_content(whole)).withColumn("_key", F.col("_doc.doc_id"))
+    texts = whole.select(F.col("_key").alias("doc_id"), F.col("_doc.text").alias("text"), "_h1", "_h2")
     rows = stage(with_fingerprint(texts, size).select("doc_id", "_h1", "_h2", F.col("_fp").alias("fp")))
     keys = stage(rows.groupBy("doc_id", "_h1", "_h2", "fp").agg(F.count("*").alias("n")))
     members = stage(keys.join(_rooted(rows, distance), "fp").select("root", "n", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_h1", "_h2", "fp").alias("key")))
     first = stage(members.groupBy("root").agg(F.min("key").alias("first")))
-    marked = members.join(first, "root").withColumn("once", F.col("key").eqNullSafe(F.col("first"))).where("not once or (key.none and n > 1)")
+    marked = members.join(first, "root").withColumn("once", F.col("key").eqNullSafe(F.col("first"))).where("not once or n > 1")
     marked = stage(marked.select("once", F.col("key.doc_id").alias("_id"), F.col("key._h1").alias("_a"), F.col("key._h2").alias("_b")))
     gone, once = marked.where("not once").drop("once"), marked.where("once").drop("once")
 
     def those(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
-        return rows.join(some, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")), how)
+        return rows.join(some, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")), how)
 
     kept = those(whole, gone, "left_anti")
     if not once.isEmpty():

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_dir, stage
+from .common import new_folder, stage
 
 RECORD = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 MIN_REVISIT = 100
@@ -410,6 +410,6 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive pages in the shared folder and read them back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/cadenza/warc-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     archive_pages(pages, path)
     return read_pages(spark, path).drop("url")

@@ -107,3 +107,27 @@ def test_rules_judge_each_group_by_its_own_fence(spark):
     rows = [(i, text(0.05), "en", "calm", 1) for i in range(1500)] + [(3000 + i, text(0.9), "en", "titles", 1) for i in range(200)] + [(5000, text(0.9), "en", "calm", 1)]
     kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
     assert not kept[5000] and sum(kept[i] for i in range(1500)) > 1480 and sum(kept[3000 + i] for i in range(200)) > 190
+
+
+def test_whole_query_against_plain_numpy(spark, sf_dir):
+    """The classifier once more, on one machine: features, ridge on cosines, pooled calibration."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    remainder = lambda i, m=5: zlib.crc32(str(i).encode()) % m
+    x = {d: np.array(textstats.features((t or "").encode()), np.float32).astype(float) for d, t in zip(docs.doc_id, docs.text, strict=True)}
+    known = [(x[d], int(q), remainder(d)) for d, q in zip(labels.doc_id, labels.quality, strict=True) if q == q and d in x and remainder(d)]
+    every = np.array([k[0] for k in known])
+    six = lambda v: np.array([float(f"{a:.6g}") for a in v])
+    model = quality.Model(six(every.mean(axis=0)), six(every.std(axis=0)) + 1e-6)
+    z, y = (np.array(v) for v in zip(*((model.fourier(a[None])[0], q) for a, q, f in known if f != 4), strict=True))
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y)
+    pools = []  # [last bin, rows, label 1] after rows of equal bins are taken together
+    for b in sorted({round(float((model.fourier(a[None]) @ weights)[0] * quality.BINS)) for a, _, f in known if f == 4}):
+        here = [q for a, q, f in known if f == 4 and round(float((model.fourier(a[None]) @ weights)[0] * quality.BINS)) == b]
+        pools.append([[b, b], len(here), sum(here)])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][1] >= pools[-1][2] / pools[-1][1]:
+            last = pools.pop()
+            pools[-1] = [[pools[-1][0][0], last[0][1]], pools[-1][1] + last[1], pools[-1][2] + last[2]]
+    at, share = (np.array(v) for v in zip(*((b / quality.BINS, p[2] / p[1]) for p in pools for b in p[0]), strict=True))
+    expected = {d: float(np.interp((model.fourier(v[None]) @ weights)[0], at, share)) for d, v in x.items()}
+    for r in catalog.op1_quality(spark, sf_dir).collect():
+        assert abs(r.score - expected[r.doc_id]) < 1e-6 and r.predicted == int(r.score >= 0.3) and r.held_out == (remainder(r.doc_id) == 0)

@@ -94,7 +94,7 @@ def test_odd_documents(spark):
     kept = simhash.keep_one(with_clashes(docs))
     assert kept.columns == with_clashes(docs).columns
     ids = [r.doc_id for r in kept.collect()]
-    assert 67 not in ids and 61 not in ids and 60 in ids and ids.count(0) == 3  # 67 copies 1; a repeated row shares its id
+    assert 67 not in ids and 61 not in ids and 60 in ids and ids.count(0) == 1  # 67 copies 1; row 0 is there three times
     assert simhash.near_duplicates(empty(spark)).count() == 0 == simhash.keep_one(empty(spark)).count()
 
 
@@ -107,12 +107,30 @@ def test_keep_one_tells_rows_apart_by_id_and_content(spark):
     rows += [(80, e), (81, "x"), (81, "x")]
     docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS).repartition(3)
     kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs).collect()]
-    assert sorted(((i, t) for i, t in kept if i is not None), key=str) == sorted([(60, None), (70, b), (71, c), (80, e), (81, "x"), (81, "x")], key=str)
+    assert sorted(((i, t) for i, t in kept if i is not None), key=str) == sorted([(60, None), (70, b), (71, c), (80, e), (81, "x")], key=str)
     nameless = sorted((t.strip() for i, t in kept if i is None))
     assert nameless == sorted([a, d])
     assert (None, "a null id") in [(r.doc_id, r.text) for r in simhash.keep_one(odd(spark)).collect()]
 
 
+@pytest.mark.parametrize("rows, kept", [
+    ([(1, "A"), (None, "A"), (None, "B"), (5, "C")], [(1, "A"), (5, "C"), (None, "B")]),
+    ([(1, "A"), (2, "A"), (2, "B"), (5, "C")], [(1, "A"), (2, "B"), (5, "C")]),
+    ([(1, "A"), (1, "A"), (1, "A"), (None, "B"), (None, "B")], [(1, "A"), (None, "B")]),
+])
+def test_keep_one_loses_and_doubles_nothing(spark, rows, kept):
+    docs = spark.createDataFrame([(i, f"{t} one two three four {t * 9}", "en", "a", 1) for i, t in rows], DOCS).repartition(3)
+    assert sorted(((r.doc_id, r.text[0]) for r in simhash.keep_one(docs).collect()), key=str) == sorted(kept, key=str)
+
+
+def test_keep_one_of_a_row_that_a_third_repeats(spark):
+    from pyspark.sql import functions as F
+
+    hot = spark.range(50_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).cast("long").alias("doc_id"), F.lit("the same text in all of them").alias("text"))
+    docs = hot.unionByName(spark.range(100, 400).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text")))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [7, *range(100, 400)]
+
+
 def test_keep_one_with_other_shingles_and_distance(spark):
     rng = random.Random(4)
     rows = []
