@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import mixing, packing, quality, quality_rules, simhash
-from cadenza.llm.common import read, stage
+from cadenza.llm.common import finished, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
     docs = read(spark, sf_dir, "documents")
     for _, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir))
+        docs = finished(spark, lambda step=step, docs=docs: step(spark, docs, sf_dir))
     return docs
