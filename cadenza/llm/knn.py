@@ -218,7 +218,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     usable = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     is_query = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
     clean = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(e.isNotNull() & usable).withColumn("is_query", is_query)
-    width, largest = clean.agg(F.max(F.size(e)), F.max(F.array_max(F.transform(e, lambda x: F.abs(x) * 64)))).first()
+    width, largest, n = clean.agg(F.max(F.size(e)), F.max(F.array_max(F.transform(e, lambda x: F.abs(x) * 64))), F.count("*")).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if not width:
         width, largest = 1, 0.0  # no vector, or empty ones only: all scores are zero
@@ -232,7 +232,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     if not sample.num_rows:
         return clean.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
     points = _rows(sample.column("embedding").combine_chunks(), width)
-    pivots = _pivots(points, min(MAX_PIVOTS, max(1, math.isqrt(len(points)))))
+    pivots = _pivots(points, max(1, min(MAX_PIVOTS, math.isqrt(len(points)), n // (RINGS * BLOCK_ROWS))))  # a ring fills a block at least
     assigned = stage(_assign(clean, pivots, _edges(points, pivots), dtype))
     cells = _summaries(assigned, pivots, k)
     groups, blocks_of = _groups(cells), cells.blocks()
