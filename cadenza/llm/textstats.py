@@ -12,20 +12,38 @@ SENTENCE_ENDS = np.frombuffer(b".!?", np.uint8)
 PUNCTUATION = np.frombuffer(b",;:'\"()-_/", np.uint8)
 
 
+#: From so many words on, windows are counted as numbers in arrays: tuples of a text of millions of words would take some hundred megabytes.
+LONG_TEXT = 20_000
+
+
+def _marked(words: list[bytes], window: int) -> np.ndarray:
+    """Where a window starts that occurs twice or more."""
+    index: dict[bytes, int] = {}
+    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+    n = len(ids) - window + 1
+    key, counts = ids[:n], np.ones(0, np.int64)
+    for i in range(1, window):
+        _, key, counts = np.unique(key * len(index) + ids[i : n + i], return_inverse=True, return_counts=True)
+    return np.flatnonzero(counts[key] > 1)
+
+
 def repeated_words(words: list[bytes], window: int = 3) -> int:
     """Words in `window`-word windows that occur twice or more, the first occurrence included."""
     if len(words) <= window:
         return 0
-    windows = list(zip(*(words[i:] for i in range(window)), strict=False))
-    if len(set(windows)) == len(windows):
-        return 0
-    counts = Counter(windows)
+    if len(words) >= LONG_TEXT:
+        at = _marked(words, window)
+    else:
+        windows = list(zip(*(words[i:] for i in range(window)), strict=False))
+        if len(set(windows)) == len(windows):
+            return 0
+        counts = Counter(windows)
+        at = [i for i, w in enumerate(windows) if counts[w] > 1]
     total, covered_to = 0, 0
-    for at, w in enumerate(windows):
-        if counts[w] > 1:
-            total += at + window - max(at, covered_to)
-            covered_to = at + window
-    return total
+    for i in at:
+        total += i + window - max(i, covered_to)
+        covered_to = i + window
+    return int(total)
 
 
 def duplicate_lines(lines: list[bytes]) -> tuple[int, int]:

@@ -59,8 +59,10 @@ def plain_repeats(words):
     return len(marked)
 
 
+@pytest.mark.parametrize("long", [0, 20_000])
 @pytest.mark.parametrize("seed", range(30))
-def test_repeated_words(seed):
+def test_repeated_words(seed, long, monkeypatch):
+    monkeypatch.setattr(textstats, "LONG_TEXT", long)
     rng = np.random.default_rng(seed)
     words = [bytes([97 + int(i)]) for i in rng.integers(0, 3, rng.integers(0, 25))]
     assert textstats.repeated_words(words) == plain_repeats(words)
