@@ -46,30 +46,37 @@ _PLAIN = re.compile("[^\x00-ɏ‐-›€]|<\\|")
 
 
 @cache
-def _encoders(path: str):
-    """(tokenizers' encoder, the faster one or None if there is no .tiktoken file beside it)."""
-    import base64
+def _exact(path: str):
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    exact, ranks = Tokenizer.from_file(path), re.sub(r"json$", "tiktoken", path)
+    return Tokenizer.from_file(path)
+
+
+@cache
+def _fast(path: str):
+    """The faster encoder, None if there is no .tiktoken file beside `path`."""
+    import base64
+    import os
+
+    ranks = re.sub(r"json$", "tiktoken", path)
     if not os.path.exists(ranks):
-        return exact, None
+        return None
     import public_tokenizers
     import tiktoken
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return exact, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
 
 def encode(text: str, path: str) -> np.ndarray:
-    """The ids that tokenizers gives for `text` without special tokens added."""
-    exact, fast = _encoders(path)
-    if fast is None or _PLAIN.search(text):
-        return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
+    """The ids that tokenizers gives for `text` without special tokens added. A worker loads only the encoders that it needs."""
+    fast = None if _PLAIN.search(text) else _fast(path)
+    if fast is None:
+        return np.array(_exact(path).encode(text, add_special_tokens=False).ids, "<u4")
     return np.array(fast.encode_ordinary(text), "<u4")
 
 

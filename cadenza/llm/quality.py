@@ -51,11 +51,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
+def _features(texts: list[bytes]) -> np.ndarray:
+    return np.array([features(t) for t in texts], np.float32).reshape(-1, len(FEATURES))
+
+
 def featurise(docs: DataFrame, name: str = "text") -> DataFrame:
     """`docs` and `_x`, the FEATURES of each text."""
 
     def compute(texts: list[bytes]) -> dict[str, pa.Array]:
-        return {"_x": _lists(np.array([features(t) for t in texts], np.float32).reshape(-1, len(FEATURES)))}
+        return {"_x": _lists(_features(texts))}
 
     return append_columns(docs, name, [("_x", T.ArrayType(T.FloatType()))], compute)
 
@@ -189,4 +193,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     x = featurise(docs.select("doc_id", "text")).drop("text")
     model = fit(checkpoint(training_rows(x, labels, "quality")))
-    return _scored(featurise(packed(docs), "_doc.text"), model).where(F.col("_score") >= THRESHOLD).select("_doc.*")
+
+    def compute(texts: list[bytes]) -> dict[str, pa.Array]:
+        return {"_score": pa.array(model.score(_features(texts).astype(np.float64)))}
+
+    return append_columns(packed(docs), "_doc.text", [("_score", T.DoubleType())], compute).where(F.col("_score") >= THRESHOLD).select("_doc.*")
