@@ -28,13 +28,25 @@ def run_results(chunks: DataFrame, keys: list[str]) -> DataFrame:
 def ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Each distinct value of a key (nulls left out) with _upto, how many are at most so large, and _all, how many there are.
 
-    Equal values are counted before the shuffle, and running totals come from windows, which spill: no buffer holds a
-    key's values, as that of an exact percentile does.
+    Equal values are counted before the shuffle. A key may hold most of the rows, so no window spans it: running totals
+    come from the totals of its value ranges (by sign and logarithm, so their number is bounded), then inside each range.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_range", value_range(F.col(value)))
     all_ = Window.partitionBy(*keys)
-    upto = all_.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(all_))
+    before = all_.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_n"))
+    sums = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(all_).alias("_all"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    joined = counts.withColumn("_in", F.sum("_n").over(inside)).join(sums, same)
+    return joined.select(*keys, value, "_n", (F.col("_start") + F.col("_in")).alias("_upto"), "_all")
+
+
+def value_range(v: Column) -> Column:
+    """A whole number that grows with v: its sign, and 64 steps to each doubling of 1 + |v|. A few hundred to some ten thousand ranges."""
+    return (F.signum(v.cast("double")) * F.floor(64 * F.log2(1 + F.abs(v.cast("double"))))).cast("long")
 
 
 def interpolated(value: str, share: float) -> Column:

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def by_frame(df: DataFrame) -> DataFrame:
+    """The cells dealt by frame: windows along rows and along columns of it then need no other shuffle, however often they alternate."""
+    return df.repartition("frame")
+
+
 def along(axis: str, radius: int):
     other = "y" if axis == "x" else "x"
     return Window.partitionBy("frame", other).orderBy(axis).rowsBetween(-radius, radius)
@@ -38,7 +43,7 @@ def normalised(df: DataFrame) -> DataFrame:
 
 def guided(df: DataFrame, guide: Column, value: Column, radius: int = 2, eps: float = 0.0025, keep: float = 0.35) -> DataFrame:
     """Guided filter: local linear fits of value on guide, their means applied, mixed with the value."""
-    d = df.withColumn("_i", guide).withColumn("_p", value)
+    d = by_frame(df).withColumn("_i", guide).withColumn("_p", value)
     for name, c in (("_mi", F.col("_i")), ("_mp", F.col("_p")), ("_ii", F.col("_i") * F.col("_i")), ("_ip", F.col("_i") * F.col("_p"))):
         d = box(d, c, radius, name)
     a = (F.col("_ip") - F.col("_mi") * F.col("_mp")) / (F.col("_ii") - F.col("_mi") * F.col("_mi") + eps)

@@ -5,12 +5,17 @@ A band of frame offsets is an explode and an equi-join, never a range join; an a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .aggregates import value_range
+
 
 def lockstep(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One to one by key; `matched` is false where one side ends first."""
@@ -57,13 +62,51 @@ def first_match(rows: DataFrame, keys: Sequence[str], order: str, accepted: Colu
     return rows.where(accepted).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def nearest_two(queries: DataFrame, codes: DataFrame, ratio: float) -> DataFrame:
-    """Each query's nearest of a few codes by differing bits, where it is clearly nearer than the second.
+def nearest(probe: DataFrame, values: DataFrame, at: str, name: str) -> DataFrame:
+    """Each probe row with the one of `values` (at, name; each `at` once) that is nearest in `at`, and the distance; of equals the smaller name.
 
-    `codes` is a catalogue of bounded size; it is broadcast, and only two candidates per query are kept.
+    The nearest on either side come from windows over ranges of `at`; beyond a range's end stands the last or first
+    value of the nearest range that has any, from a row per range.
+    """
+    rows = probe.withColumn("_v", F.lit(None).cast(T.StructType([T.StructField(at, values.schema[at].dataType), T.StructField(name, values.schema[name].dataType)])))
+    both = rows.withColumn("_probe", F.lit(True)).unionByName(values.select(at, F.struct(at, name).alias("_v"), F.lit(False).alias("_probe")), allowMissingColumns=True)
+    both = both.withColumn("_range", value_range(F.col(at)))
+    down, up = Window.partitionBy("_range").orderBy(at), Window.partitionBy("_range").orderBy(F.col(at).desc())
+    last = lambda w: F.last("_v", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    ranges = both.groupBy(F.col("_range").alias("_r")).agg(F.min("_v").alias("_first"), F.max("_v").alias("_last"))
+    whole = Window.partitionBy(F.lit(0))  # a bounded number of ranges
+    beyond = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("_r", beyond("_last", whole.orderBy("_r")).alias("_below"), beyond("_first", whole.orderBy(F.col("_r").desc())).alias("_above"))
+    found = both.withColumns({"_low": last(down), "_high": last(up)}).where("_probe").join(ranges, F.col("_range") == F.col("_r"))
+    beside = F.array(F.coalesce("_low", "_below"), F.coalesce("_high", "_above"))
+    ranked = F.transform(F.filter(beside, lambda v: v.isNotNull()), lambda v: F.struct(F.abs(v[at] - F.col(at)).alias("distance"), v[name].alias(name)))
+    return found.withColumn("_best", F.array_min(ranked)).select(*probe.columns, "_best.*")
+
+
+def nearest_two(queries: DataFrame, codes: DataFrame, ratio: float, query_rows: int = 1024, rows: int = 16_384) -> DataFrame:
+    """The two codes of all other rows (id, code) nearest to each query's by differing bits, of equals the smaller ids, and whether the first is clearly nearer.
+
+    A stated query set against all rows, in blocks: both are packed in blocks of about so many rows, and each pair of
+    blocks gives a query's two best. What is shuffled after that is two rows per query and block.
     """
-    d = F.bit_count(F.col("code").bitwiseXOR(F.col("other_code")))
-    every = F.sort_array(F.collect_list(F.struct(d.alias("distance"), F.col("other"))))
-    pairs = queries.join(F.broadcast(codes.select(F.col("id").alias("other"), F.col("code").alias("other_code"))))
-    best = pairs.groupBy("id").agg(every.alias("m")).select("id", F.col("m")[0].alias("a"), F.col("m")[1].alias("b"))
+    pack = lambda t, n, p: t.where("code is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, t.count() // n))).alias(f"{p}_block")).agg(F.collect_list("id").alias(f"{p}_id"), F.collect_list("code").alias(f"{p}_code"))
+    blocks = pack(queries, query_rows, "q").crossJoin(pack(codes, rows, "c"))
+
+    def two_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                q_id, q, c_id, c = (batch.column(n)[i].values.to_numpy() for n in ("q_id", "q_code", "c_id", "c_code"))
+                order = np.argsort(c_id, kind="stable")
+                distance = np.bitwise_count(q.view(np.uint64)[:, None] ^ c[order].view(np.uint64)[None]).astype(np.int32)
+                distance[q_id[:, None] == c_id[order][None]] = 1 << 20
+                at = np.argsort(distance, axis=1, kind="stable")[:, :2]
+                far, near = np.take_along_axis(distance, at, 1).ravel(), c_id[order][at].ravel()
+                there = far < 1 << 20
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, at.shape[1])[there]), pa.array(far[there]), pa.array(near[there])], ["id", "distance", "other"])
+
+    found = blocks.select("q_id", "q_code", "c_id", "c_code").mapInArrow(two_best, "id long, distance int, other long")
+    m = F.struct("distance", "other")
+    first = found.groupBy("id").agg(F.min(m).alias("a"))
+    second = found.join(first, "id").where(m != F.col("a")).groupBy("id").agg(F.min(m).alias("b"))
+    best = first.join(second, "id", "left")
     return best.select("id", F.col("a.other").alias("match"), F.col("a.distance").alias("distance"), F.col("b.distance").alias("second"), (F.col("a.distance") < ratio * F.col("b.distance")).alias("clear"))

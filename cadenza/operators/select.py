@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -83,12 +84,19 @@ def tiles(mask: np.ndarray, core: int, halo: int) -> list[tuple[int, int, int, i
     return out
 
 
+def grid_of(values: list[float | None] | None) -> np.ndarray:
+    """A square grid of a list's values, row by row; what the list leaves open, and null cells, are not numbers. A null list is an empty grid."""
+    flat = np.array([] if values is None else values, np.float64)
+    side = math.isqrt(max(len(flat) - 1, 0)) + 1 if len(flat) else 0
+    return np.pad(flat, (0, side * side - len(flat)), constant_values=np.nan).reshape(side, side)
+
+
 def per_grid(df: DataFrame, make, schema: str, names: list[str], types: list[pa.DataType]) -> DataFrame:
     """Rows (frame, ...) that `make` gives for each grid of (frame, values), batch by batch."""
 
     def run(batches):
         for batch in batches:
-            rows = [(f, *r) for f, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in make(np.array(v, np.float64).reshape(8, 8))]
+            rows = [(f, *r) for f, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in make(grid_of(v))]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 

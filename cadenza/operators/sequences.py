@@ -6,7 +6,7 @@ runs as one task per session or scene, over Arrow batches, with a few scalars of
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -145,3 +145,21 @@ def chunk_plan(total: Column, size: int, first: int) -> Column:
     begins = F.concat(F.array(F.lit(0).cast("long")), F.when(total > start, F.sequence(start.cast("long"), (total - 1).cast("long"), F.lit(size).cast("long"))).otherwise(F.array().cast("array<long>")))
     ends = F.concat(F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0))), F.array(total.cast("long")))
     return F.arrays_zip(begins.alias("first"), ends.alias("end"))
+
+
+def lagged(rows: DataFrame, keys: Sequence[str], order: str, value: str, name: str, span: int = 4096) -> DataFrame:
+    """`rows` and `name`, the value of the row before it of its keys in order of a whole number.
+
+    A key may hold a third of the rows, so windows span stretches of `span` numbers only; a stretch's first row takes
+    the last value of the stretch before, of which there is one each.
+    """
+    r = rows.withColumn("_stretch", F.floor(F.col(order) / span))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(order)
+    ends = r.groupBy(*keys, "_stretch").agg(F.max_by(value, order).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_stretch")))
+    ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_stretch").alias("_s"), "_end")
+    same = F.col("_stretch") == F.col("_s")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = r.withColumn("_was", F.lag(value).over(inside)).withColumn("_n", F.row_number().over(inside)).join(ends, same)
+    return joined.withColumn(name, F.when(F.col("_n") == 1, F.col("_end")).otherwise(F.col("_was"))).select(*rows.columns, name)

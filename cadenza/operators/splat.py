@@ -1,14 +1,13 @@
 """Visibility splatting and overlap-add: what many sources leave on a target.
 
-A target's nearest layer is a maximum over its rows; only rows within a tolerance of it count, by weight. Targets are
-grouped twice on one key, so Spark shuffles once; sums combine before the shuffle.
+A target's nearest layer is a maximum over its rows, which combines before the shuffle; only rows within a tolerance
+of it count, by weight. Rows meet their target's layers in a join, whose hot keys Spark splits, and sums combine.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def taps(position: Column, weight_least: float = 1e-4) -> Column:
@@ -20,8 +19,8 @@ def taps(position: Column, weight_least: float = 1e-4) -> Column:
 
 def splat(rows: DataFrame, tolerance: float, least: float = 0.02) -> DataFrame:
     """Rows (target, layer, weight, colour): the weighted mean of each target's front layer, the far layer's, and validity."""
-    w = Window.partitionBy("target")
-    near = rows.withColumn("front", F.max("layer").over(w)).withColumn("back", F.min("layer").over(w))
+    ends = rows.groupBy(F.col("target").alias("_target")).agg(F.max("layer").alias("front"), F.min("layer").alias("back"))
+    near = rows.join(ends, F.col("target") == F.col("_target"))
     in_front, behind = F.col("layer") >= F.col("front") - tolerance, F.col("layer") <= F.col("back") + tolerance
     mean = lambda c: F.sum(F.when(c, F.col("weight") * F.col("colour"))) / F.sum(F.when(c, F.col("weight")))
     return near.groupBy("target").agg(F.max("front").alias("front"), F.count_if(in_front).alias("hits"), F.sum(F.when(in_front, F.col("weight"))).alias("coverage"), mean(in_front).alias("near"), mean(behind).alias("far")).withColumn("valid", F.col("coverage") >= least)

@@ -6,13 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from cadenza.operators import aggregates as A
 from cadenza.operators import sequences as S
 from cadenza.operators import splat as P
+from cadenza.operators.select import grid_of
 
-from .registry import CELLS, TIMELINE, cells, query, table, timeline
+from .registry import CELLS, TIMELINE, cells, lagged_cells, query, table, timeline
 from .sequence_queries import CUT, SCENES, scenes
 
 CHUNKS = f"""{SCENES}, ch as (select session, frame // 16 as chunk, count(*) as frames, sum((frame % 4 = 0)::int)::bigint as refreshed, sum(coalesce(delta >= {CUT}, false)::int)::bigint as cuts,
@@ -68,7 +68,7 @@ def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CELLS}, m as (select frame, scene, y, x, v, lag(v) over (partition by scene, y, x order by frame) as was from cl) select frame, round(avg(abs(v - was)) / 255, 8) as mae from m where was is not null group by frame")
 def scene_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = cells(spark, sf_dir).withColumn("was", F.lag("v").over(Window.partitionBy("scene", "y", "x").orderBy("frame"))).where("was is not null")
+    m = lagged_cells(spark, sf_dir)
     return m.groupBy("frame").agg(F.round(F.avg(F.abs(F.col("v") - F.col("was"))) / 255, 8).alias("mae"))
 
 
@@ -138,7 +138,7 @@ def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             rows = []
             for frame, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for label, (ys, xs) in enumerate(components(np.array(values).reshape(8, 8) > 0.1)):
+                for label, (ys, xs) in enumerate(components(grid_of(values) > 0.1)):
                     rows.append((frame, label, int(xs.min()), int(ys.min()), int(xs.max()), int(ys.max()), len(xs), float(xs.mean()), float(ys.mean())))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.int32()] * 6, *[pa.float64()] * 2], strict=True)], ["frame", "label", "x0", "y0", "x1", "y1", "area", "cx", "cy"])
@@ -174,14 +174,25 @@ def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_type").agg(F.count("*").alias("files"), F.round(F.sum("p_retailprice"), 4).alias("bytes"))
 
 
-@query(f"""{TIMELINE}, l as (select a.session, b.frame - a.frame as lag, sum(a.value * b.confidence) as s from tl a join tl b on a.session = b.session and b.frame - a.frame between -6 and 6 group by a.session, b.frame - a.frame)
-  select session, arg_max(lag, (round(s, 4), -lag)) as best_lag, round(max(s), 4) as best, round(max(s) filter (lag = 0), 4) as zero_lag from l group by session""")
+@query(f"""{TIMELINE}, n as (select session, count(*) as n from tl group by session), l as (
+    select a.session, b.frame - a.frame as lag, sum(a.value * b.confidence) / nullif(sqrt(sum(a.value * a.value) * sum(b.confidence * b.confidence)), 0) as s
+    from tl a join tl b on a.session = b.session and b.frame - a.frame between -640 and 640 join n on a.session = n.session group by a.session, b.frame - a.frame, n.n having 2 * count(*) >= n.n)
+  select session, arg_max(lag, (round(s, 6), -abs(lag), -lag)) as best_lag, round(max(s), 6) as best, round(max(s) filter (lag = 0), 6) as zero_lag from l group by session""")
 def cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lag within ±6 at which two series agree best; lags are exploded, not ranged over."""
+    """The lag within 640 frames at which two series agree best; lags are exploded, not ranged over.
+
+    Agreement is the product over the overlap, by the norms of both there. An overlap of under half a session counts
+    for nothing: that of a single frame would always agree. Of equals, the lag nearest to zero.
+    """
     t = timeline(spark, sf_dir)
-    a = t.select("session", "frame", F.col("value").alias("a"), F.explode(F.sequence(F.lit(-6), F.lit(6))).alias("lag")).withColumn("frame", F.col("frame") + F.col("lag"))
-    s = a.join(t.select("session", "frame", F.col("confidence").alias("b")), ["session", "frame"]).groupBy("session", F.col("lag").cast("long").alias("lag")).agg(F.sum(F.col("a") * F.col("b")).alias("s"))
-    return s.groupBy("session").agg(F.max_by("lag", F.struct(F.round("s", 4), -F.col("lag"))).alias("best_lag"), F.round(F.max("s"), 4).alias("best"), F.round(F.max(F.when(F.col("lag") == 0, F.col("s"))), 4).alias("zero_lag"))
+    n = t.groupBy("session").agg(F.count("*").alias("n"))
+    reach = F.least(F.lit(640), F.expr("n div 2")).cast("int")
+    a = t.join(n, "session").select("session", "n", "frame", F.col("value").alias("a"), F.explode(F.sequence(-reach, reach)).alias("lag")).withColumn("frame", F.col("frame") + F.col("lag"))
+    pairs = a.join(t.select("session", "frame", F.col("confidence").alias("b")), ["session", "frame"])
+    norm = F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b")))
+    s = pairs.groupBy("session", F.col("lag").cast("long").alias("lag")).agg((F.sum(F.col("a") * F.col("b")) / F.nullif(norm, F.lit(0.0))).alias("s"), F.count("*").alias("overlap"), F.max("n").alias("n")).where("2 * overlap >= n")
+    best = F.max_by("lag", F.struct(F.round("s", 6), -F.abs("lag"), -F.col("lag")))
+    return s.groupBy("session").agg(best.alias("best_lag"), F.round(F.max("s"), 6).alias("best"), F.round(F.max(F.when(F.col("lag") == 0, F.col("s"))), 6).alias("zero_lag"))
 
 
 @query(f"{TIMELINE}, o as (select session, frame, value, k - 50 as off, k >= lag(k) over (partition by session order by frame) as up from tl) select session, round(avg(value), 6) as mean_error, round_even(median(off), 0)::bigint as median_offset, sum((abs(off) <= 1)::int)::bigint as within_one, bool_and(coalesce(up, true)) as monotonic from o group by session")

@@ -121,10 +121,10 @@ def tier_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).select("id", (F.col("w") * F.col("h") * 3 * 240 <= budget).alias("in_memory"), chunk.alias("chunk"), scale.alias("scale"), F.when(F.col("size") * 600 >= 12000, "large").otherwise("small").alias("variant"))
 
 
-@query(REQUESTS + """ select id, round(x, 5) as x, round(y, 5) as y from (select id, (i + 0.5) / 4 as x, (j + 0.5) / 4 as y from (select id from rq where id < 50), range(4) t(i), range(4) u(j))""")
+@query(REQUESTS + """ select id, round(x, 5) as x, round(y, 5) as y from (select id, (i + 0.5) / 4 as x, (j + 0.5) / 4 as y from (select id from rq), range(4) t(i), range(4) u(j))""")
 def coordinate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised cell centres of a 4 x 4 grid for each request."""
-    r = requests(spark, sf_dir).where("id < 50").select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    r = requests(spark, sf_dir).select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3))))
     return r.select("id", F.round((F.col("i") + 0.5) / 4, 5).alias("x"), F.round((F.col("j") + 0.5) / 4, 5).alias("y"))
 
 

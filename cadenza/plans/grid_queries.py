@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from cadenza.operators import grids as G
 
-from .registry import CELLS, cells, query
+from .registry import CELLS, cells, lagged_cells, query
 
 
 def _box(value: str, source: str, name: str, r: int) -> str:
@@ -31,7 +31,7 @@ def flow_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CELLS}, p as (select *, lag(v) over (partition by scene, y, x order by frame) as was from cl), h as (select *, 0.22 * least(1, abs(v) * 4) * exp(-abs(v - was) / 1.5) as h from p where was is not null) select frame, y, x, round(v - (v - was) * h, 8) as flow from h")
 def stabilise_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = cells(spark, sf_dir).withColumn("was", F.lag("v").over(Window.partitionBy("scene", "y", "x").orderBy("frame"))).where("was is not null")
+    p = lagged_cells(spark, sf_dir)
     h = 0.22 * F.least(F.lit(1.0), F.abs("v") * 4) * F.exp(-F.abs(F.col("v") - F.col("was")) / 1.5)
     return p.select("frame", "y", "x", F.round(F.col("v") - (F.col("v") - F.col("was")) * h, 8).alias("flow"))
 
@@ -46,7 +46,7 @@ def occlusion_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.abs(F.coalesce(F.lead("v").over(w), F.col("v")) - F.coalesce(F.lag("v").over(w), F.col("v")))
 
     c = F.least(F.lit(1.0), F.abs("v") * 3) * F.exp(-0.18 * F.greatest(gradient("x", "y"), gradient("y", "x")))
-    return cells(spark, sf_dir).select("frame", "y", "x", F.round(F.when(F.col("v") < -0.2, 0.0).otherwise(c), 8).alias("confidence"))
+    return G.by_frame(cells(spark, sf_dir)).select("frame", "y", "x", F.round(F.when(F.col("v") < -0.2, 0.0).otherwise(c), 8).alias("confidence"))
 
 
 @query(f"""{CELLS}, c0 as (select *, (frame % 7) / 10.0 + x / 20.0::double as i_, greatest(0.02, least(0.98, v + 0.5)) as p_ from cl), {_box('i_', 'c0', 'mi', 2)}, {_box('p_', 'mi_t', 'mp', 2)}, {_box('i_ * i_', 'mp_t', 'ii', 2)}, {_box('i_ * p_', 'ii_t', 'ip', 2)},
@@ -60,7 +60,7 @@ def guided_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CELLS}, {_box('v', 'cl', 'm', 1)} select frame, y, x, round(v + (m - v) * exp(-28 * abs(v - m)) * least(1, 3 / 6.0), 8) as v from m_t")
 def edge_aware_feather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = G.box(cells(spark, sf_dir), F.col("v"), 1, "m")
+    b = G.box(G.by_frame(cells(spark, sf_dir)), F.col("v"), 1, "m")
     gate = F.exp(-28 * F.abs(F.col("v") - F.col("m"))) * 0.5
     return b.select("frame", "y", "x", F.round(F.col("v") + (F.col("m") - F.col("v")) * gate, 8).alias("v"))
 
@@ -69,7 +69,7 @@ def edge_aware_feather(spark: SparkSession, sf_dir: str) -> DataFrame:
   f as (select *, max(mx) over (partition by frame, x order by y rows between 1 preceding and 1 following) as near, min(mn) over (partition by frame, x order by y rows between 1 preceding and 1 following) as far from e)
   select frame, y, x, round(v + (case when v >= m then near else far end - v) * greatest(0, least(1, 12 * (near - far))), 8) as v from f""")
 def gradient_aware_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = G.box(cells(spark, sf_dir), F.col("v"), 1, "m")
+    d = G.box(G.by_frame(cells(spark, sf_dir)), F.col("v"), 1, "m")
     d = G.extreme(G.extreme(d, F.col("v"), 1, "near", True), F.col("v"), 1, "far", False)
     pick = F.when(F.col("v") >= F.col("m"), F.col("near")).otherwise(F.col("far"))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 12 * (F.col("near") - F.col("far"))))
@@ -94,7 +94,7 @@ def push_pull_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{CELLS}, h as (select *, (v > 0.1)::int as m from cl), {_box('m', 'h', 'density', 2)} select frame, y, x, density >= 0.24 as dense, max(m) over (partition by frame, y order by x rows between 0 preceding and 3 following) as toward_left, max(m) over (partition by frame, y order by x rows between 3 preceding and 0 following) as toward_right from density_t""")
 def guard_and_dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density of a mask over 5 x 5 cells, and its one-sided dilations by three."""
-    m = cells(spark, sf_dir).withColumn("m", (F.col("v") > 0.1).cast("int"))
+    m = G.by_frame(cells(spark, sf_dir)).withColumn("m", (F.col("v") > 0.1).cast("int"))
     d = G.box(m, F.col("m"), 2, "density")
     row = Window.partitionBy("frame", "y").orderBy("x")
     return d.select("frame", "y", "x", (F.col("density") >= 0.24).alias("dense"), F.max("m").over(row.rowsBetween(0, 3)).alias("toward_left"), F.max("m").over(row.rowsBetween(-3, 0)).alias("toward_right"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.sequences import lagged
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +60,14 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("frame", "scene", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "v")
 
 
+def lagged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`cells` and was, the cell of the frame before of the scene; a scene's first frame is left out. Grids are lagged whole."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").alias("scene"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = lagged(e, ["scene"], "frame", "e", "before").where("before is not null")
+    rows = rows.select("frame", "scene", F.posexplode(F.arrays_zip("e", "before")).alias("i", "c"))
+    return rows.select("frame", "scene", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), F.col("c.e").alias("v"), F.col("c.before").alias("was")).where("was is not null")
+
+
 #: The same, for DuckDB; it goes on after a comma.
 CELLS = """with cl as (
   select vec_id as frame, label as scene, ((i - 1) // 8)::int as y, ((i - 1) % 8)::int as x, v::double as v

@@ -20,14 +20,14 @@ def rates_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(X.parse_rate(rate), 6).alias("rate"), X.format_time(seconds).alias("clock"))
 
 
-@query(f"""{TIMELINE} select session, frame, round(value, 2) as media_seconds, k as frames, round(value, 2) > 50 as late, kind as tag from tl where kind <> 'signup'""")
+@query(f"""{TIMELINE} select session, frame, round(value, 2) as media_seconds, k as frames, round(value, 2) > 50 as late, kind as tag from tl""")
 def telemetry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are made from events and parsed again: `key=value` pairs, and a tag before JSON."""
     line = F.format_string("media_seconds=%.2f real_frames=%d", "value", "k")
     tagged = F.concat(F.lit("﻿"), F.upper("kind"), F.lit(" "), F.to_json(F.struct(F.col("value").alias("v"))))
     m = X.key_values(line)
     tag, parsed = X.tagged_json(tagged, "v double")
-    t = timeline(spark, sf_dir).where("kind <> 'signup'")
+    t = timeline(spark, sf_dir)
     return t.select("session", "frame", m["media_seconds"].cast("double").alias("media_seconds"), m["real_frames"].cast("long").alias("frames"), (F.round(parsed["v"], 2) > 50).alias("late"), F.lower(tag).alias("tag"))
 
 
