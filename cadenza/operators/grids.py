@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .splat import splat, taps
+
 
 def by_frame(df: DataFrame) -> DataFrame:
     """The cells dealt by frame: windows along rows and along columns of it then need no other shuffle, however often they alternate."""
@@ -82,3 +84,54 @@ def bilinear(df: DataFrame, px: Column, py: Column, name: str) -> DataFrame:
     t = d.select("frame", "y", "x", F.explode(F.array(*taps)).alias("t")).select("frame", F.col("y").alias("ty"), F.col("x").alias("tx"), F.col("t.x").alias("x"), F.col("t.y").alias("y"), "t.w")
     hit = t.join(df.select("frame", "y", "x", "v"), ["frame", "y", "x"], "left")
     return hit.groupBy("frame", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * F.col("w")).alias(name))
+
+
+def pooled(df: DataFrame, value: Column, ry: int, rx: int, name: str, largest: bool = False) -> DataFrame:
+    """Sum or greatest value of the (2 ry + 1) x (2 rx + 1) box about each cell; cells outside the grid count as zero."""
+    f = F.max if largest else F.sum
+    return df.withColumn("_s", f(value).over(along("x", rx))).withColumn(name, f("_s").over(along("y", ry))).drop("_s")
+
+
+def sampled(points: DataFrame, source: DataFrame, width: int, height: int, name: str) -> DataFrame:
+    """(frame, y, x) of `points` (frame, y, x, px, py) with the value of `source` (frame, y, x, v) at (px, py), between the four cells about it; the border goes on outside."""
+    at = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col(c)))
+    d = points.select("frame", "y", "x", at("px", width - 1).alias("_px"), at("py", height - 1).alias("_py"))
+    fx, fy = F.col("_px") - F.floor("_px"), F.col("_py") - F.floor("_py")
+    taps = [
+        F.struct(F.least(F.floor("_px") + ox, F.lit(width - 1)).cast("int").alias("x"), F.least(F.floor("_py") + oy, F.lit(height - 1)).cast("int").alias("y"), ((fx if ox else 1 - fx) * (fy if oy else 1 - fy)).alias("w"))
+        for oy in (0, 1)
+        for ox in (0, 1)
+    ]
+    t = d.select("frame", F.col("y").alias("_ty"), F.col("x").alias("_tx"), F.explode(F.array(*taps)).alias("t")).select("frame", "_ty", "_tx", "t.x", "t.y", "t.w")
+    hit = t.join(source.select("frame", "y", "x", "v"), ["frame", "y", "x"])
+    return hit.groupBy("frame", F.col("_ty").alias("y"), F.col("_tx").alias("x")).agg(F.sum(F.col("v") * F.col("w")).alias(name))
+
+
+def resized_flow(df: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
+    """Flow (frame, y, x, v) along x on a grid of another size: sampled at the cells' centres, and scaled as the width is."""
+    cells = F.explode(F.sequence(F.lit(0), F.lit(new_width * new_height - 1)))
+    points = df.select("frame").distinct().withColumn("_i", cells).withColumns({"y": F.expr(f"int(_i div {new_width})"), "x": (F.col("_i") % new_width).cast("int")})
+    place = lambda c, old, new: (F.col(c) + 0.5) * (old / new) - 0.5
+    points = points.withColumns({"px": place("x", width, new_width), "py": place("y", height, new_height)})
+    return sampled(points, df, width, height, "v").withColumn("v", F.col("v") * (new_width / width))
+
+
+def visible(df: DataFrame, shift: Column, layers: int, width: int, tolerance: float = 0.05) -> DataFrame:
+    """`df` (frame, y, x, v) with what a forward splat of its rows by `shift` leaves on each cell: near, valid (false: a hole) and crossed (more than one layer)."""
+    layer = F.rint(F.col("v") * (layers - 1)) / (layers - 1)
+    rows = df.select("frame", "y", layer.alias("layer"), F.col("v").alias("colour"), F.explode(taps(F.col("x") + shift)).alias("t"))
+    rows = rows.select(F.struct("frame", "y", F.col("t.target").cast("int").alias("x")).alias("target"), "layer", "colour", F.col("t.weight").alias("weight"))
+    seen = splat(rows.where(F.col("target.x").between(0, width - 1)), tolerance)
+    lit = seen.select("target.frame", "target.y", "target.x", "near", "valid", (F.col("far_layer") < F.col("front") - tolerance).alias("crossed"))
+    joined = df.join(lit, ["frame", "y", "x"], "left")
+    return joined.withColumns({"valid": F.coalesce("valid", F.lit(False)), "crossed": F.coalesce("crossed", F.lit(False))})
+
+
+def visibility_masks(df: DataFrame) -> DataFrame:
+    """`df` (hole, crossed as booleans) with context and compose: smooth bands about dense holes; what is crossed is context only."""
+    d = pooled(by_frame(df), F.col("hole").cast("int"), 1, 1, "_n")
+    d = pooled(d, (F.col("_n") / 9 >= 0.22).cast("int"), 2, 1, "_d", True)
+    d = pooled(d, F.col("_d"), 2, 1, "_j").withColumn("_j", (F.col("_j") / 15 >= 0.52).cast("int"))
+    d = pooled(pooled(d, F.col("_j"), 2, 4, "_c", True), F.col("_j"), 3, 3, "_w", True)
+    d = d.withColumn("context", (F.col("_c") > 0) | (F.col("crossed") & (F.col("_w") > 0)))
+    return d.withColumn("compose", (F.col("_j") > 0) & F.col("context")).drop("_n", "_d", "_j", "_c", "_w")

@@ -97,14 +97,21 @@ def ema(df: DataFrame, keys: list[str], value: str, name: str, smoothing: float,
 
 def refresh_schedule(df: DataFrame, interval: int, least: int, confidence_below: float, motion_above: float) -> DataFrame:
     """Where to compute anew: at the start, at a cut, periodically, or early where confidence is low or motion high."""
+    return fold(df, ["session"], lambda: NEVER, refresh_step(interval, least, confidence_below, motion_above), "refresh boolean, since long", ["session", "frame"])
 
+
+#: So many frames since the last refresh at a session's start.
+NEVER = 1_000_000
+
+
+def refresh_step(interval: int, least: int, confidence_below: float, motion_above: float) -> Callable[[int, dict], tuple[int, dict]]:
     def step(since: int, row: dict) -> tuple[int, dict]:
         early = since >= least - 1 and (row["confidence"] < confidence_below or row["motion"] > motion_above)
         fresh = bool(row["cut"] or since >= interval - 1 or early)
         since = 0 if fresh else since + 1
         return since, {"refresh": fresh, "since": since}
 
-    return fold(df, ["session"], lambda: 1_000_000, step, "refresh boolean, since long", ["session", "frame"])
+    return step
 
 
 def asymmetric_follow(df: DataFrame, falling: float = 0.55, rising: float = 0.30) -> DataFrame:

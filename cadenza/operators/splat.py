@@ -23,7 +23,7 @@ def splat(rows: DataFrame, tolerance: float, least: float = 0.02) -> DataFrame:
     near = rows.join(ends, F.col("target") == F.col("_target"))
     in_front, behind = F.col("layer") >= F.col("front") - tolerance, F.col("layer") <= F.col("back") + tolerance
     mean = lambda c: F.sum(F.when(c, F.col("weight") * F.col("colour"))) / F.sum(F.when(c, F.col("weight")))
-    return near.groupBy("target").agg(F.max("front").alias("front"), F.count_if(in_front).alias("hits"), F.sum(F.when(in_front, F.col("weight"))).alias("coverage"), mean(in_front).alias("near"), mean(behind).alias("far")).withColumn("valid", F.col("coverage") >= least)
+    return near.groupBy("target").agg(F.max("front").alias("front"), F.min("back").alias("far_layer"), F.count_if(in_front).alias("hits"), F.sum(F.when(in_front, F.col("weight"))).alias("coverage"), mean(in_front).alias("near"), mean(behind).alias("far")).withColumn("valid", F.col("coverage") >= least)
 
 
 def overlap_add(rows: DataFrame, keys: list[str], value: str, weight: str, least: float = 1e-4) -> DataFrame:

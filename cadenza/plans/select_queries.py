@@ -44,18 +44,24 @@ def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(grid):
         found = [(int(xs.min()), int(ys.min()), int(xs.max()), int(ys.max())) for ys, xs in components(grid > 0.1)]
-        return X.merged_boxes(found, 2)
+        return X.merged_boxes(found, 2, *grid.shape[::-1])
 
     return X.per_grid(_grids(spark, sf_dir), make, "frame long, x0 int, y0 int, x1 int, y1 int", ["frame", "x0", "y0", "x1", "y1"], [pa.int64(), *[pa.int32()] * 4])
 
 
-@query(f"""{CELLS}, b as (select distinct frame, y // 2 as by_, x // 2 as bx from cl where v > 0.15), i as (
-    select *, row_number() over w as n, bx - row_number() over w as isle from b window w as (partition by frame, by_ order by bx)), p as (
-    select *, (row_number() over (partition by frame, by_, isle order by bx) - 1) // 2 as pair from i)
-  select frame, min(bx)::int * 2 as x0, by_::int * 2 as y0, max(bx)::int * 2 + 2 as x1, by_::int * 2 + 2 as y1 from p group by frame, by_, isle, pair""")
+@query(f"""{CELLS}, s as (select * from cl where v > 0.15), b as (
+    select distinct frame, (y + dy) // 2 as by_, (x + dx) // 2 as bx from s, (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dx) where y + dy between 0 and 7 and x + dx between 0 and 7), i as (
+    select *, bx - row_number() over (partition by frame, by_ order by bx) as isle from b), p as (
+    select *, (row_number() over (partition by frame, by_, isle order by bx) - 1) // 2 as pair from i), c as (
+    select frame, by_, min(bx) * 2 as x0, max(bx) * 2 + 2 as x1 from p group by frame, by_, isle, pair), d as (
+    select *, by_ - row_number() over (partition by frame, x0, x1 order by by_) as band from c), e as (
+    select *, (row_number() over (partition by frame, x0, x1, band order by by_) - 1) // 3 as third from d), r as (
+    select frame, x0, min(by_) * 2 as y0, x1, max(by_) * 2 + 2 as y1 from e group by frame, x0, x1, band, third)
+  select frame, x0::int as x0, y0::int as y0, x1::int as x1, y1::int as y1, greatest(0, (x0 - 1) // 2 * 2 * (x0 > 0)::int)::int as outer_x0, greatest(0, (y0 - 1) // 2 * 2 * (y0 > 0)::int)::int as outer_y0, least(8, (x1 + 2) // 2 * 2)::int as outer_x1, least(8, (y1 + 2) // 2 * 2)::int as outer_y1 from r""")
 def tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Disjoint tiles of one or two 2 x 2 blocks that own every cell over .15."""
-    return X.per_grid(_grids(spark, sf_dir), lambda g: X.tiles(g > 0.15, 2, 1), "frame long, x0 int, y0 int, x1 int, y1 int", ["frame", "x0", "y0", "x1", "y1"], [pa.int64(), *[pa.int32()] * 4])
+    """Disjoint tiles of 2 x 2 blocks, up to two wide and three high, that own every cell within one of a cell over .15; the halo of one snaps to twos."""
+    names = ["frame", *(a + b for a in ("", "outer_") for b in ("x0", "y0", "x1", "y1"))]
+    return X.per_grid(_grids(spark, sf_dir), lambda g: X.tiles(g > 0.15, 2, 1, 1, 2), "frame long, " + ", ".join(f"{n} int" for n in names[1:]), names, [pa.int64(), *[pa.int32()] * 8])
 
 
 @query(f"{TIMELINE} select session, k, min(frame) as first_at from tl group by session, k")

@@ -137,8 +137,8 @@ class _Written(WriterCommitMessage):
 class _VrdWriter(DataSourceArrowWriter):
     """Writes raw depth: one file per partition with rows, in order of frame. Option `limit`: bytes a file may have."""
 
-    def __init__(self, options: dict):
-        self.path, self.run = options["path"], uuid.uuid4().hex[:8]
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.run, self.overwrite = options["path"], uuid.uuid4().hex[:8], overwrite
         self.limit = int(options.get("limit", 8 << 30))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
@@ -168,6 +168,10 @@ class _VrdWriter(DataSourceArrowWriter):
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(self.path)
+        if self.overwrite:
+            for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                if info.is_file and info.base_name.endswith(".vrd") and not info.base_name.startswith("_"):
+                    system.delete_file(info.path)
         for name in [n for m in messages if m for n in m.names]:
             system.move(f"{path}/_{name}", f"{path}/{name}")
 
@@ -198,7 +202,7 @@ class VrdDataSource(_Sidecar):
     kind = "vrd"
 
     def writer(self, schema, overwrite: bool) -> _VrdWriter:
-        return _VrdWriter(self.options)
+        return _VrdWriter(self.options, overwrite)
 
 
 class MotionDataSource(_Sidecar):

@@ -1,6 +1,7 @@
 """Stated expectations of kernels, folds and functions on small inputs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,17 +132,20 @@ def test_components_against_flood(seed):
 def test_tiles_own_every_cell_once(seed):
     mask = np.random.default_rng(seed).random((12, 20)) > 0.8
     owned = np.zeros(mask.shape, int)
-    for x0, y0, x1, y1 in select.tiles(mask, 4, 2):
+    for x0, y0, x1, y1, *_ in select.tiles(mask, 4, 2, 0, 1):
         owned[y0:y1, x0:x1] += 1
     assert owned.max() <= 1 and (owned[mask] == 1).all()
-    assert select.tiles(np.zeros((8, 8), bool), 4, 2) == []
+    assert select.tiles(np.zeros((8, 8), bool), 4, 2, 1, 1) == []
+    tall = np.zeros((20, 9), bool)
+    tall[:, 4] = True
+    assert select.tiles(tall, 4, 3, 0, 4) == [(4, 0, 8, 12, 0, 0, 9, 16), (4, 12, 8, 20, 0, 8, 9, 20)]  # three high, then the rest; halo to fours
 
 
 def test_greedy_cover_and_boxes():
     mask = np.zeros((8, 8), bool)
     mask[0:2, 0:2] = mask[5:8, 5:8] = True
     assert select.greedy_cover(mask, 3) == [(5, 5, 9), (0, 0, 4)]
-    assert select.merged_boxes([(0, 0, 1, 1), (2, 0, 3, 1), (7, 7, 8, 8)], 2) == [(0, 0, 3, 1), (7, 7, 8, 8)]
+    assert select.merged_boxes([(0, 0, 1, 1), (2, 0, 3, 1), (7, 7, 8, 8)], 2, 8, 8) == [(0, 0, 3, 1), (7, 7, 8, 8)]
 
 
 def test_prefetch():
@@ -176,3 +180,49 @@ def test_backends(spark):
         backends.create("depth-model")
     with pytest.raises(RuntimeError):
         backends.create("auto", ["nothing"])
+
+
+def test_boxes_merge_by_shares_of_the_grid():
+    """On a wide grid two boxes five columns apart are nearer than two that are two rows apart."""
+    assert select.merged_boxes([(0, 0, 1, 1), (5, 0, 6, 1), (0, 2, 1, 3)], 2, 100, 4) == [(0, 0, 6, 1), (0, 2, 1, 3)]
+
+
+def test_any_grid_and_none(spark):
+    assert select.grid_of(None).shape == (0, 0) and select.grid_of([1.0, None, 3.0]).shape == (2, 2)
+    df = spark.createDataFrame([(1, None), (2, []), (3, [1.0, None, 1.0]), (4, [1.0] * 25)], "vec_id long, embedding array<float>")
+    found = select.per_grid(df, lambda g: [(len(g), int((g > 0.5).sum()))], "frame long, side int, cells int", ["frame", "side", "cells"], [pa.int64(), pa.int32(), pa.int32()])
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 0), (2, 0, 0), (3, 2, 2), (4, 5, 25)]
+    for make in (lambda g: select.greedy_cover(g > 0.5, 3), lambda g: select.tiles(g > 0.5, 2, 1, 1, 2)):
+        assert make(select.grid_of(None)) == []
+
+
+def test_nearest_value_on_either_side(spark):
+    from cadenza.operators import joins
+
+    rng = np.random.default_rng(3)
+    values = [(float(v), int(i)) for i, v in enumerate(np.round(rng.normal(0, 1000, 50), 2))]
+    probes = [(i, float(v)) for i, v in enumerate(np.round(rng.normal(0, 3000, 200), 2))] + [(900, values[3][0]), (901, -1e9), (902, 1e9)]
+    out = joins.nearest(spark.createDataFrame(probes, "id long, at double"), spark.createDataFrame(values, "at double, source int"), "at", "source").collect()
+    expected = {i: min((abs(v - p), s) for v, s in values) for i, p in probes}
+    assert {r.id: (r.distance, r.source) for r in out} == expected
+
+
+def test_two_nearest_codes(spark):
+    from cadenza.operators import joins
+
+    rng = np.random.default_rng(4)
+    codes = [(int(i), int(c)) for i, c in enumerate(rng.integers(-(2**62), 2**62, 300))] + [(400, None)]
+    df = spark.createDataFrame(codes, "id long, code long")
+    for r in joins.nearest_two(df.where("id % 20 = 0"), df, 0.72, query_rows=4, rows=32).collect():
+        mine = dict(codes)[r.id]
+        best = sorted((bin((mine ^ c) % 2**64).count("1"), i) for i, c in codes if i != r.id and c is not None)
+        assert (r.distance, r.match, r.second) == (*best[0], best[1][0])
+
+
+def test_lag_in_stretches(spark):
+    from cadenza.operators import sequences
+
+    rows = [(k, i, f"{k}{i}") for k in ("a", None) for i in range(0, 60, 3)]
+    df = spark.createDataFrame(rows, "key string, frame long, v string")
+    out = {(r.key, r.frame): r.was for r in sequences.lagged(df, ["key"], "frame", "v", "was", span=7).collect()}
+    assert len(out) == len(rows) and all(out[k, i] == (f"{k}{i - 3}" if i else None) for k, i, _ in rows)

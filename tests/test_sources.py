@@ -69,3 +69,10 @@ def test_depth(formats, tmp_path):
 def test_other_files_are_ignored(formats, tmp_path):
     (tmp_path / "note.txt").write_text("x")
     assert formats.read.format("vrd").load(str(tmp_path)).count() == 0
+
+
+def test_vrd_overwrite_replaces(formats, tmp_path):
+    path = str(tmp_path / "v")
+    grids(formats, 3).coalesce(1).write.format("vrd").mode("append").save(path)
+    grids(formats, 3, 10).coalesce(1).write.format("vrd").mode("overwrite").save(path)
+    assert sorted(r.frame for r in formats.read.format("vrd").load(path).collect()) == [10, 11, 12]
