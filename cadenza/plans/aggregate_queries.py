@@ -129,7 +129,10 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(A.combined_rate([c], [a, b]), 6).alias("fps"))
 
 
-@query()
+@query(f"""{CELLS}, m as materialized (select frame, y, x, y * 8 + x as own from cl where v > 0.1), l as (with recursive r as (
+    select frame, y, x, own as least from m union
+    select m.frame, m.y, m.x, r.least from r join m on m.frame = r.frame and abs(m.y - r.y) <= 1 and abs(m.x - r.x) <= 1 and r.least < m.own) select frame, y, x, min(least) as least from r group by all)
+  select frame, (dense_rank() over (partition by frame order by least) - 1)::int as label, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1, count(*)::int as area, avg(x) as cx, avg(y) as cy from l group by frame, least""")
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8-connected components of each grid's cells over .1: bounds, area and centre."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
