@@ -54,7 +54,9 @@ class Trie:
     """Prefixes with the forward score and the token count of their best segmentation."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores, self.longest = scores, max(map(len, scores), default=1)
+        self.longest = max(map(len, scores), default=1)
+        #: What a piece may end with, and its score if it is a piece itself.
+        self.tails: dict[str, float | None] = {piece[i:]: None for piece in scores for i in range(len(piece))} | scores
         self.clear()
 
     def clear(self) -> None:
@@ -85,10 +87,12 @@ class Trie:
 
     def _forward(self, word: str, end: int, path: Sequence[int], score: list[float], tokens: list[int]) -> None:
         """Score the prefix word[:end] from its ancestors, path[i] being the place of word[:i] in `score` and `tokens`, and append it there."""
-        scores = self.scores
+        tails = self.tails
         best, fewest = score[path[end - 1]] + UNKNOWN, tokens[path[end - 1]] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-        for start in range(max(0, end - self.longest), end):
-            piece = scores.get(word[start:end])
+        for start in range(end - 1, -1, -1):
+            piece = tails.get(word[start:end], False)
+            if piece is False:  # no piece ends like this
+                break
             if piece is not None:
                 at = path[start]
                 value, n = score[at] + piece, tokens[at] + 1
