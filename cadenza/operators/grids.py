@@ -6,6 +6,8 @@ sampling between cells joins the four cells about a point.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,8 +94,12 @@ def pooled(df: DataFrame, value: Column, ry: int, rx: int, name: str, largest: b
     return df.withColumn("_s", f(value).over(along("x", rx))).withColumn(name, f("_s").over(along("y", ry))).drop("_s")
 
 
-def sampled(points: DataFrame, source: DataFrame, width: int, height: int, name: str) -> DataFrame:
-    """(frame, y, x) of `points` (frame, y, x, px, py) with the value of `source` (frame, y, x, v) at (px, py), between the four cells about it; the border goes on outside."""
+def sampled(points: DataFrame, source: DataFrame, width: int, height: int, name: str | dict[str, str]) -> DataFrame:
+    """(frame, y, x) of `points` (frame, y, x, px, py) with the value of `source` (frame, y, x, v) at (px, py), between the four cells about it; the border goes on outside.
+
+    `name` is the result's, or a dict from columns of `source` to those of their results.
+    """
+    names = {"v": name} if isinstance(name, str) else name
     at = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col(c)))
     d = points.select("frame", "y", "x", at("px", width - 1).alias("_px"), at("py", height - 1).alias("_py"))
     fx, fy = F.col("_px") - F.floor("_px"), F.col("_py") - F.floor("_py")
@@ -103,8 +109,8 @@ def sampled(points: DataFrame, source: DataFrame, width: int, height: int, name:
         for ox in (0, 1)
     ]
     t = d.select("frame", F.col("y").alias("_ty"), F.col("x").alias("_tx"), F.explode(F.array(*taps)).alias("t")).select("frame", "_ty", "_tx", "t.x", "t.y", "t.w")
-    hit = t.join(source.select("frame", "y", "x", "v"), ["frame", "y", "x"])
-    return hit.groupBy("frame", F.col("_ty").alias("y"), F.col("_tx").alias("x")).agg(F.sum(F.col("v") * F.col("w")).alias(name))
+    hit = t.join(source.select("frame", "y", "x", *names), ["frame", "y", "x"])
+    return hit.groupBy("frame", F.col("_ty").alias("y"), F.col("_tx").alias("x")).agg(*(F.sum(F.col(c) * F.col("w")).alias(n) for c, n in names.items()))
 
 
 def resized_flow(df: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
@@ -135,3 +141,59 @@ def visibility_masks(df: DataFrame) -> DataFrame:
     d = pooled(pooled(d, F.col("_j"), 2, 4, "_c", True), F.col("_j"), 3, 3, "_w", True)
     d = d.withColumn("context", (F.col("_c") > 0) | (F.col("crossed") & (F.col("_w") > 0)))
     return d.withColumn("compose", (F.col("_j") > 0) & F.col("context")).drop("_n", "_d", "_j", "_c", "_w")
+
+
+def blurred(df: DataFrame, value: Column, radius: int, sigma: float, name: str) -> DataFrame:
+    """Gaussian mean of the (2 radius + 1)² cells about each; at the border, of those that are there."""
+    d = df.withColumn(name, value)
+    for axis, other in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy("frame", other).orderBy(axis)
+        near = [(math.exp(-i * i / (2 * sigma * sigma)), F.lag(name, i).over(w)) for i in range(-radius, radius + 1)]
+        total = sum((F.coalesce(c * share, F.lit(0.0)) for share, c in near), F.lit(0.0))
+        weight = sum((F.when(c.isNotNull(), share).otherwise(0.0) for share, c in near), F.lit(0.0))
+        d = d.withColumn(name, total / F.nullif(weight, F.lit(0.0)))
+    return d
+
+
+def photo_valid(df: DataFrame, target: str, donor: str, radius: int, most: float = 0.055, least: float = 0.35) -> DataFrame:
+    """`df` (v: depth) with ok: about the cell, `target` and `donor` differ by less than `most` where the depth is far, and enough is far.
+
+    Far is what lies at most .01 over the frame's .6 quantile of depth. Cells outside the grid are not far.
+    """
+    limit = df.groupBy("frame").agg((F.percentile("v", F.lit(0.6)) + 0.01).alias("_limit"))
+    d = by_frame(df.join(limit, "frame")).withColumn("_far", (F.col("v") <= F.col("_limit")).cast("double"))
+    area = (2 * radius + 1) ** 2
+    d = pooled(pooled(d, F.col("_far"), radius, radius, "_w"), F.abs(F.col(target) - F.col(donor)) * F.col("_far"), radius, radius, "_e")
+    weight = F.col("_w") / area
+    return d.withColumn("ok", (F.col("_e") / area / F.greatest(weight, F.lit(0.01)) < most) & (weight > least)).drop("_limit", "_far", "_w", "_e")
+
+
+def repaired(points: DataFrame, donors: DataFrame, width: int, height: int, tolerance: float = 0.08, least: float = 0.7) -> DataFrame:
+    """Unknown cells from other frames: `points` (frame, y, x, far, ok) with donor and value of the first donor that fits, else null.
+
+    `points` has a row per unknown cell and donor: its number, confidence, and where the cell lies in it (px, py).
+    `donors` (frame, donor, y, x, v, depth) is read about those places only. A donor fits if the place lies inside,
+    its depth there differs from far by at most `tolerance`, ok holds and its confidence is at least `least`.
+    """
+    key = F.struct("frame", "donor").alias("frame")
+    places = points.select(key, "y", "x", "px", "py")
+    seen = sampled(places, donors.select(key, "y", "x", "v", "depth"), width, height, {"v": "_v", "depth": "_depth"})
+    both = points.join(seen.select("frame.frame", "frame.donor", "y", "x", "_v", "_depth"), ["frame", "donor", "y", "x"], "left")
+    inside = F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1)
+    fits = inside & F.col("ok") & (F.abs(F.col("_depth") - F.col("far")) <= tolerance) & (F.col("confidence") >= least)
+    first = F.min(F.when(fits, F.struct("donor", F.col("_v").alias("value")))).alias("_first")
+    return both.groupBy("frame", "y", "x").agg(first).select("frame", "y", "x", "_first.donor", "_first.value")
+
+
+def seam_score(df: DataFrame, hole: Column) -> DataFrame:
+    """frame and score: how far values jump where a run of holes in a row ends at its right; null without such an end.
+
+    An end counts the jump to the next cell, .55 of the jump's change behind it and .15 of the bend along the column;
+    ends in the first and last row, or with fewer than two cells behind, do not count.
+    """
+    row, column = Window.partitionBy("frame", "y").orderBy("x"), Window.partitionBy("frame", "x").orderBy("y")
+    d = by_frame(df).withColumn("_h", hole).withColumns({"_n": F.lead("_h").over(row), "_1": F.lead("v").over(row), "_2": F.lead("v", 2).over(row)})
+    d = d.withColumns({"_up": F.lag("v").over(column), "_down": F.lead("v").over(column)})
+    v, jump = F.col("v"), F.col("v") - F.col("_1")
+    error = F.abs(jump) + 0.55 * F.abs(jump - (F.col("_1") - F.col("_2"))) + 0.15 * F.abs(F.col("_up") - 2 * v + F.col("_down"))
+    return d.groupBy("frame").agg(F.avg(F.when(F.col("_h") & ~F.col("_n"), error)).alias("score"))

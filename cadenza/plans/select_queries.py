@@ -34,13 +34,28 @@ def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
 
 
-@query()
+@query(f"""{CELLS}, m as (select frame, bit_or(pow(2, y * 8 + x)::ubigint) as bits, count(*) as total from cl where v > 0.1 group by frame),
+  sq as materialized (select y * 6 + x as i, x::int as x0, y::int as y0, pow(2, y * 8 + x)::ubigint * (7 + 7 * 256 + 7 * 65536)::ubigint as square from range(6) a(y), range(6) b(x)), g as (with recursive r as (
+    select frame, bits, total, -1 as rank, 0 as x0, 0 as y0, 0 as gain from m union all
+    select frame, bits, total, rank, x0, y0, gain from (
+      select r.frame, r.bits - (r.bits & square) as bits, total, rank + 1 as rank, sq.x0, sq.y0, bit_count(r.bits & square)::int as gain, row_number() over (partition by r.frame order by bit_count(r.bits & square) desc, i) as place
+      from r, sq where rank < 3 and total - bit_count(r.bits) < 0.985 * total) where place = 1 and gain > 0) select * from r)
+  select frame, rank, x0, y0, gain from g where rank >= 0""")
 def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     make = lambda g: [(i, *r) for i, r in enumerate(X.greedy_cover(g > 0.1, 3))]
     return X.per_grid(_grids(spark, sf_dir), make, "frame long, rank int, x0 int, y0 int, gain int", ["frame", "rank", "x0", "y0", "gain"], [pa.int64(), *[pa.int32()] * 4])
 
 
-@query()
+@query(f"""{CELLS}, m as materialized (select frame, y, x, y * 8 + x as own from cl where v > 0.1), l as (with recursive r as (
+    select frame, y, x, own as least from m union
+    select m.frame, m.y, m.x, r.least from r join m on m.frame = r.frame and abs(m.y - r.y) <= 1 and abs(m.x - r.x) <= 1 and r.least < m.own) select frame, y, x, min(least) as least from r group by all),
+  b as materialized (select frame, list([x0, y0, x1, y1] order by least) as boxes from (select frame, least, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from l group by frame, least) group by frame), g as (with recursive r as (
+    select frame, boxes from b union all
+    select frame, [case when k = ij[1] then [least(boxes[k][1], boxes[ij[2]][1]), least(boxes[k][2], boxes[ij[2]][2]), greatest(boxes[k][3], boxes[ij[2]][3]), greatest(boxes[k][4], boxes[ij[2]][4])] else boxes[k] end for k in range(1, len(boxes) + 1) if k <> ij[2]] from (
+      select frame, boxes, [i, j] as ij, row_number() over (partition by frame order by
+        ((boxes[i][1] + boxes[i][3]) / 2 / 8 - (boxes[j][1] + boxes[j][3]) / 2 / 8) ** 2 + ((boxes[i][2] + boxes[i][4]) / 2 / 8 - (boxes[j][2] + boxes[j][4]) / 2 / 8) ** 2, i, j) as place
+      from r, range(1, 33) s(i), range(1, 33) t(j) where i < j and j <= len(boxes) and len(boxes) > 2) where place = 1) select * from r where len(boxes) <= 2)
+  select frame, q[1]::int as x0, q[2]::int as y0, q[3]::int as x1, q[4]::int as y1 from (select frame, unnest(boxes) as q from g)""")
 def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make(grid):
         found = [(int(xs.min()), int(ys.min()), int(xs.max()), int(ys.max())) for ys, xs in components(grid > 0.1)]
@@ -49,6 +64,18 @@ def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.per_grid(_grids(spark, sf_dir), make, "frame long, x0 int, y0 int, x1 int, y1 int", ["frame", "x0", "y0", "x1", "y1"], [pa.int64(), *[pa.int32()] * 4])
 
 
+@query()
+def roi_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares of their own sizes over a closed mask's components of three cells and more."""
+
+    def make(grid):
+        mask = X.closed(grid > 0.15, 1)
+        return [(i, *r) for i, r in enumerate(X.roi_cover(mask, components(mask), 4, 1, 1.25, 3, 4, 1, 2))]
+
+    names = ["frame", "rank", "x0", "y0", "side", "gain"]
+    return X.per_grid(_grids(spark, sf_dir), make, "frame long, rank int, x0 int, y0 int, side int, gain int", names, [pa.int64(), *[pa.int32()] * 5])
+
+
 @query(f"""{CELLS}, s as (select * from cl where v > 0.15), b as (
     select distinct frame, (y + dy) // 2 as by_, (x + dx) // 2 as bx from s, (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dx) where y + dy between 0 and 7 and x + dx between 0 and 7), i as (
     select *, bx - row_number() over (partition by frame, by_ order by bx) as isle from b), p as (

@@ -83,7 +83,13 @@ def drift_alarm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fold(rows, ["session"], lambda: (None, None), M.alarm_step(20, 3600, 86400), "alarm boolean", ["session", "frame"])
 
 
-@query()
+@query(f"""{TIMELINE}, a as materialized (select session, frame, case when k % 3 = 0 then 'take' else 'schedule' end as action, floor(frame / 2 + k % 4)::bigint as i from tl), e as (with recursive r as (
+    select session, -1::bigint as frame, null::varchar as action, null::bigint as index, [0::bigint][2:] as pending, null::boolean as hit, 0 as discarded from (select distinct session from a) union all
+    select session, frame, action, i, kept, hit, case when action = 'take' then len(pending) - len(kept) - hit::int else 0 end from (
+      select a.session, a.frame, a.action, i, r.pending, case when action = 'take' then list_contains(r.pending, i) end as hit,
+        case when action = 'schedule' then case when list_contains(r.pending, i) then r.pending else list_append(r.pending, i) end when list_contains(r.pending, i) then [x for x in r.pending if x > i] else [x for x in r.pending if x < i] end as kept
+      from a join (select session, frame, pending from r) r on a.session is not distinct from r.session and a.frame = r.frame + 1)) select * from r)
+  select session, frame, action, index, hit, discarded::bigint as discarded, len(pending) as pending from e where frame >= 0""")
 def prefetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schedules and takes; a hit keeps what is scheduled later, a miss drops it."""
     rows = timeline(spark, sf_dir).select("session", "frame", F.when(F.col("k") % 3 == 0, "take").otherwise("schedule").alias("action"), F.floor(F.col("frame") / 2 + F.col("k") % 4).alias("index"))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Samples in a row of `pcm`.
+BLOCK = 65_536
+
 
 def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents, one per file, by a closed schema: an unknown or malformed one fails the read."""
@@ -29,6 +36,28 @@ def folder(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", F.col("length").alias("size"), "modificationTime")
 
 
+def pcm(spark: SparkSession, path: str, rate: int, block: int = BLOCK) -> DataFrame:
+    """Mono little-endian float samples of raw files: path, first (sample), seconds of it, and values of up to `block` samples.
+
+    A file comes whole to one task, as binary files do in Spark, which ends at 2 GiB of it. A last sample that is cut fails.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = content.as_buffer()
+                if raw.size % 4:
+                    raise ValueError(f"{name} ends inside a sample")
+                values = np.frombuffer(raw, "<f4")
+                for first in range(0, len(values), block):
+                    one = pa.ListArray.from_arrays([0, len(values[first : first + block])], pa.array(values[first : first + block], pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), one], ["path", "first", "values"])
+
+    out = files.mapInArrow(run, "path string, first long, values array<float>")
+    return out.select("path", "first", (F.col("first") / rate).alias("seconds"), "values")
+
+
 def joined_chunks(spark: SparkSession, path: str, expected: int) -> DataFrame:
     """Parquet chunks in order of name, with their number; another number of files than expected is an error."""
     df = spark.read.parquet(path).withColumn("chunk", F.col("_metadata.file_name"))

@@ -226,3 +226,85 @@ def test_lag_in_stretches(spark):
     df = spark.createDataFrame(rows, "key string, frame long, v string")
     out = {(r.key, r.frame): r.was for r in sequences.lagged(df, ["key"], "frame", "v", "was", span=7).collect()}
     assert len(out) == len(rows) and all(out[k, i] == (f"{k}{i - 3}" if i else None) for k, i, _ in rows)
+
+
+def test_closed_masks_and_starts():
+    mask = np.zeros((9, 9), bool)
+    mask[4, 3] = mask[4, 5] = True
+    assert np.argwhere(select.closed(mask, 1)).tolist() == [[4, 3], [4, 4], [4, 5]]
+    assert select.closed(np.ones((4, 4), bool), 1).all() and not select.closed(np.zeros((4, 4), bool), 2).any()
+    assert select.closed(select.grid_of(None) > 0, 1).shape == (0, 0)
+    assert select.starts(2, 5, 5, 3, 20) == [1] and select.starts(0, 10, 4, 3, 10) == [0, 3, 6] and select.starts(3, 14, 4, 3, 14) == [3, 6, 9, 10]
+
+
+def cover(mask, side, **options):
+    rules = {"overlap": 8, "context": 1.25, "least": 4, "most": 9, "snap": 4, "smallest": 8} | options
+    return select.roi_cover(mask, components(mask), side, **rules)
+
+
+def test_roi_cover():
+    mask = np.zeros((64, 64), bool)
+    mask[10:16, 10:14] = True  # 6 x 4: a square of 8 about it
+    mask[50, 50] = True  # too small: left alone
+    assert cover(mask, 32) == [(8, 8, 8, 24)]
+    mask[10:16, 20:24] = True  # a second part: one larger square has both
+    assert [(s, gain) for _, _, s, gain in cover(mask, 32)] == [(32, 48)]
+    long = np.zeros((16, 64), bool)
+    long[7:9, :] = True  # longer than a square: squares along it, each cell once
+    found = cover(long, 16)
+    assert sum(gain for *_, gain in found) >= 0.985 * 128 and all(s == 16 for _, _, s, _ in found)
+    assert len(cover(long, 16, most=2)) == 2 and cover(np.zeros((8, 8), bool), 4) == []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_roi_cover_is_greedy(seed):
+    """No square left over would have gained more at any step, and gains count each cell once."""
+    mask = np.random.default_rng(seed).random((40, 40)) > 0.93
+    mask = select.closed(mask, 1)
+    found = cover(mask, 16, overlap=4, least=3)
+    left = mask.copy()
+    for ys, xs in components(mask):
+        if len(ys) < 3:
+            left[ys, xs] = False
+    gains = []
+    for x, y, s, gain in found:
+        assert left[y : y + s, x : x + s].sum() == gain >= 3
+        left[y : y + s, x : x + s] = False
+        gains.append(gain)
+    assert gains == sorted(gains, reverse=True)
+
+
+def grid_rows(spark, grid):
+    return spark.createDataFrame([(0, y, x, float(v)) for y, row in enumerate(grid) for x, v in enumerate(row)], "frame int, y int, x int, v double")
+
+
+def test_blurred(spark):
+    out = {(r.y, r.x): r.b for r in grids.blurred(grid_rows(spark, np.full((4, 5), 3.0)), F.col("v"), 2, 1.0, "b").collect()}
+    assert np.allclose(list(out.values()), 3)
+    point = np.zeros((5, 5))
+    point[2, 2] = 1
+    out = {(r.y, r.x): r.b for r in grids.blurred(grid_rows(spark, point), F.col("v"), 1, 0.8, "b").collect()}
+    side = np.exp(-1 / 1.28)
+    assert np.isclose(out[2, 2], 1 / (1 + 2 * side) ** 2) and np.isclose(out[1, 2], side * out[2, 2]) and out[0, 2] == 0
+
+
+def test_seam_score(spark):
+    grid = np.tile([9.0, 9.0, 9.0, 5.0, 5.0, 5.0], (4, 1))
+    score = lambda hole: grids.seam_score(grid_rows(spark, grid), hole).first().score
+    assert np.isclose(score(F.col("x").between(1, 2)), 4 + 0.55 * 4)  # the run ends where values jump
+    assert score(F.col("x") == 0) == 0 and score(F.col("x") >= 4) is None and score(F.lit(False)) is None
+
+
+def test_photo_valid_and_repair(spark):
+    depth = np.where(np.arange(6) < 4, 0.2, 0.9)[None].repeat(6, axis=0)
+    d = grid_rows(spark, depth).withColumn("t", F.lit(0.5)).withColumn("o", F.when(F.col("y") < 3, 0.5).otherwise(0.7))
+    ok = {(r.y, r.x): r.ok for r in grids.photo_valid(d, "t", "o", 1, most=0.055).collect()}
+    assert ok[1, 1] and not ok[4, 1]  # alike above, not below
+    assert not ok[1, 5]  # too little is far there
+
+    donors = spark.createDataFrame([(0, n, y, x, 10.0 * n + x, 0.2 if n < 3 else 0.9) for n in (1, 2, 3) for y in range(4) for x in range(4)], "frame int, donor int, y int, x int, v double, depth double")
+    ask = lambda y, x, n, px, ok=True, sure=0.9: (0, y, x, n, 0.2, ok, sure, px, 1.0)
+    rows = [ask(0, 0, 1, 5.0), ask(0, 0, 2, 1.5), ask(0, 1, 1, 1.0), ask(0, 1, 2, 1.0), ask(0, 2, 3, 1.0), ask(0, 3, 1, 1.0, False), ask(1, 0, 1, 1.0, True, 0.6)]
+    points = spark.createDataFrame(rows, "frame int, y int, x int, donor int, far double, ok boolean, confidence double, px double, py double")
+    out = {(r.y, r.x): (r.donor, r.value) for r in grids.repaired(points, donors, 4, 4).collect()}
+    assert out == {(0, 0): (2, 21.5), (0, 1): (1, 11.0), (0, 2): (None, None), (0, 3): (None, None), (1, 0): (None, None)}

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 
 from cadenza.sources import logs
@@ -46,3 +47,15 @@ def test_latest_row_wins(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, "a2"), (1, "b0")]
+
+
+def test_pcm(spark, tmp_path):
+    wave = np.sin(np.arange(2500) / 7).astype("<f4")
+    (tmp_path / "a.raw").write_bytes(wave.tobytes())
+    (tmp_path / "empty.raw").write_bytes(b"")
+    rows = sorted(logs.pcm(spark, str(tmp_path), 8000, 1000).collect(), key=lambda r: r["first"])
+    assert [(r["first"], r.seconds, len(r["values"])) for r in rows] == [(0, 0, 1000), (1000, 0.125, 1000), (2000, 0.25, 500)]
+    assert (np.concatenate([r["values"] for r in rows]) == wave).all()
+    (tmp_path / "cut.raw").write_bytes(b"\0" * 5)
+    with pytest.raises(Exception, match="ends inside"):
+        logs.pcm(spark, str(tmp_path), 8000).collect()
