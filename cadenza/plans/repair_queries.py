@@ -94,3 +94,22 @@ def fused_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     detail = F.greatest(F.lit(-0.1), F.least(F.lit(0.1), F.col("made") - F.col("low")))
     fused = F.coalesce("prior", "made") + 0.6 * detail
     return g.select("frame", "y", "x", F.round(F.when(F.col("hole"), F.col("made") + (fused - F.col("made")) * 0.8).otherwise(F.col("made")), 6).alias("fused"))
+
+
+_CUBIC = "case {0} when -1 then -0.5 * {1} + {1} ** 2 - 0.5 * {1} ** 3 when 0 then 1 - 2.5 * {1} ** 2 + 1.5 * {1} ** 3 when 1 then 0.5 * {1} + 2 * {1} ** 2 - 1.5 * {1} ** 3 else -0.5 * {1} ** 2 + 0.5 * {1} ** 3 end"
+
+
+@query(f"""{CELLS}, u as (select *, least(1, abs(v) * 4) as c, v * least(1, abs(v) * 4) as flow from cl),
+  n as (select frame, yy as y, xx as x, greatest(0, least(7, (xx + 0.5) * (8 / 10::double) - 0.5)) as px, greatest(0, least(7, (yy + 0.5) * (8 / 6::double) - 0.5)) as py from (select distinct frame from cl), range(6) a(yy), range(10) b(xx)),
+  t as (select frame, y, x, floor(px)::int as x0, floor(py)::int as y0, px - floor(px) as tx, py - floor(py) as ty from n),
+  c4 as (select t.frame, t.y, t.x, sum(u.v * ({_CUBIC.format("ox", "tx")}) * ({_CUBIC.format("oy", "ty")})) as colour from t, range(-1, 3) a(ox), range(-1, 3) b(oy), u where u.frame = t.frame and u.x = greatest(0, least(7, x0 + ox)) and u.y = greatest(0, least(7, y0 + oy)) group by all),
+  c2 as (select t.frame, t.y, t.x, sum(u.flow * abs(1 - ox - tx) * abs(1 - oy - ty)) as flow, sum(u.c * abs(1 - ox - tx) * abs(1 - oy - ty)) as c from t, range(2) a(ox), range(2) b(oy), u where u.frame = t.frame and u.x = least(7, x0 + ox) and u.y = least(7, y0 + oy) group by all)
+  select frame, y::int as y, x::int as x, round(colour, 6) as colour, round(case when c > 1e-4 then flow / c else 0 end, 6) as flow, round(greatest(0, least(1, 1 - 1.15 * c)), 6) as bias from c4 join c2 using (frame, y, x)""")
+def expanded_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids on 10 x 6 cells: values by a cubic curve, flow and its confidence linearly, the flow then freed of it where it is there."""
+    c = cells(spark, sf_dir).withColumn("c", F.least(F.lit(1.0), F.abs("v") * 4)).withColumn("flow", F.col("v") * F.col("c"))
+    points = G.places(c, 8, 8, 10, 6)
+    both = G.sampled(points, c, 8, 8, "colour", G.cubic).join(G.sampled(points, c, 8, 8, {"flow": "f", "c": "sure"}), ["frame", "y", "x"])
+    flow = F.when(F.col("sure") > 1e-4, F.col("f") / F.col("sure")).otherwise(0.0)
+    bias = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 1.15 * F.col("sure")))
+    return both.select("frame", "y", "x", F.round("colour", 6).alias("colour"), F.round(flow, 6).alias("flow"), F.round(bias, 6).alias("bias"))

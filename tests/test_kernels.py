@@ -308,3 +308,13 @@ def test_photo_valid_and_repair(spark):
     points = spark.createDataFrame(rows, "frame int, y int, x int, donor int, far double, ok boolean, confidence double, px double, py double")
     out = {(r.y, r.x): (r.donor, r.value) for r in grids.repaired(points, donors, 4, 4).collect()}
     assert out == {(0, 0): (2, 21.5), (0, 1): (1, 11.0), (0, 2): (None, None), (0, 3): (None, None), (1, 0): (None, None)}
+
+
+@pytest.mark.parametrize("shares", [grids.linear, grids.cubic])
+def test_sampling_keeps_a_plane(spark, shares):
+    """Inside the grid both curves reproduce a plane; on cells they give the cells, and the border goes on outside."""
+    source = grid_rows(spark, np.add.outer(3 * np.arange(6.0), np.arange(6.0)))
+    at = [(2.25, 2.5), (3.0, 2.0), (9.0, 5.0), (-4.0, 0.0)]
+    points = spark.createDataFrame([(0, 0, i, *p) for i, p in enumerate(at)], "frame int, y int, x int, px double, py double")
+    out = {r.x: r.s for r in grids.sampled(points, source, 6, 6, "s", shares).collect()}
+    assert np.allclose([out[i] for i in range(4)], [9.75, 9, 20, 0])
