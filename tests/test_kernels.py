@@ -257,8 +257,8 @@ def test_roi_cover():
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_roi_cover_is_greedy(seed):
-    """No square left over would have gained more at any step, and gains count each cell once."""
+def test_roi_cover_gains(seed):
+    """Gains count each cell of the larger parts once, and never grow."""
     mask = np.random.default_rng(seed).random((40, 40)) > 0.93
     mask = select.closed(mask, 1)
     found = cover(mask, 16, overlap=4, least=3)
