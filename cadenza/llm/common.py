@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -120,3 +122,27 @@ def append_columns(
             yield pa.RecordBatch.from_arrays([*batch.columns, *(made[f] for f in names)], [*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema)
+
+
+def merged_sums(df: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of an array of doubles that `of` makes from each batch; `shape` must not depend on the rows.
+
+    Each partition adds up its own, some partitions' sums are added in a task each, and the driver adds those.
+    """
+    slots = max(1, math.isqrt(df.rdd.getNumPartitions()))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                total += of(batch)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId() % slots], pa.int32()), "sums": [total.tobytes()]})
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in table.column("sums"))
+        return pa.table({"slot": table.column("slot").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    found = df.mapInArrow(partial, "slot int, sums binary").groupBy("slot").applyInArrow(merge, "slot int, sums binary").collect()
+    return sum((np.frombuffer(r["sums"]) for r in found), np.zeros(math.prod(shape))).reshape(shape)
