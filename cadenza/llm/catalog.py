@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, mixing, oracle, packing, quality, quality_rules, simhash, token_counts, toxicity, urls, warc
+from . import alignment, html_main, knn, mixing, oracle, packing, quality, quality_rules, simhash, token_counts, toxicity, urls, warc, whitening
 from .common import read
 
 
@@ -50,5 +50,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_mixing, op4_urls, op5_quality_rules, op6_packing, op7_toxicity, op8_warc, op9_knn, op10_token_counts)}
+def op11_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(read(spark, sf_dir, "pages"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_mixing, op4_urls, op5_quality_rules, op6_packing, op7_toxicity, op8_warc, op9_knn, op10_token_counts, op11_html_main, op12_whitening, op13_alignment)}
 ORACLES: dict[str, str] = {"op3_mixing": oracle.MIXING, "op4_urls": oracle.URLS, "op8_warc": oracle.WARC, "op9_knn": oracle.KNN, "op5_quality_rules": oracle.QUALITY_RULES}
