@@ -3,9 +3,9 @@
 Each task inserts the distinct pre-tokens of its documents in a trie. A node stands for a prefix and stores the
 forward score of the best segmentation of that prefix and its number of pieces; it is scored once, when it is
 made, from the scores of its ancestors. A pre-token's count is read at its terminal node, so a prefix that a
-thousand words share is scored once. The trie is dropped when it reaches MAX_NODES, and of a pre-token longer than
-LONG the rest is scored beyond the trie with the last scores only, as many as a piece is long: both bound a worker's
-memory and change no count. There is no shuffle: a document's count is the sum over its pre-tokens.
+thousand words share is scored once. The trie is dropped when it reaches MAX_NODES or remembers words of MAX_BYTES;
+of a pre-token longer than LONG the rest is scored beyond the trie with the last scores only, as many as a piece is
+long, and it is not remembered: this bounds a worker's memory and changes no count. There is no shuffle: a document's count is the sum over its pre-tokens.
 
 The vocabulary is a public sentencepiece file. Its pieces stand in order of rank; as unigram score a piece of
 rank r has -log(r + 1). A character that no piece covers costs UNKNOWN and counts as one token for each of its
@@ -30,6 +30,7 @@ from .common import append_columns
 
 UNKNOWN = -25.0
 MAX_NODES = 400_000
+MAX_BYTES = 32 << 20
 LONG = 2_000
 MARK = "▁"
 
@@ -62,14 +63,19 @@ class Trie:
     def clear(self) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.score, self.tokens = [0.0], [0]
-        self.terminal: dict[str, int] = {"": 0}
+        self.terminal: dict[str | bytes, int] = {"": 0}
+        self.held = 0
+
+    def remember(self, word: str | bytes, n: int) -> None:
+        self.terminal[word] = n
+        self.held += len(word)
 
     def count(self, word: str) -> int:
         """Tokens of `word`; inserts it if it is new."""
         found = self.terminal.get(word)
         if found is not None:
             return found
-        if len(self.children) > MAX_NODES:
+        if len(self.children) > MAX_NODES or self.held > MAX_BYTES:
             self.clear()
         path = [0]
         for end, char in enumerate(word[:LONG], 1):
@@ -82,8 +88,8 @@ class Trie:
             path.append(node)
         if len(word) > LONG:
             return self._beyond(word, path)
-        self.terminal[word] = found = self.tokens[path[-1]]
-        return found
+        self.remember(word, self.tokens[path[-1]])
+        return self.tokens[path[-1]]
 
     def _forward(self, word: str, end: int, path: Sequence[int], score: list[float], tokens: list[int]) -> None:
         """Score the prefix word[:end] from its ancestors, path[i] being the place of word[:i] in `score` and `tokens`, and append it there."""
@@ -131,10 +137,10 @@ def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
             for word in split:
                 n = known.get(word)
                 if n is None:
-                    n = known[word] = trie.count(MARK + word.decode("utf-8", "replace"))
+                    n = trie.count(MARK + word.decode("utf-8", "replace"))
                     known = trie.terminal
                     if len(word) <= LONG:
-                        known[word] = n
+                        trie.remember(word, n)
                 total += n
             tokens[i] = total
         return {"n_pretokens": pa.array(words), "n_tokens": pa.array(tokens)}
