@@ -2,8 +2,8 @@
 
 Documents become token ids and an end id; one longer than the capacity is cut into full pieces, the first of which
 may be shorter. Equal pieces (in every column) are counted before they are shuffled, and travel as one row with the
-number of copies, at most COPIES of them. Those rows are dealt by a hash into groups of about GROUP_ROWS pieces, so a
-piece that a third of all rows repeat is spread over as many groups, and each group is packed by itself: longest
+number of copies, at most COPIES of them. Those rows are dealt by a hash into groups of about GROUP_ROWS pieces (the
+pieces are counted, not the documents, so long texts make more groups, not larger ones), and a piece that a third of all rows repeat is spread over as many groups, and each group is packed by itself: longest
 first, each into the open sequence with the least room that still holds it. A segment tree over the remaining
 capacities (its leaves count the open sequences with so much room) finds that in log2(capacity) steps. A group leaves
 at most about one sequence unfilled, so groups cost well under a part in a thousand, and no task ever holds more than
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import stage, texts
 
 CAPACITY = 1024
 END_ID = 2
@@ -186,6 +186,6 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece of every document."""
-    groups = max(1, docs.count() // GROUP_ROWS)
     pieces = tokenise(docs).withColumn("ids_crc32", F.crc32("ids"))
-    return pack(pieces if keep_ids else pieces.drop("ids"), groups)
+    pieces = stage(pieces if keep_ids else pieces.drop("ids"))
+    return pack(pieces, max(1, pieces.count() // GROUP_ROWS))
