@@ -8,8 +8,8 @@ queue of all copies in order of finish time, cut off where it would pass the tot
 
 Everything is a DataFrame operation. Rows at one place of the order (same id, source and size) stand or fall together,
 so they are added up first, and a key that a third of the rows share is one row. A source may hold a third of the
-rows, so no window spans a source: running totals are made from sums over hash ranges of the shuffled order, then
-inside each range, of some hundred rows. The copies are then sorted globally by finish time into ranges of at most
+rows, so no window spans its rows: running totals are made inside hash ranges of the shuffled order, of some hundred
+rows; ranges add up inside blocks of BLOCK ranges; only a source's blocks, one for about a million rows, meet in a task. The copies are then sorted globally by finish time into ranges of at most
 about SORT_ROWS rows; the ranges' sums tell the one that holds the cut, and only there a running total is made. What
 comes out is a row per source, with its last copy in the mix; documents need no shuffle to be compared with it.
 
@@ -29,6 +29,7 @@ from .common import WORD, checkpoint, packed, stage
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 ROWS_IN_RANGE = 256
+BLOCK = 4096
 SORT_ROWS = 1 << 20
 #: A table of sources with at most so many rows is broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 20_000
@@ -78,9 +79,16 @@ def _running(places: DataFrame) -> DataFrame:
         ranges *= 2
     hashed = F.conv(F.substring("_place.key", 1, 10), 16, 10).cast("long")
     at = places.withColumn("_range", F.floor(hashed * ranges / 16**10).cast("long"))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = at.groupBy("source", "_range").agg(F.sum("_size").alias("_sum"))
-    starts = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    before = lambda keys, by: F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = at.groupBy("source", "_range").agg(F.sum("_size").alias("_sum")).withColumn("_block", F.floor(F.col("_range") / BLOCK))
+    if ranges > BLOCK:
+        blocks = sums.groupBy("source", "_block").agg(F.sum("_sum").alias("_sum"))
+        blocks = blocks.select(F.col("source").alias("_bs"), F.col("_block").alias("_b"), before(["source"], "_block").alias("_base"))
+        sums = sums.withColumn("_start", before(["source", "_block"], "_range"))
+        sums = sums.join(blocks, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_b"))).withColumn("_start", F.col("_start") + F.col("_base"))
+    else:
+        sums = sums.withColumn("_start", before(["source"], "_range"))
+    starts = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_start")
     inside = F.sum("_size").over(Window.partitionBy("source", "_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
     joined = at.withColumn("_in", inside).join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     return joined.select("source", "_size", "_place", "source_size", "target", (F.col("_start") + F.col("_in")).alias("_cum"))
