@@ -35,6 +35,8 @@ MAX_REPEAT_PERCENT = 50
 TAILS = {"symbols": 90, "dups": 99, "repeats": 99, "upper": 90, "marks": 90, "word_len": 90}
 REACH = 5
 PRIOR_DOCS = 30
+#: A table of groups' fences with at most so many rows is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 20_000
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_marks")
 _STATS = T.StructType([T.StructField(f, T.LongType()) for f in _COUNTS])
@@ -108,9 +110,11 @@ def fences(sketch: DataFrame) -> DataFrame:
 
 
 def _verdict(stats: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """`stats` with _failed and _kept."""
+    """`stats` with _failed and _kept. `limits` is checkpointed, so its count is cheap."""
     s = F.col("_stats")
+    few = limits.count() <= BROADCAST_ROWS
     limits = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = F.broadcast(limits) if few else limits
     joined = stats.join(limits, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")), "left")
     inside = F.lit(True)
     for k, v in _statistics(s).items():
@@ -122,13 +126,14 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document. The text is read once; counts are kept in a checkpoint."""
     stats = checkpoint(with_stats(docs.select("doc_id", "lang", "source", "text")).drop("text"))
     counts = [F.col(f"_stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return _verdict(stats, fences(sketches(stats))).select("doc_id", *counts, F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return _verdict(stats, checkpoint(fences(sketches(stats)))).select("doc_id", *counts, F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns as they were.
 
-    Counts are made twice (for the sketches and for the filter): that costs less than moving the texts.
+    Counts are made twice (for the sketches and for the filter): that costs less than moving the texts. The fences go
+    to the texts, unless there are more groups than BROADCAST_ROWS.
     """
     limits = checkpoint(fences(sketches(with_stats(docs.select("lang", "source", "text")))))
     return _verdict(with_stats(packed(docs), "_doc.text"), limits, "_doc.lang", "_doc.source").where("_kept").select("_doc.*")
