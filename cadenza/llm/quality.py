@@ -9,7 +9,7 @@ in BINS bins, and isotonic regression over the bins turns a score into the share
 The cosines are rounded to 2**-12, so sums of their products are exact and come out alike in any order.
 
 All labelled rows outside the held-out fold are used; there is no sample. Defined cases: a null or empty text has
-zero for every feature and is scored as such; repeated rows are scored each; a repeated label counts each time;
+zero for every feature and is scored as such; repeated rows are scored each; equal labels of an id count once, different ones each;
 without any label the score is 0.5; an empty table gives an empty result; null ids are in the held-out fold; extra
 columns are kept by `keep_good` and ignored by `score`.
 """
@@ -161,7 +161,7 @@ def fit(rows: DataFrame) -> Model:
 
 def training_rows(x: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """_x, label, fold of the labelled documents outside the held-out fold."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("label")).where("label is not null")
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("label")).where("label is not null").distinct()
     return x.join(known, F.col("doc_id") == F.col("_id")).select("_x", "label", fold(F.col("doc_id")).alias("fold")).where("fold <> 0")
 
 
