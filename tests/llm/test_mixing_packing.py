@@ -150,3 +150,28 @@ def test_ids_of_all_documents_are_those_of_tokenizers(tokenizer, sf_dir):
     texts = [t or "" for t in pq.read_table(sf_dir.replace("0.001", "0.01") + "/documents.parquet", columns=["text"]).column(0).to_pylist()]
     for text, ids in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
         assert packing.encode(text, packing.tokenizer_path()).tolist() == ids.ids
+
+
+def test_running_totals_over_many_ranges(spark, monkeypatch):
+    """Blocks of ranges, for a source with many rows, against plain sums."""
+    monkeypatch.setattr(mixing, "ROWS_IN_RANGE", 2)
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    rows = mixing._sized(spark.range(400).selectExpr("id as doc_id", "if(id % 3 = 0, 'a', null) as source", "repeat('w ', int(id % 7 + 1)) as text")).selectExpr("source", "_size", "_place", "1 as source_size", "1 as target")
+    got = mixing._running(rows).collect()
+    assert len(got) == 400
+    for source in ("a", None):
+        total = 0
+        for r in sorted((r for r in got if r.source == source), key=lambda r: tuple(r._place)):
+            total += r._size
+            assert r._cum == total
+
+
+def test_groups_hold_pieces_not_documents(spark, monkeypatch):
+    """Long documents make more groups, not larger ones."""
+    monkeypatch.setattr(packing, "GROUP_ROWS", 64)
+    docs = spark.range(40).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 20000) as text")
+    out = packing.pack_documents(docs).collect()
+    groups = collections.Counter(r.sequence_id >> 32 for r in out)
+    assert len(out) > 1500 and max(groups.values()) <= 2 * 64
+    assert all(r.offset + r.length <= 1024 for r in out)
+    assert len({r.sequence_id for r in out}) <= sum(r.length for r in out) / 1024 + len(groups)

@@ -74,9 +74,73 @@ def test_a_very_long_word_makes_few_nodes():
     assert len(trie.children) <= token_counts.LONG + 1 and word not in trie.terminal
 
 
+def test_long_words_are_not_kept(spark, monkeypatch):
+    """Words that share their first characters make few nodes; none of them may stay in memory, and counts stay the same."""
+    head = "abcdefghij" * 200
+    words = [f"{head}{'xyz' * 20}{i}" for i in range(2_000)]
+    assert min(map(len, words)) > token_counts.LONG
+    docs = spark.createDataFrame([(i, " ".join(words[i::50])) for i in range(50)], "doc_id long, text string")
+    monkeypatch.setattr(token_counts, "_trie", lambda path: trie)
+    trie = token_counts.Trie(token_counts.vocabulary(token_counts.default_model()))
+    found = []
+    monkeypatch.setattr(token_counts, "append_columns", lambda df, name, fields, compute: found.append(compute) or df)
+    token_counts.count_tokens(docs)
+    made = found[0]([" ".join(words).encode()])
+    assert trie.terminal == {"": 0} and trie.held == 0
+    fresh = token_counts.Trie(token_counts.vocabulary(token_counts.default_model()))
+    assert made["n_tokens"].to_pylist() == [sum(fresh.count(token_counts.MARK + w) for w in words)]
+    monkeypatch.setattr(token_counts, "MAX_BYTES", 1000)
+    some = [w.encode() for w in ("alpha beta gamma delta " * 3 + " ".join(f"w{i}" for i in range(500))).split()]
+    assert found[0]([b" ".join(some)])["n_tokens"].to_pylist() == [sum(fresh.count(token_counts.MARK + w.decode()) for w in some)]
+    assert trie.held <= 1000 + 2 * max(map(len, some)) + 3
+
+
 # Toxicity
 
 
+def plain_score(net, text):
+    """The highest window probability of a text, number by number, by loops alone."""
+    words = toxicity.words_of(text)
+    if not words:
+        words = [None]
+    best, sigmoid, p, h = -math.inf, lambda v: 1 / (1 + math.exp(-v)), net.p, toxicity.HIDDEN
+    begins = [b for b in range(0, len(words), toxicity.STRIDE) if b == 0 or b + toxicity.WINDOW - toxicity.STRIDE < len(words)]
+    for begin in begins:
+        inputs = []
+        for w in words[begin : begin + toxicity.WINDOW]:
+            if w is None:
+                continue
+            lexicon = toxicity.Lexicon()
+            lexicon.add([w])
+            inputs.append([float(v) for v in net.inputs(lexicon)[0]])
+        ways = []
+        for way in "fb":
+            state, states = [0.0] * h, []
+            for x in inputs if way == "f" else inputs[::-1]:
+                left = [sum(x[i] * float(p[f"W{way}"][i, j]) for i in range(len(x))) + float(p[f"c{way}"][j]) for j in range(3 * h)]
+                right = [sum(state[i] * float(p[f"U{way}"][i, j]) for i in range(h)) for j in range(3 * h)]
+                z, r = ([sigmoid(left[k * h + j] + right[k * h + j]) for j in range(h)] for k in (0, 1))
+                new = [math.tanh(left[2 * h + j] + r[j] * right[2 * h + j]) for j in range(h)]
+                state = [z[j] * state[j] + (1 - z[j]) * new[j] for j in range(h)]
+                states.append(state)
+            ways.append(states if way == "f" else states[::-1])
+        hidden = [f + b for f, b in zip(*ways, strict=True)]
+        energy = [sum(float(p["v"][j]) * math.tanh(sum(s[i] * float(p["A"][i, j]) for i in range(2 * h)) + float(p["a"][j])) for j in range(h)) for s in hidden]
+        total = sum(math.exp(e - max(energy)) for e in energy)
+        pooled = [sum(math.exp(e - max(energy)) / total * s[i] for e, s in zip(energy, hidden, strict=True)) for i in range(2 * h)]
+        best = max(best, sum(pooled[i] * float(p["w"][i]) for i in range(2 * h)) + float(p["o"][0]))
+    return sigmoid(best)
+
+
+def test_network_equals_plain_loops():
+    net, rng = toxicity.Network(), np.random.default_rng(1)
+    for k in ("word", "o", "a", "cf", "cb", "w"):
+        net.p[k] = rng.normal(0, 0.7, net.p[k].shape).astype(np.float32)
+    documents = [b"", b"one", b"One two, two three! four", " ".join(f"w{i % 17}" for i in range(70)).encode(), "ÄÖ é 中文".encode(), b"x " * 113]
+    got = net.scores([toxicity.words_of(t) for t in documents])
+    assert np.allclose(got, [plain_score(net, t) for t in documents], atol=1e-5)
+
+
 def test_gradients():
     net, rng = toxicity.Network(), np.random.default_rng(0)
     net.p = {k: v.astype(float) for k, v in net.p.items()}

@@ -133,3 +133,21 @@ def test_whole_query_against_plain_numpy(spark, sf_dir):
     expected = {d: float(np.interp((model.fourier(v[None]) @ weights)[0], at, share)) for d, v in x.items()}
     for r in catalog.op1_quality(spark, sf_dir).collect():
         assert abs(r.score - expected[r.doc_id]) < 1e-6 and r.predicted == int(r.score >= 0.3) and r.held_out == (remainder(r.doc_id) == 0)
+
+
+def test_texts_stay_where_they_are(spark, sf_dir, monkeypatch):
+    """The fences go to the texts: the stage's plan exchanges nothing, at any size of the documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = quality_rules.keep_clean(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "hashpartitioning" not in plan and "Exchange hash" not in plan
+    expected = quality_rules.keep_clean(docs).count()
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
+    assert quality_rules.keep_clean(docs).count() == expected
+
+
+def test_labels_of_an_id_that_repeats(spark):
+    """Equal labels count once, so an id that many documents and labels share makes no product."""
+    x = spark.createDataFrame([(7, [0.0] * 18)] * 40, "doc_id long, _x array<float>")
+    labels = spark.createDataFrame([(7, 1, 0)] * 50 + [(7, 0, 0)] * 50, "doc_id long, quality int, toxic int")
+    assert quality.training_rows(x, labels, "quality").count() in (0, 80)
+    assert max(quality.training_rows(x.withColumn("doc_id", F.lit(i).cast("long")), labels.withColumn("doc_id", F.lit(i).cast("long")), "quality").count() for i in range(4)) == 80
