@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.operators import grids as G
 from cadenza.operators import sequences as S
-from cadenza.sources import sidecars
-from cadenza.streaming.stateful import folded
+from cadenza.sources import chunks, sidecars
+from cadenza.sources.shared import new_folder
+from cadenza.streaming.stateful import folded, silent, state_store
 
 from .registry import CELLS, ORACLES, cells, lagged_cells, query, table
 from .sequence_queries import CUT, scenes
@@ -105,21 +102,11 @@ def trimmed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local master may have none set and gets a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="cadenza-")
-    return f"{shared}/cadenza/{uuid.uuid4().hex}"
-
-
 @query("select vec_id as frame, vec_id % 50 = 0 as cut, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) as total from embeddings")
 def vrd_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids written as raw sidecars, a file per range of frames, and read back."""
     sidecars.register(spark)
-    path = _folder(spark)
+    path = new_folder(spark)
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), (F.col("vec_id") % 50 == 0).alias("cut"), F.lit("max").alias("mode"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").cast("array<float>").alias("values"))
     e.repartitionByRange("frame").write.format("vrd").mode("append").save(path)
     total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -129,10 +116,48 @@ def vrd_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["refresh_schedule"])
 def streamed_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The refresh schedule as a stream: sessions in files, a state per session, all that is there in micro-batches."""
-    path = _folder(spark)
+    path = new_folder(spark)
     rows = scenes(spark, sf_dir).select("session", "frame", F.coalesce(F.col("delta") >= CUT, F.lit(False)).alias("cut"), "confidence", F.col("value").alias("motion"))
     rows.repartition("session").write.parquet(f"{path}/in")  # a session's frames come in one file
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
-    out = folded(stream, lambda: S.NEVER, S.refresh_step(8, 3, 0.1, 90.0), "refresh boolean, since long", ["session", "frame"])
-    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    out = folded(stream, lambda: S.NEVER, S.refresh_step(8, 3, 0.1, 90.0), "refresh boolean, since long", ["session", "frame"], "since long")
+    with state_store(spark):
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("""select vec_id as frame, vec_id % 50 = 0 as cut, round(list_sum(list_transform(embedding, lambda x: 2 * x::double)), 4) as total, floor(embedding[1] * 16) / 16 as dx, vec_id % 3 > 0 as valid from embeddings""")
+def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids and their motion as numbered chunks, read as a stream that consumes them, doubled, and published as chunks by a stream."""
+    chunks.register(spark)
+    path = new_folder(spark)
+    record = F.struct((F.floor(F.col("embedding")[0] * 16) / 16).cast("float").alias("dx"), F.lit(0.0).cast("float").alias("dy"), (F.col("vec_id") % 3 > 0).alias("valid"), F.lit(255).cast("smallint").alias("confidence"))
+    whole = lambda v, name: F.lit(v).alias(name)
+    motion = F.struct(whole(3, "version"), whole(8, "width"), whole(8, "height"), whole(8, "tile"), whole(1, "tiles_x"), whole(1, "tiles_y"), F.lit(False).alias("reset"), F.array(record).alias("records"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), (F.col("vec_id") % 50 == 0).alias("cut"), whole("max", "mode"), whole(8, "height"), whole(8, "width"), F.col("embedding").cast("array<float>").alias("values"), motion.alias("motion"))
+    e.repartitionByRange("frame").sortWithinPartitions("frame").write.format("chunks").mode("append").option("chunk", 256).save(f"{path}/in")
+    stream = spark.readStream.format("chunks").option("path", f"{path}/in").option("motion", "required").load()
+    doubled = stream.select("frame", "cut", "mode", "height", "width", F.transform("values", lambda v: v * 2).alias("values"), "motion")
+    doubled.writeStream.format("chunks").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    first = F.col("motion.records")[0]
+    return spark.read.format("chunks").load(f"{path}/out").select("frame", "cut", F.round(total, 4).alias("total"), first["dx"].cast("double").alias("dx"), first["valid"].alias("valid"))
+
+
+#: Milliseconds: a pause of a session that is an alarm, and how far the watermark stays behind.
+_IDLE, _LATE = 86_400_000, 3_600_000
+
+
+@query(f"""with e as (select user_id as session, epoch_ms(ts) as ms, lead(epoch_ms(ts)) over (partition by user_id order by ts) as after, (select max(epoch_ms(ts)) from events) - {_LATE} as mark from events),
+  p as (select *, coalesce(after - ms > {_IDLE}, ms + {_IDLE} < mark) as alarm, row_number() over (partition by session order by ms) as i from e),
+  n as (select *, coalesce(max(i) filter (alarm) over (partition by session order by i rows between unbounded preceding and 1 preceding), 0) as last from p)
+  select session, ms as since_ms, i - last as rows from n where alarm""")
+def streamed_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms of sessions that pause for over a day, also of those that never come back: state with event-time timers."""
+    path = new_folder(spark)
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("at"))
+    rows.write.parquet(f"{path}/in")
+    out = silent(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), _IDLE, "at", f"{_LATE // 1000} seconds")
+    with state_store(spark):
+        out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")

@@ -73,10 +73,41 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def latest(stream: DataFrame, keys: list[str], order: str, path: str, checkpoint: str):
-    """A stream's newest row of each key, written anew after every micro-batch: the last value wins."""
+    """A stream's newest row of each key, for `newest` to read: the last value wins.
+
+    Each micro-batch adds its own newest rows in a folder of its number, so it writes what has changed, readers always
+    find a whole state, and a batch that is run again takes its own place.
+    """
 
     def publish(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    rows = F.struct(*[c for c in stream.columns if c not in keys])
+
+    def add(batch: DataFrame, number: int) -> None:
+        publish(batch.groupBy(*keys).agg(F.max_by(rows, order).alias("r")).select(*keys, "r.*"), number)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
+
+
+def newest(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """What `latest` has written: one row per key, that with the highest `order`, of equals the one that came last."""
+    rows = spark.read.parquet(path)
+    kept = F.struct(*[c for c in rows.columns if c not in (*keys, "batch")])
+    return rows.groupBy(*keys).agg(F.max_by(kept, F.struct(order, "batch")).alias("r")).select(*keys, "r.*")
+
 
-    newest = stream.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), order).alias("r")).select(*keys, "r.*")
-    return newest.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", checkpoint).start()
+def compacted(spark: SparkSession, path: str, keys: list[str], order: str) -> None:
+    """Put the newest rows of all batches but the last in the place of the last but one; for a stream that stands still."""
+    batches = sorted(r.batch for r in spark.read.parquet(path).select("batch").distinct().collect())  # a row per batch
+    if len(batches) < 3:
+        return
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    base = spark.read.option("basePath", path).parquet(*(f"{path}/batch={b}" for b in batches[:-1]))
+    kept = F.struct(*[c for c in base.columns if c not in (*keys, "batch")])
+    base.groupBy(*keys).agg(F.max_by(kept, F.struct(order, "batch")).alias("r")).select(*keys, "r.*").write.parquet(f"{path}/_compacted")
+    fs.delete(at(f"batch={batches[-2]}"), True)
+    fs.rename(at("_compacted"), at(f"batch={batches[-2]}"))
+    for b in batches[:-2]:
+        fs.delete(at(f"batch={b}"), True)

@@ -46,7 +46,12 @@ def test_latest_row_wins(spark, tmp_path):
     query = logs.latest(stream, ["k"], "t", str(tmp_path / "out"), str(tmp_path / "ck"))
     query.processAllAvailable()
     query.stop()
-    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, "a2"), (1, "b0")]
+    out = str(tmp_path / "out")
+    assert sorted(p.name for p in (tmp_path / "out").glob("batch=*")) == ["batch=0", "batch=1", "batch=2"]
+    assert sorted((r.k, r.v) for r in logs.newest(spark, out, ["k"], "t").collect()) == [(0, "a2"), (1, "b0")]
+    logs.compacted(spark, out, ["k"], "t")
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 2
+    assert sorted((r.k, r.v) for r in logs.newest(spark, out, ["k"], "t").collect()) == [(0, "a2"), (1, "b0")]
 
 
 def test_pcm(spark, tmp_path):

@@ -1,5 +1,8 @@
 """A stream's result does not depend on how it is cut, and equals the batch's."""
 
+import datetime
+import time
+
 import pytest
 
 from cadenza.operators import sequences, telemetry
@@ -14,7 +17,8 @@ def run(spark, tmp_path, cuts, make):
     source.mkdir()
     edges = [0, *cuts, 24]
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(source))
-    query = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"c{len(cuts)}")).start()
+    with stateful.state_store(spark):
+        query = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"c{len(cuts)}")).start()
     try:
         for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             part = [r for r in ROWS if a <= r[1] < b]
@@ -30,14 +34,14 @@ def run(spark, tmp_path, cuts, make):
 def test_windows_equal_batch(spark, tmp_path, cuts):
     step = telemetry.rate_step(4.0)
     batch = sequences.fold(spark.createDataFrame(ROWS, SCHEMA), ["session"], lambda: None, step, "closed boolean, fps double", ["session", "frame"])
-    got = run(spark, tmp_path, cuts, lambda s: stateful.folded(s, lambda: None, step, "closed boolean, fps double", ["session", "frame"]).where("closed"))
+    got = run(spark, tmp_path, cuts, lambda s: stateful.folded(s, lambda: None, step, "closed boolean, fps double", ["session", "frame"], "began double, frames long").where("closed"))
     assert got == sorted(map(tuple, batch.where("closed").collect())) and got
 
 
 def test_alarm_equals_batch(spark, tmp_path):
     step = telemetry.alarm_step(20, 1.0, 6.0)
     batch = sequences.fold(spark.createDataFrame(ROWS, SCHEMA), ["session"], lambda: (None, None), step, "alarm boolean", ["session", "frame"])
-    got = run(spark, tmp_path, [3, 4, 9], lambda s: stateful.folded(s, lambda: (None, None), step, "alarm boolean", ["session", "frame"]))
+    got = run(spark, tmp_path, [3, 4, 9], lambda s: stateful.folded(s, lambda: (None, None), step, "alarm boolean", ["session", "frame"], "since double, last double"))
     assert got == sorted(map(tuple, batch.collect())) and any(r[2] for r in got)
 
 
@@ -45,12 +49,97 @@ def test_gap_is_an_error(spark, tmp_path):
     rows = [(0, 0, 0.0, 0.0), (0, 2, 2.0, 0.0)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    out = stateful.folded(stream, lambda: None, telemetry.rate_step(1.0), "closed boolean, fps double", ["session", "frame"])
-    query = out.writeStream.format("memory").queryName("gap").option("checkpointLocation", str(tmp_path / "c")).start()
+    out = stateful.folded(stream, lambda: None, telemetry.rate_step(1.0), "closed boolean, fps double", ["session", "frame"], "began double, frames long")
+    with stateful.state_store(spark):
+        query = out.writeStream.format("memory").queryName("gap").option("checkpointLocation", str(tmp_path / "c")).start()
     with pytest.raises(Exception, match="follows"):
         query.processAllAvailable()
 
 
+def started(spark, tmp_path, name, df):
+    with stateful.state_store(spark):
+        return df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"k_{name}")).start()
+
+
+def put(spark, tmp_path, source, n, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{source.name}_{n}"))
+    next((tmp_path / f"{source.name}_{n}").glob("*.parquet")).rename(source / f"{n}.parquet")
+
+
+def until(what, seconds=60):
+    end = time.monotonic() + seconds
+    while not what():
+        assert time.monotonic() < end, "it took too long"
+        time.sleep(0.2)
+
+
+def test_a_silent_session_raises_its_alarm_without_a_row(spark, tmp_path):
+    """By processing time: no row comes after the first ones, and yet the alarm does; its state goes."""
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = spark.readStream.schema("session long, v long").parquet(str(source))
+    query = started(spark, tmp_path, "silence", stateful.silent(stream, 1500))
+    try:
+        put(spark, tmp_path, source, 0, [(1, 1), (1, 2), (2, 1)], "session long, v long")
+        until(lambda: spark.table("silence").count() == 2)
+        assert sorted((r.session, r.rows) for r in spark.table("silence").collect()) == [(1, 2), (2, 1)]
+        until(lambda: sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) == 0)
+        put(spark, tmp_path, source, 1, [(2, 5)], "session long, v long")
+        until(lambda: spark.table("silence").count() == 3)
+        assert [(r.session, r.rows) for r in spark.table("silence").collect()][-1] == (2, 1)
+    finally:
+        query.stop()
+
+
+PAUSES = [(s, 1000 + s * 7 + t) for s in range(3) for t in (0, 3, 4, 30, 31, 90, 91 + 20 * s, 150)]
+
+
+@pytest.mark.parametrize("edges", [[], [20], [5, 35, 36, 120], [1, 2, 3, 4, 60, 100, 130]])
+def test_pauses_do_not_depend_on_the_cut(spark, tmp_path, edges):
+    """By event time: alarms are the pauses of over 20 s, and the last silence once the watermark has passed it."""
+    source = tmp_path / f"in{len(edges)}"
+    source.mkdir()
+    stream = spark.readStream.schema("session long, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = started(spark, tmp_path, f"pauses{len(edges)}", stateful.silent(stream, 20_000, "at"))
+    rows = [(s, datetime.datetime.fromtimestamp(t, datetime.UTC)) for s, t in sorted(PAUSES, key=lambda r: r[1])]
+    try:
+        for i, (a, b) in enumerate(zip([-1, *edges], [*edges, 999], strict=True)):
+            put(spark, tmp_path, source, i, [r for r in rows if a < r[1].timestamp() - 1000 <= b], "session long, at timestamp")
+            query.processAllAvailable()
+        put(spark, tmp_path, source, 99, [(9, datetime.datetime.fromtimestamp(1400, datetime.UTC))], "session long, at timestamp")
+        query.processAllAvailable()
+        until(lambda: spark.table(f"pauses{len(edges)}").where("since_ms > 1149000").count() == 3)
+    finally:
+        query.stop()
+    expected = []
+    for s in range(3):
+        times = sorted(t for q, t in PAUSES if q == s) + [10_000]
+        n = 0
+        for now, after in zip(times, times[1:], strict=False):
+            n += 1
+            if after - now > 20:
+                expected.append((s, now * 1000, n))
+                n = 0
+    assert sorted(map(tuple, spark.table(f"pauses{len(edges)}").collect())) == sorted(expected)
+
+
+def test_idle_state_goes(spark, tmp_path):
+    """A fold whose session is silent loses its state and starts anew at frame 0."""
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = spark.readStream.schema(SCHEMA).parquet(str(source))
+    step = lambda n, row: (n + 1, {"n": n + 1})
+    query = started(spark, tmp_path, "idle", stateful.folded(stream, lambda: 0, step, "n long", ["session", "frame"], "n long", idle=1.5))
+    try:
+        put(spark, tmp_path, source, 0, ROWS[:3], SCHEMA)
+        until(lambda: spark.table("idle").count() == 3 and query.lastProgress and sum(s["numRowsTotal"] for s in query.lastProgress["stateOperators"]) == 0)
+        put(spark, tmp_path, source, 1, ROWS[:2], SCHEMA)
+        until(lambda: spark.table("idle").count() == 5)
+        assert sorted(r.n for r in spark.table("idle").collect()) == [1, 1, 2, 2, 3]
+    finally:
+        query.stop()
+
+
 def test_event_time_windows(spark, sf_dir, tmp_path):
     events = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(events).schema
