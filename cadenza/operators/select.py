@@ -1,4 +1,4 @@
-"""Selection: best of a group with explicit ties, greedy covers, coalescing, set operations on keys."""
+"""Selection: best of a group with explicit ties, coalescing, set operations on keys."""
 
 from __future__ import annotations
 
@@ -40,40 +40,6 @@ def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new, key, "left_anti").unionByName(new)
 
 
-def greedy_cover(mask: np.ndarray, side: int, share: float = 0.985, most: int = 4, least: int = 1) -> list[tuple[int, int, int]]:
-    """Squares (x0, y0, gain) of one size that cover a mask, from all places."""
-    h, w = mask.shape
-    squares = [(x, y, side) for y in range(0, max(1, h - side + 1)) for x in range(0, max(1, w - side + 1))]
-    return [(x, y, gain) for x, y, _, gain in covering(mask, squares, share, most, least)]
-
-
-def covering(mask: np.ndarray, squares: list[tuple[int, int, int]], share: float, most: int, least: int) -> list[tuple[int, int, int, int]]:
-    """Squares (x0, y0, side, gain) that cover a mask: again and again that with the most uncovered cells, the first of equals.
-
-    It ends when `share` of the cells is covered (at least `least`), at `most` squares, or when none gains `least` cells.
-    """
-    left, out = mask.copy(), []
-    total = int(mask.sum())
-    enough = max(least, math.ceil(total * share))
-    while total and total - left.sum() < enough and len(out) < most:
-        gains = [int(left[y : y + s, x : x + s].sum()) for x, y, s in squares]
-        i = int(np.argmax(gains)) if gains else 0
-        if not gains or gains[i] < least:
-            break
-        x, y, s = squares[i]
-        left[y : y + s, x : x + s] = False
-        out.append((x, y, s, gains[i]))
-    return out
-
-
-def starts(low: int, high: int, side: int, stride: int, size: int) -> list[int]:
-    """Where squares of `side` start along low to high, the last one flush with its end; a single one, centred, if one is enough."""
-    inside = lambda v: max(0, min(size - side, v))
-    if high - low <= side:
-        return [inside(round((low + high - side) / 2))]
-    return sorted({*range(low, high - side + 1, stride), inside(high - side)})
-
-
 def closed(mask: np.ndarray, radius: int) -> np.ndarray:
     """A mask with gaps of up to 2 radius cells closed: grown by `radius`, then shrunk by it; the border does not shrink it."""
 
@@ -84,39 +50,6 @@ def closed(mask: np.ndarray, radius: int) -> np.ndarray:
     return ~grown(~grown(mask, False), False) if mask.size else mask
 
 
-def roi_cover(mask: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], side: int, overlap: int, context: float, least: int, most: int, snap: int, smallest: int, share: float = 0.985) -> list[tuple[int, int, int, int]]:
-    """Squares (x0, y0, side, gain) over the connected `parts` (ys, xs) of a mask that have `least` cells; others are left alone.
-
-    Candidates are, in this order: a square about each part, `context` times its longer side, in steps of `snap` and
-    not under `smallest`, or, if that is over `side`, squares of `side` across the part and a margin, `overlap` wide in
-    common; then squares of `side` across all parts, as one may cover several of them.
-    """
-    h, w = mask.shape
-    side = min(side, h, w)
-    stride = max(1, side - overlap)
-    parts = [(ys, xs) for ys, xs in parts if len(ys) >= least]
-    wanted = np.zeros_like(mask)
-    for ys, xs in parts:
-        wanted[ys, xs] = True
-
-    def across(ys: np.ndarray, xs: np.ndarray, margin: int) -> list[tuple[int, int, int]]:
-        rows = starts(max(0, int(ys.min()) - margin), min(h, int(ys.max()) + 1 + margin), side, stride, h)
-        columns = starts(max(0, int(xs.min()) - margin), min(w, int(xs.max()) + 1 + margin), side, stride, w)
-        return [(x, y, side) for y in rows for x in columns if mask[y : y + side, x : x + side].sum() >= least]
-
-    squares: list[tuple[int, int, int]] = []
-    for ys, xs in parts:
-        need = math.ceil(max(smallest, context * max(np.ptp(ys) + 1, np.ptp(xs) + 1)) / snap) * snap
-        if need <= side:
-            corner = lambda v, size, need=need: max(0, min(size - need, round(float(v.mean()) - need / 2)))
-            squares.append((corner(xs, w), corner(ys, h), need))
-        else:
-            squares += across(ys, xs, int((context - 1) * side / 2))
-    if parts:
-        squares += across(*np.nonzero(wanted), overlap // 2)
-    return covering(wanted, list(dict.fromkeys(squares)), share, most, least)
-
-
 def merged_boxes(boxes: list[tuple[int, int, int, int]], most: int, width: int, height: int) -> list[tuple[int, int, int, int]]:
     """Boxes (x0, y0, x1, y1), the two with the nearest centres, as shares of the grid, merged in the first one's place until `most` remain; sorted by corner."""
     boxes = list(boxes)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadenza.operators import cover as C
 from cadenza.operators import select as X
 from cadenza.operators import settings as V
 
@@ -42,7 +43,7 @@ def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
       from r, sq where rank < 3 and total - bit_count(r.bits) < 0.985 * total) where place = 1 and gain > 0) select * from r)
   select frame, rank, x0, y0, gain from g where rank >= 0""")
 def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda g: [(i, *r) for i, r in enumerate(X.greedy_cover(g > 0.1, 3))]
+    make = lambda g: [(i, *r) for i, r in enumerate(C.greedy_cover(g > 0.1, 3))]
     return X.per_grid(_grids(spark, sf_dir), make, "frame long, rank int, x0 int, y0 int, gain int", ["frame", "rank", "x0", "y0", "gain"], [pa.int64(), *[pa.int32()] * 4])
 
 
@@ -67,13 +68,8 @@ def merged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def roi_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squares of their own sizes over a closed mask's components of three cells and more."""
-
-    def make(grid):
-        mask = X.closed(grid > 0.15, 1)
-        return [(i, *r) for i, r in enumerate(X.roi_cover(mask, components(mask), 4, 1, 1.25, 3, 4, 1, 2))]
-
-    names = ["frame", "rank", "x0", "y0", "side", "gain"]
-    return X.per_grid(_grids(spark, sf_dir), make, "frame long, rank int, x0 int, y0 int, side int, gain int", names, [pa.int64(), *[pa.int32()] * 5])
+    found = C.masks(_grids(spark, sf_dir), lambda values: X.closed(X.grid_of(values) > 0.15, 1), components, 3)
+    return C.roi_cover(found, side=4, overlap=1, context=1.25, least=3, most=4, snap=1, smallest=2)
 
 
 @query(f"""{CELLS}, s as (select * from cl where v > 0.15), b as (

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import backends, geometry, scalars
-from cadenza.operators import aggregates, grids, joins, select, sequences, settings, splat, telemetry
+from cadenza.operators import aggregates, cover, grids, joins, select, sequences, settings, splat, telemetry
 from cadenza.plans.aggregate_queries import components
 
 
@@ -144,7 +144,7 @@ def test_tiles_own_every_cell_once(seed):
 def test_greedy_cover_and_boxes():
     mask = np.zeros((8, 8), bool)
     mask[0:2, 0:2] = mask[5:8, 5:8] = True
-    assert select.greedy_cover(mask, 3) == [(5, 5, 9), (0, 0, 4)]
+    assert cover.greedy_cover(mask, 3) == [(5, 5, 9), (0, 0, 4)]
     assert select.merged_boxes([(0, 0, 1, 1), (2, 0, 3, 1), (7, 7, 8, 8)], 2, 8, 8) == [(0, 0, 3, 1), (7, 7, 8, 8)]
 
 
@@ -192,7 +192,7 @@ def test_any_grid_and_none(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [1.0, None, 1.0]), (4, [1.0] * 25)], "vec_id long, embedding array<float>")
     found = select.per_grid(df, lambda g: [(len(g), int((g > 0.5).sum()))], "frame long, side int, cells int", ["frame", "side", "cells"], [pa.int64(), pa.int32(), pa.int32()])
     assert sorted(map(tuple, found.collect())) == [(1, 0, 0), (2, 0, 0), (3, 2, 2), (4, 5, 25)]
-    for make in (lambda g: select.greedy_cover(g > 0.5, 3), lambda g: select.tiles(g > 0.5, 2, 1, 1, 2)):
+    for make in (lambda g: cover.greedy_cover(g > 0.5, 3), lambda g: select.tiles(g > 0.5, 2, 1, 1, 2)):
         assert make(select.grid_of(None)) == []
 
 
@@ -234,44 +234,73 @@ def test_closed_masks_and_starts():
     assert np.argwhere(select.closed(mask, 1)).tolist() == [[4, 3], [4, 4], [4, 5]]
     assert select.closed(np.ones((4, 4), bool), 1).all() and not select.closed(np.zeros((4, 4), bool), 2).any()
     assert select.closed(select.grid_of(None) > 0, 1).shape == (0, 0)
-    assert select.starts(2, 5, 5, 3, 20) == [1] and select.starts(0, 10, 4, 3, 10) == [0, 3, 6] and select.starts(3, 14, 4, 3, 14) == [3, 6, 9, 10]
 
 
-def cover(mask, side, **options):
-    rules = {"overlap": 8, "context": 1.25, "least": 4, "most": 9, "snap": 4, "smallest": 8} | options
-    return select.roi_cover(mask, components(mask), side, **rules)
+def test_starts_along_an_axis(spark):
+    of = lambda low, high, side, stride, size: one(spark, s=cover.axis_starts(F.lit(low), F.lit(high), F.lit(side), side - stride, F.lit(size))).s
+    assert of(2, 5, 5, 3, 20) == [1] and of(0, 10, 4, 3, 10) == [0, 3, 6] and of(3, 14, 4, 3, 14) == [3, 6, 9, 10] and of(0, 3, 9, 2, 9) == [0]
 
 
-def test_roi_cover():
+RULES = {"overlap": 8, "context": 1.25, "least": 4, "most": 9, "snap": 4, "smallest": 8}
+
+
+def covered(spark, mask, side, **options):
+    """The mask's squares in order, and all candidates."""
+    rules = RULES | options
+    grids_ = spark.createDataFrame([(0, mask.ravel().astype(float).tolist())], "frame long, v array<double>")
+    found = cover.masks(grids_, lambda v: np.array(v, bool).reshape(mask.shape), components, rules["least"])
+    places = found.select(cover.candidates(F.col("parts"), F.col("height"), F.col("width"), side, rules["overlap"], rules["context"], rules["snap"], rules["smallest"]).alias("c")).first().c
+    return [tuple(r[2:]) for r in sorted(cover.roi_cover(found, side, **rules).collect(), key=lambda r: r["rank"])], [tuple(c) for c in places or []]
+
+
+def plain_cover(mask, places, share, most, least):
+    """Counts every square anew for every choice."""
+    wanted = np.zeros_like(mask)
+    for ys, xs in components(mask):
+        if len(ys) >= least:
+            wanted[ys, xs] = True
+    places = [(x, y, s) for x, y, s, tile in places if not tile or mask[y : y + s, x : x + s].sum() >= least]
+    left, out = wanted.copy(), []
+    while places and wanted.sum() - left.sum() < max(least, np.ceil(share * wanted.sum())) and len(out) < most:
+        gains = [int(left[y : y + s, x : x + s].sum()) for x, y, s in places]
+        if max(gains) < least:
+            break
+        x, y, s = places[gains.index(max(gains))]
+        left[y : y + s, x : x + s] = False
+        out.append((x, y, s, max(gains)))
+    return out
+
+
+def test_roi_cover(spark):
     mask = np.zeros((64, 64), bool)
     mask[10:16, 10:14] = True  # 6 x 4: a square of 8 about it
     mask[50, 50] = True  # too small: left alone
-    assert cover(mask, 32) == [(8, 8, 8, 24)]
+    assert covered(spark, mask, 32)[0] == [(8, 8, 8, 24)]
     mask[10:16, 20:24] = True  # a second part: one larger square has both
-    assert [(s, gain) for _, _, s, gain in cover(mask, 32)] == [(32, 48)]
+    assert [(s, gain) for _, _, s, gain in covered(spark, mask, 32)[0]] == [(32, 48)]
     long = np.zeros((16, 64), bool)
     long[7:9, :] = True  # longer than a square: squares along it, each cell once
-    found = cover(long, 16)
+    found, _ = covered(spark, long, 16)
     assert sum(gain for *_, gain in found) >= 0.985 * 128 and all(s == 16 for _, _, s, _ in found)
-    assert len(cover(long, 16, most=2)) == 2 and cover(np.zeros((8, 8), bool), 4) == []
+    assert len(covered(spark, long, 16, most=2)[0]) == 2 and covered(spark, np.zeros((8, 8), bool), 4)[0] == []
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_roi_cover_gains(seed):
-    """Gains count each cell of the larger parts once, and never grow."""
-    mask = np.random.default_rng(seed).random((40, 40)) > 0.93
-    mask = select.closed(mask, 1)
-    found = cover(mask, 16, overlap=4, least=3)
-    left = mask.copy()
-    for ys, xs in components(mask):
-        if len(ys) < 3:
-            left[ys, xs] = False
-    gains = []
-    for x, y, s, gain in found:
-        assert left[y : y + s, x : x + s].sum() == gain >= 3
-        left[y : y + s, x : x + s] = False
-        gains.append(gain)
-    assert gains == sorted(gains, reverse=True)
+@pytest.mark.parametrize("seed", range(6))
+def test_roi_cover_equals_plain_greedy(spark, seed):
+    rng = np.random.default_rng(seed)
+    mask = select.closed(rng.random((rng.integers(20, 60), rng.integers(20, 60))) > 0.95, 1)
+    for side, options in ((16, {"overlap": 4, "least": 3}), (9, {"overlap": 2, "least": 2, "snap": 1, "smallest": 3, "most": 30})):
+        found, places = covered(spark, mask, side, **options)
+        rules = RULES | options
+        assert found == plain_cover(mask, places, 0.985, rules["most"], rules["least"]) and found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lazy_cover_equals_plain_greedy(seed):
+    rng = np.random.default_rng(seed)
+    mask = rng.random((15, 20)) > 0.7
+    squares = rng.integers(0, 14, (60, 3)) + [0, 0, 1]
+    assert cover.lazy_cover(mask, squares, 0.9, 12, 1) == plain_cover(mask, [(*map(int, q), False) for q in squares], 0.9, 12, 1)
 
 
 def grid_rows(spark, grid):
