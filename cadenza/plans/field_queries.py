@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators import consensus as R
 from cadenza.operators import fields as V
 from cadenza.operators import grids as G
 
@@ -214,3 +215,27 @@ def owner_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = G.sampled(c.withColumns({"px": px, "py": F.col("y")}), c.withColumn("v", d), 8, 8, "own")
     both = seen.join(owner, ["frame", "y", "x"])
     return both.select("frame", "y", "x", (~F.col("valid") & (F.abs(px - F.col("own") - F.col("x")) > 1.5)).alias("hole"))
+
+
+#: Planted between the images of a frame: a map of shares, given by the frame's number; some matches are wrong.
+_MAP = ("1 + 0.01 * (frame % 7)", "0.02 * (frame % 5)", "0.01 * (frame % 3)", "-0.01 * (frame % 4)", "1 - 0.01 * (frame % 6)", "0.02 * (frame % 2)", "0.05 * (frame % 3)", "-0.03 * (frame % 4)", "1.0")
+_WRONG = "case when frame % 19 = 5 then i % 5 > 0 when frame % 23 = 6 then i % 2 = 0 else abs(v) > 0.2 end"
+_THERE = "case when frame % 11 = 3 then i < 10 when frame % 17 = 4 then i % 8 < 3 else true end"
+
+
+@query(f"""with p as (select vec_id as frame, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), q as (select frame, i, {_WRONG} as wrong, {_THERE} as there from p),
+  n as (select frame, count(*) filter (there) as matches, count(*) filter (there and not wrong) as inliers, coalesce(max(i % 8) filter (there and not wrong) - min(i % 8) filter (there and not wrong), 0) as sx, coalesce(max(i // 8) filter (there and not wrong) - min(i // 8) filter (there and not wrong), 0) as sy from q group by frame),
+  r as (select *, case when frame % 13 = 2 then 'no-features' when matches < 18 then 'few-matches' when inliers < 16 then 'few-inliers' when sx * 80 < 640 * 0.35 or sy * 45 < 360 * 0.2 then 'narrow-coverage' when inliers / matches < 0.7 then 'low-confidence' end as reason from n)
+  select frame, matches::bigint as matches, reason, case when reason is null then inliers end::bigint as inliers, {", ".join(f"case when reason is null then round(({m})::double, 4) end as m{i}" for i, m in enumerate(_MAP))} from r""")
+def registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Homographies from matches of which some are wrong, and why pairs are rejected; the SQL knows what was planted."""
+    cells_ = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    x, y = F.col("i") % 8 * 80.0, F.floor(F.col("i") / 8) * 45.0
+    m = [F.expr(e).cast("double") for e in _MAP]
+    a, b = x / 639, y / 359
+    z = m[6] * a + m[7] * b + m[8]
+    off = F.when(F.expr(_WRONG), 30 + F.col("i") * F.col("i") * 7 % 97).otherwise(0.0)
+    matches = cells_.where(F.expr(_THERE)).select(F.col("frame").alias("pair"), x.alias("x"), y.alias("y"), ((m[0] * a + m[1] * b + m[2]) / z * 639 + off).alias("u"), ((m[3] * a + m[4] * b + m[5]) / z * 359 - off * (F.col("i") % 3)).alias("v"))
+    sizes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pair"), F.lit(640).alias("width"), F.lit(360).alias("height"), (F.col("vec_id") % 13 != 2).alias("described"))
+    out = R.homographies(matches, sizes)
+    return out.select(F.col("pair").alias("frame"), "matches", "reason", "inliers", *((F.round(F.col("m")[i], 4) + 0.0).alias(f"m{i}") for i in range(9)))
