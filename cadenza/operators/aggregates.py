@@ -25,14 +25,44 @@ def run_results(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.groupBy(*keys).agg(F.count("*").alias("chunks"), frames.alias("frames"), F.sum("cuts").alias("cuts"), (F.sum(F.col("low_confidence") * F.col("frames")) / frames).alias("low_confidence"), F.max("scale_deviation").alias("largest_deviation"))
 
 
+#: So many rows make a range of values of their own, and there are at most so many ranges.
+RANGE_ROWS, MOST_RANGES = 1 << 17, 1 << 14
+
+
+def ranges_of(rows: DataFrame, value: str) -> tuple[Column, int]:
+    """A column that numbers ranges of `value` in order, each with about as many rows, and how many ranges there are.
+
+    Splitters come from a mergeable quantile sketch over all rows, whatever the distribution; equal values are in one
+    range. A row finds its range in two steps, among every so many splitters and then among those between.
+    """
+    v = F.col(value).cast("double")
+    some = rows.where(F.col(value).isNotNull())
+    wanted = min(MOST_RANGES, some.count() // RANGE_ROWS + 1)
+    if wanted == 1:
+        return F.lit(0).cast("long"), 1
+    sketch = some.agg(F.percentile_approx(v, [i / wanted for i in range(1, wanted)], max(10_000, 4 * wanted)).alias("q")).first()["q"]
+    splitters = sorted(set(sketch))
+    step = max(1, round(len(splitters) ** 0.5))
+    groups = [splitters[i : i + step] for i in range(0, len(splitters), step)]
+    array = lambda x: F.array(*map(F.lit, x))
+    below = lambda x: F.size(F.filter(x, lambda s: s < v))
+    group = F.greatest(below(array([g[0] for g in groups])) - 1, F.lit(0))
+    return (group * step + below(F.get(F.array(*map(array, groups)), group))).cast("long"), len(splitters) + 1
+
+
 def ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Each distinct value of a key (nulls left out) with _upto, how many are at most so large, and _all, how many there are.
 
-    Equal values are counted before the shuffle. A key may hold most of the rows, so no window spans it: running totals
-    come from the totals of its value ranges (by sign and logarithm, so their number is bounded), then inside each range.
+    Equal values are counted before the shuffle. A key may hold most of the rows, so where there are many no window
+    spans one: running totals come from the totals of ranges of values, then inside each range.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_range", value_range(F.col(value)))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    in_range, n = ranges_of(rows, value)
     all_ = Window.partitionBy(*keys)
+    if n == 1:
+        upto = F.sum("_n").over(all_.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        return counts.select(*keys, value, "_n", upto.alias("_upto"), F.sum("_n").over(all_).alias("_all"))
+    counts = counts.withColumn("_range", in_range)
     before = all_.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_n"))
     sums = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(all_).alias("_all"))
@@ -44,11 +74,6 @@ def ranked(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return joined.select(*keys, value, "_n", (F.col("_start") + F.col("_in")).alias("_upto"), "_all")
 
 
-def value_range(v: Column) -> Column:
-    """A whole number that grows with v: its sign, and 64 steps to each doubling of 1 + |v|. A few hundred to some ten thousand ranges."""
-    return (F.signum(v.cast("double")) * F.floor(64 * F.log2(1 + F.abs(v.cast("double"))))).cast("long")
-
-
 def interpolated(value: str, share: float) -> Column:
     """An aggregate over `ranked` rows: the value at place (n - 1) * share, between two neighbours if need be."""
     place = (F.col("_all") - 1) * share

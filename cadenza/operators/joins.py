@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .aggregates import value_range
+from .aggregates import ranges_of
 
 
 def lockstep(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,12 +65,13 @@ def first_match(rows: DataFrame, keys: Sequence[str], order: str, accepted: Colu
 def nearest(probe: DataFrame, values: DataFrame, at: str, name: str) -> DataFrame:
     """Each probe row with the one of `values` (at, name; each `at` once) that is nearest in `at`, and the distance; of equals the smaller name.
 
-    The nearest on either side come from windows over ranges of `at`; beyond a range's end stands the last or first
-    value of the nearest range that has any, from a row per range.
+    The nearest on either side come from windows over ranges of `at`, of about equally many rows; beyond a range's end
+    stands the last or first value of the nearest range that has any, from a row per range.
     """
+    in_range, _ = ranges_of(probe.select(at).unionByName(values.select(at)), at)
     rows = probe.withColumn("_v", F.lit(None).cast(T.StructType([T.StructField(at, values.schema[at].dataType), T.StructField(name, values.schema[name].dataType)])))
     both = rows.withColumn("_probe", F.lit(True)).unionByName(values.select(at, F.struct(at, name).alias("_v"), F.lit(False).alias("_probe")), allowMissingColumns=True)
-    both = both.withColumn("_range", value_range(F.col(at)))
+    both = both.withColumn("_range", in_range)
     down, up = Window.partitionBy("_range").orderBy(at), Window.partitionBy("_range").orderBy(F.col(at).desc())
     last = lambda w: F.last("_v", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
     ranges = both.groupBy(F.col("_range").alias("_r")).agg(F.min("_v").alias("_first"), F.max("_v").alias("_last"))
@@ -86,11 +87,19 @@ def nearest(probe: DataFrame, values: DataFrame, at: str, name: str) -> DataFram
 def nearest_two(queries: DataFrame, codes: DataFrame, ratio: float, query_rows: int = 1024, rows: int = 16_384) -> DataFrame:
     """The two codes of all other rows (id, code) nearest to each query's by differing bits, of equals the smaller ids, and whether the first is clearly nearer.
 
-    A stated query set against all rows, in blocks: both are packed in blocks of about so many rows, and each pair of
-    blocks gives a query's two best. What is shuffled after that is two rows per query and block.
+    A stated query set against all rows, in blocks: both are packed in blocks of about so many rows; each block is sent
+    to those of the other side by the pair's number, so they meet in an equi-join, and a pair of blocks gives each
+    query's two best. Of these a window keeps two, of each task's before they are shuffled.
     """
-    pack = lambda t, n, p: t.where("code is not null").groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, t.count() // n))).alias(f"{p}_block")).agg(F.collect_list("id").alias(f"{p}_id"), F.collect_list("code").alias(f"{p}_code"))
-    blocks = pack(queries, query_rows, "q").crossJoin(pack(codes, rows, "c"))
+    sides = {"q": (queries.where("code is not null"), query_rows), "c": (codes.where("code is not null"), rows)}
+    n = {p: max(1, t.count() // size) for p, (t, size) in sides.items()}
+
+    def packed(p: str, other: str) -> DataFrame:
+        blocks = sides[p][0].groupBy(F.pmod(F.xxhash64("id"), F.lit(n[p])).alias(f"{p}_block")).agg(F.collect_list("id").alias(f"{p}_id"), F.collect_list("code").alias(f"{p}_code"))
+        return blocks.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n[other] - 1).cast("long"))))
+
+    q, c = packed("q", "c"), packed("c", "q")
+    blocks = q.join(c.withColumnRenamed("_other", "_mine"), (F.col("q_block") == F.col("_mine")) & (F.col("_other") == F.col("c_block")))
 
     def two_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +114,6 @@ def nearest_two(queries: DataFrame, codes: DataFrame, ratio: float, query_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_id, at.shape[1])[there]), pa.array(far[there]), pa.array(near[there])], ["id", "distance", "other"])
 
     found = blocks.select("q_id", "q_code", "c_id", "c_code").mapInArrow(two_best, "id long, distance int, other long")
-    m = F.struct("distance", "other")
-    first = found.groupBy("id").agg(F.min(m).alias("a"))
-    second = found.join(first, "id").where(m != F.col("a")).groupBy("id").agg(F.min(m).alias("b"))
-    best = first.join(second, "id", "left")
-    return best.select("id", F.col("a.other").alias("match"), F.col("a.distance").alias("distance"), F.col("b.distance").alias("second"), (F.col("a.distance") < ratio * F.col("b.distance")).alias("clear"))
+    near = Window.partitionBy("id").orderBy("distance", "other")
+    two = found.withColumn("_n", F.row_number().over(near)).where("_n <= 2").groupBy("id").agg(*(F.max(F.when(F.col("_n") == i, F.struct("distance", "other"))).alias(name) for i, name in ((1, "a"), (2, "b"))))
+    return two.select("id", F.col("a.other").alias("match"), F.col("a.distance").alias("distance"), F.col("b.distance").alias("second"), (F.col("a.distance") < ratio * F.col("b.distance")).alias("clear"))

@@ -1,7 +1,7 @@
 """Visibility splatting and overlap-add: what many sources leave on a target.
 
-A target's nearest layer is a maximum over its rows, which combines before the shuffle; only rows within a tolerance
-of it count, by weight. Rows meet their target's layers in a join, whose hot keys Spark splits, and sums combine.
+Depths are put in few layers, so rows add up by target and layer, which combines before the shuffle, however many meet
+at a target. A target's handful of layers then tells which is in front, and layers within a tolerance of it count.
 """
 
 from __future__ import annotations
@@ -18,12 +18,16 @@ def taps(position: Column, weight_least: float = 1e-4) -> Column:
 
 
 def splat(rows: DataFrame, tolerance: float, least: float = 0.02) -> DataFrame:
-    """Rows (target, layer, weight, colour): the weighted mean of each target's front layer, the far layer's, and validity."""
-    ends = rows.groupBy(F.col("target").alias("_target")).agg(F.max("layer").alias("front"), F.min("layer").alias("back"))
-    near = rows.join(ends, F.col("target") == F.col("_target"))
-    in_front, behind = F.col("layer") >= F.col("front") - tolerance, F.col("layer") <= F.col("back") + tolerance
-    mean = lambda c: F.sum(F.when(c, F.col("weight") * F.col("colour"))) / F.sum(F.when(c, F.col("weight")))
-    return near.groupBy("target").agg(F.max("front").alias("front"), F.min("back").alias("far_layer"), F.count_if(in_front).alias("hits"), F.sum(F.when(in_front, F.col("weight"))).alias("coverage"), mean(in_front).alias("near"), mean(behind).alias("far")).withColumn("valid", F.col("coverage") >= least)
+    """Rows (target, layer, weight, colour): the weighted mean of each target's front layer, the far layer's, and validity. Layers are few."""
+    layers = rows.groupBy("target", "layer").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("colour")).alias("wc"), F.count("*").alias("n"))
+    of = layers.groupBy("target").agg(F.max("layer").alias("front"), F.min("layer").alias("far_layer"), F.collect_list(F.struct("layer", "w", "wc", "n")).alias("_all"))
+    near, far = F.filter("_all", lambda a: a["layer"] >= F.col("front") - tolerance), F.filter("_all", lambda a: a["layer"] <= F.col("far_layer") + tolerance)
+    total = lambda some, c: F.aggregate(some, F.lit(0.0), lambda s, a: s + a[c])
+    out = of.withColumns({"_near": near, "_far": far}).select(
+        "target", "front", "far_layer", F.aggregate("_near", F.lit(0).cast("long"), lambda s, a: s + a["n"]).alias("hits"), total("_near", "w").alias("coverage"),
+        (total("_near", "wc") / total("_near", "w")).alias("near"), (total("_far", "wc") / total("_far", "w")).alias("far"),
+    )
+    return out.withColumn("valid", F.col("coverage") >= least)
 
 
 def overlap_add(rows: DataFrame, keys: list[str], value: str, weight: str, least: float = 1e-4) -> DataFrame:
