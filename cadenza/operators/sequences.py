@@ -146,6 +146,24 @@ def trailing_rate(df: DataFrame, seconds: float = 3.0, least_span: float = 0.25)
     return df.withColumn("now", rate).withColumn("rate", F.last("now", ignorenulls=True).over(so_far("session"))).drop("now")
 
 
+def owned_windows(frames: DataFrame, keys: Sequence[str], owned: int = 6, beside: int = 3, donors: int = 3) -> DataFrame:
+    """keys, start, outputs, order, frame, first_donor, last_donor: windows that own `owned` frames each and see `beside` more on either side.
+
+    Windows follow each other from a key's first frame; the last owns what is left. The frames seen are clamped to the
+    key's ends, so edges repeat, and `order` counts them, outputs from `beside` on. Donors of what is seen lie up to
+    `donors` frames farther. Frames of a key have no gaps. A row per window and place; one sum a key, no window over it.
+    """
+    ends = frames.groupBy(*keys).agg(F.min("frame").alias("_first"), F.max("frame").alias("_last"))
+    starts = ends.withColumn("start", F.explode(F.sequence("_first", "_last", F.lit(owned).cast("long"))))
+    clamped = lambda v: F.greatest(F.col("_first"), F.least(F.col("_last"), v))
+    seen = starts.select(*keys, "_first", "_last", "start", F.posexplode(F.sequence(F.lit(-beside), F.lit(owned + beside - 1))).alias("order", "_offset"))
+    reach = beside + donors
+    return seen.select(
+        *keys, "start", F.least(F.lit(owned).cast("long"), F.col("_last") - F.col("start") + 1).alias("outputs"), "order", clamped(F.col("start") + F.col("_offset")).alias("frame"),
+        clamped(F.col("start") - reach).alias("first_donor"), clamped(F.col("start") + owned - 1 + reach).alias("last_donor"),
+    )
+
+
 def chunk_plan(total: Column, size: int, first: int) -> Column:
     """Chunks of a run: the first has `first` frames if that is fewer, then `size` each, the rest last."""
     start = F.least(F.lit(first), F.lit(size))

@@ -98,6 +98,19 @@ def periodic_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline(spark, sf_dir).select("session", "frame", (F.pmod("frame", F.lit(24)) == 0).alias("forced"))
 
 
+@query(f"""{SCENES}, e as (select session, scene, min(frame) as f, max(frame) as l from sc group by session, scene), s as (select *, unnest(range(f, l + 1, 6)) as start from e),
+  w as (select session, scene, f, l, start, least(6, l - start + 1) as outputs, o + 3 as place, greatest(f, least(l, start + o)) as frame from s, range(-3, 9) r(o))
+  select w.session, w.scene, w.start, w.outputs, count(*) as context, round(avg(value), 6) as context_mean, round(avg(value) filter (place between 3 and outputs + 2), 6) as output_mean, min(w.frame) as first_context, max(w.frame) as last_context, greatest(any_value(f), w.start - 6) as first_donor, least(any_value(l), w.start + 11) as last_donor
+  from w join sc on sc.session = w.session and sc.frame = w.frame group by w.session, w.scene, w.start, w.outputs""")
+def owned_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that own six frames each and see three more on either side, clamped to the scene; donors lie up to three farther."""
+    rows = scenes(spark, sf_dir).select("session", "scene", "frame", "value")
+    seen = S.owned_windows(rows, ["session", "scene"]).join(rows.select("session", "frame", "value"), ["session", "frame"])
+    output = F.when(F.col("order").between(3, F.col("outputs") + 2), F.col("value"))
+    out = seen.groupBy("session", "scene", "start", "outputs").agg(F.count("*").alias("context"), F.round(F.avg("value"), 6).alias("context_mean"), F.round(F.avg(output), 6).alias("output_mean"), F.min("frame").alias("first_context"), F.max("frame").alias("last_context"), F.first("first_donor").alias("first_donor"), F.first("last_donor").alias("last_donor"))
+    return out
+
+
 @query(f"{TIMELINE}, p as (select session, frame, t, 100.0::double * (frame + 1) / count(*) over (partition by session) as percent from tl) select session, frame, round(case when percent > 0.25 and percent < 100 then t * (100 - percent) / percent end + 1e-6, 4) as eta from p")
 def progress_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     percent = 100.0 * (F.col("frame") + 1) / F.count("*").over(Window.partitionBy("session"))

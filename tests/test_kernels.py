@@ -161,6 +161,16 @@ def test_chunk_plan_covers_every_frame(spark, n):
     assert [i for c in chunks for i in range(c.first, c.end)] == list(range(n))
 
 
+@pytest.mark.parametrize("n", [1, 5, 6, 7, 13, 40])
+def test_windows_own_each_frame_once(spark, n):
+    """Twelve frames are seen, of which six are owned; what is seen is clamped to the scene."""
+    rows = sequences.owned_windows(spark.range(100, 100 + n).selectExpr("0 as k", "id as frame"), ["k"]).collect()
+    owned = sorted(r.frame for r in rows if 3 <= r.order < 3 + r.outputs)
+    assert owned == list(range(100, 100 + n)) and len(rows) == 12 * -(-n // 6)
+    for r in rows:
+        assert r.frame == min(max(100, r.start + r.order - 3), 99 + n) and r.first_donor == max(100, r.start - 6) and r.last_donor == min(99 + n, r.start + 11)
+
+
 def test_refresh_at_start_and_cut(spark):
     rows = [(0, i, i == 5, 0.9, 1.0) for i in range(12)]
     df = spark.createDataFrame(rows, "session int, frame int, cut boolean, confidence double, motion double")
