@@ -14,7 +14,8 @@ holds about BUCKET_WORDS words at any size. Components then join the links.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; fewer words than a shingle
 make one shingle; repeated rows share a fingerprint; a component whose ids are all null has a null component_id;
-an empty table gives an empty result; `keep_one` keeps extra columns, `near_duplicates` ignores them.
+an empty table gives an empty result; wordless documents
+are one component whatever the similarity; `keep_one` keeps extra columns, `near_duplicates` ignores them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import minima
 from .common import append_columns, configured, packed, stage
 from .components import components
 
@@ -79,13 +81,14 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """`docs` and a long column _fp, of `size`-word shingles."""
+def with_fingerprint(docs: DataFrame, size: int = SHINGLE, sketched: bool = False) -> DataFrame:
+    """`docs` and a long column _fp, of `size`-word shingles; `sketched`: and the fields of `minima`, in the same pass."""
 
     def compute(texts: list[bytes]) -> dict[str, pa.Array]:
-        return {"_fp": pa.array([fingerprint(t, size) for t in texts], pa.int64())}
+        prints = {"_fp": pa.array([fingerprint(t, size) for t in texts], pa.int64())}
+        return prints | minima.sketches(texts) if sketched else prints
 
-    return append_columns(docs, "text", [("_fp", T.LongType())], compute)
+    return append_columns(docs, "text", [("_fp", T.LongType()), *(minima.FIELDS if sketched else [])], compute)
 
 
 def _emit(step: int, bucket_bits: int, distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -199,18 +202,40 @@ def _content(docs: DataFrame) -> dict[str, Column]:
     return {"_h1": F.xxhash64(*parts), "_h2": F.xxhash64(F.lit(SEED), *parts)}
 
 
-def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def _regrouped(members: DataFrame, rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """`members` with the roots of components that `minima` joins: those whose first documents have the similarity."""
+    firsts = stage(members.groupBy("root").agg(F.min("key").alias("first")).select(F.col("root").alias("node"), "first.*"))
+
+    def same(other: DataFrame) -> Column:
+        return firsts["doc_id"].eqNullSafe(other["doc_id"]) & (firsts["_h1"] == other["_h1"]) & (firsts["_h2"] == other["_h2"])
+
+    sketched = stage(rows.join(firsts, same(rows)).select("node", "_minima", "_bands").dropDuplicates(["node"]))
+    links = minima.candidates(sketched, similarity)
+    if links.isEmpty():
+        return members
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    firsts = stage(firsts.join(ends, "node"))
+    read = stage(texts.join(firsts, same(texts)).select("node", "text").dropDuplicates(["node"]))
+    star = components(stage(minima.verified(links, read, similarity)))
+    return stage(members.join(star, members["root"] == star["node"], "left").select(F.coalesce(star["root"], members["root"]).alias("root"), "n", "key"))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """One document of each component (fingerprints of `size` words, `distance` bits), the first by (doc_id, nulls last; content), its columns as they were.
 
-    Rows are told apart by id and content, so what goes in one component touches no other. Of rows that repeat the
-    kept one, id and all, a single one stays.
+    With a `similarity`, components whose first documents have at least that Jaccard similarity of shingles are one
+    component too, as `minima` finds them. Rows are told apart by id and content, so what goes in one component touches
+    no other. Of rows that repeat the kept one, id and all, a single one stays.
     """
     whole = packed(docs)
     whole = whole.withColumns(_content(whole)).withColumn("_key", F.col("_doc.doc_id"))
     texts = whole.select(F.col("_key").alias("doc_id"), F.col("_doc.text").alias("text"), "_h1", "_h2")
-    rows = stage(with_fingerprint(texts, size).select("doc_id", "_h1", "_h2", F.col("_fp").alias("fp")))
+    sketched = similarity is not None
+    rows = stage(with_fingerprint(texts, size, sketched).select("doc_id", "_h1", "_h2", F.col("_fp").alias("fp"), *(f for f, _ in minima.FIELDS if sketched)))
     keys = stage(rows.groupBy("doc_id", "_h1", "_h2", "fp").agg(F.count("*").alias("n")))
     members = stage(keys.join(_rooted(rows, distance), "fp").select("root", "n", F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_h1", "_h2", "fp").alias("key")))
+    if similarity is not None:
+        members = _regrouped(members, rows, texts, similarity)
     first = stage(members.groupBy("root").agg(F.min("key").alias("first")))
     marked = members.join(first, "root").withColumn("once", F.col("key").eqNullSafe(F.col("first"))).where("not once or n > 1")
     marked = stage(marked.select("once", F.col("key.doc_id").alias("_id"), F.col("key._h1").alias("_a"), F.col("key._h2").alias("_b")))
