@@ -1,21 +1,19 @@
 """Operators on ordered sequences: rows of a session in order of frame.
 
-State never crosses a session. What a window can say is a window; a fold whose next value depends on its last result
-runs as one task per session or scene, over Arrow batches, with a few scalars of state.
+State never crosses a session. What a window can say is a window; a rule whose next value depends on its last result is
+a scan over stretches where a stretch of rows sums up to a small value, else a fold (`scans`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window, WindowSpec
 
+from .scans import SPAN, fold, following, scan, scheduled, weighted  # noqa: F401
+
 
 def ordered(*keys: str, by: str = "frame") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(by)
@@ -60,44 +58,16 @@ def runs(df: DataFrame, keys: list[str], along: str) -> DataFrame:
     return grouped.agg(F.min(along).alias("first"), F.max(along).alias("last"), F.count("*").alias("length")).drop("_island")
 
 
-def fold(df: DataFrame, keys: list[str], start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, dict]], fields: str, columns: list[str], order: str = "frame") -> DataFrame:
-    """The rows with new columns that a sequential rule makes: `step` takes the state and a row, and gives both anew.
-
-    Rows are dealt by key and sorted within partitions, and stream by in Arrow batches; the state is a few scalars, so
-    a session may be of any length. One session is one task's.
-    """
-    added = T.StructType.fromDDL(fields)
-    schema, types = T.StructType([*(df.schema[c] for c in columns), *added.fields]), to_arrow_schema(added)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
-        for batch in batches:
-            made = []
-            for row in batch.to_pylist():
-                own = tuple(row[k] for k in keys)
-                if own != key:
-                    key, state = own, start()
-                state, new = step(state, row)
-                made.append(new)
-            new_columns = [pa.array([m[f.name] for m in made], f.type) for f in types]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), *new_columns], schema.names)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
-
-
-def ema(df: DataFrame, keys: list[str], value: str, name: str, smoothing: float, columns: list[str]) -> DataFrame:
-    """Exponential mean: the first value, then value * (1 - smoothing) + previous * smoothing."""
+def ema(df: DataFrame, keys: list[str], values: list[str], names: list[str], smoothing: float, columns: list[str], span: int = SPAN) -> DataFrame:
+    """Exponential means: the first value, then value * (1 - smoothing) + previous * smoothing."""
+    return scan(df.withColumn("_share", F.lit(smoothing)), keys, weighted("_share", values, names), columns, span=span)
 
-    def step(last: float | None, row: dict) -> tuple[float, dict]:
-        now = row[value] if last is None else row[value] * (1 - smoothing) + last * smoothing
-        return now, {name: now}
 
-    return fold(df, keys, lambda: None, step, f"{name} double", columns)
-
-
-def refresh_schedule(df: DataFrame, interval: int, least: int, confidence_below: float, motion_above: float) -> DataFrame:
-    """Where to compute anew: at the start, at a cut, periodically, or early where confidence is low or motion high."""
-    return fold(df, ["session"], lambda: NEVER, refresh_step(interval, least, confidence_below, motion_above), "refresh boolean, since long", ["session", "frame"])
+def refresh_schedule(df: DataFrame, interval: int, least: int, confidence_below: float, motion_above: float, span: int = SPAN) -> DataFrame:
+    """Where to compute anew: at the start, at a cut, periodically, or early where confidence is low or motion high. What is null is neither."""
+    early = (F.col("confidence") < confidence_below) | (F.col("motion") > motion_above)
+    rows = df.withColumn("_cut", F.coalesce("cut", F.lit(False))).withColumn("_early", F.coalesce(early, F.lit(False)))
+    return scan(rows, ["session"], scheduled("_cut", "_early", interval, least), ["session", "frame"], span=span)
 
 
 #: So many frames since the last refresh at a session's start.
@@ -114,26 +84,15 @@ def refresh_step(interval: int, least: int, confidence_below: float, motion_abov
     return step
 
 
-def asymmetric_follow(df: DataFrame, falling: float = 0.55, rising: float = 0.30) -> DataFrame:
-    """A level that follows `target`, faster when it falls than when it rises; starts at the first target."""
-
-    def step(level: float | None, row: dict) -> tuple[float, dict]:
-        target = row["target"]
-        level = target if level is None else level + (target - level) * (falling if target < level else rising)
-        return level, {"level": level}
+def asymmetric_follow(df: DataFrame, falling: float = 0.55, rising: float = 0.30, low: float = 0.0, high: float = 1.0, span: int = SPAN) -> DataFrame:
+    """A level that follows `target`, in [low, high], faster when it falls than when it rises; starts at the first target."""
+    return scan(df, ["session"], following("target", "level", falling, rising, low, high), ["session", "frame", "target"], span=span)
 
-    return fold(df, ["session"], lambda: None, step, "level double", ["session", "frame", "target"])
 
-
-def blended(df: DataFrame, strength: float = 0.85, most: float = 0.75) -> DataFrame:
+def blended(df: DataFrame, strength: float = 0.85, most: float = 0.75, span: int = SPAN) -> DataFrame:
     """Each frame's value blended with the previous result by its confidence; nothing to blend on the first frame."""
-
-    def step(last: float | None, row: dict) -> tuple[float, dict]:
-        share = 0.0 if last is None else min(max(strength * row["confidence"], 0.0), most)
-        value = row["value"] * (1 - share) + (0.0 if last is None else last * share)
-        return value, {"blended": value}
-
-    return fold(df, ["session", "scene"], lambda: None, step, "blended double", ["session", "frame"])
+    share = F.least(F.greatest(strength * F.col("confidence"), F.lit(0.0)), F.lit(most))
+    return scan(df.withColumn("_share", share), ["session", "scene"], weighted("_share", ["value"], ["blended"]), ["session", "frame"], span=span)
 
 
 def trailing_rate(df: DataFrame, seconds: float = 3.0, least_span: float = 0.25) -> DataFrame:

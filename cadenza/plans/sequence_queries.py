@@ -132,7 +132,7 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     select r.session, r.scene, r.frame, r.i, r.value * (1 - 0.9) + f.smooth * 0.9 from r join f on r.session = f.session and r.scene = f.scene and r.i = f.i + 1) select * from f)
   select session, frame, round(smooth + 1e-9, 6) as smooth from e""")
 def range_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = S.ema(scenes(spark, sf_dir), ["session", "scene"], "value", "smooth", 0.9, ["session", "frame"])
+    df = S.ema(scenes(spark, sf_dir), ["session", "scene"], ["value"], ["smooth"], 0.9, ["session", "frame"])
     # a little above, as two decimals often make a tie
     return df.select("session", "frame", F.round(F.col("smooth") + 1e-9, 6).alias("smooth"))
 

@@ -93,12 +93,7 @@ def trimmed_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = some.groupBy("scene", "frame").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.95))).alias("q"))
     flat = F.col("q")[1] - F.col("q")[0] < 1e-4
     ends = q.select("scene", "frame", F.when(flat, 0.0).otherwise(F.col("q")[0]).alias("a"), F.when(flat, 1.0).otherwise(F.col("q")[1]).alias("b"))
-
-    def step(last: tuple[float, float] | None, row: dict) -> tuple[tuple[float, float], dict]:
-        now = (row["a"], row["b"]) if last is None else (row["a"] * (1 - 0.9) + last[0] * 0.9, row["b"] * (1 - 0.9) + last[1] * 0.9)
-        return now, {"low": now[0], "high": now[1]}
-
-    out = S.fold(ends, ["scene"], lambda: None, step, "low double, high double", ["frame"])
+    out = S.ema(ends, ["scene"], ["a", "b"], ["low", "high"], 0.9, ["frame"])
     return out.select("frame", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
