@@ -159,6 +159,51 @@ def visibility_masks(df: DataFrame) -> DataFrame:
     return d.withColumn("compose", (F.col("_j") > 0) & F.col("context")).drop("_n", "_d", "_j", "_c", "_w")
 
 
+def backward_view(seen: DataFrame, width: int, height: int, by: float, margin: int = 2, mix: float = 0.15, sharpen: float = 0.5, least: float = -1.0, most: float = 1.0) -> DataFrame:
+    """(frame, y, x, view, compose): visibility from a forward splat by `by` * v (`visible`), colour by sampling back.
+
+    A cell samples at its own splatted disparity, an uncovered one at that of the covered cell to its left, or else to its
+    right, or 0 in a row without any. In the bands to compose, uncovered cells mirror what lies beyond that neighbour and
+    a margin; there a share of the column's mean is mixed in, and edges are sharpened.
+    """
+    d = visibility_masks(seen.withColumn("hole", ~F.col("valid")))
+    w = Window.partitionBy("frame", "y").orderBy("x")
+    left, right = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    nearest = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(left), F.first(c, ignorenulls=True).over(right))
+    disparity = by * F.coalesce(nearest(F.when(F.col("valid"), F.col("near"))), F.lit(0.0))
+    edge = F.coalesce(nearest(F.when(F.col("valid"), F.col("x"))), F.col("x"))
+    d = d.withColumns({"px": F.col("x") - disparity, "py": F.col("y"), "_edge": edge})
+    d = by_frame(d.join(sampled(d, d, width, height, "_back"), ["frame", "y", "x"]))
+    source = F.col("_edge") - margin - F.greatest(F.lit(0), F.col("x") - F.col("_edge") - 1)
+    row = F.collect_list("_back").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    mirrored = F.get(row, F.greatest(F.lit(0), F.least(F.lit(width - 1), source)))
+    d = d.withColumn("view", F.when(F.col("compose") & ~F.col("valid"), mirrored).otherwise(F.col("_back")))
+    d = pooled(d, F.col("view"), 2, 0, "_column")
+    d = d.withColumn("view", F.when(F.col("compose"), F.col("view") + (F.col("_column") / 5 - F.col("view")) * mix).otherwise(F.col("view")))
+    d = pooled(d, F.col("view"), 1, 1, "_box")
+    sharp = F.col("view") + (F.col("view") - F.col("_box") / 9) * (0.35 * sharpen)
+    return d.select("frame", "y", "x", F.when(F.col("compose"), F.greatest(F.lit(least), F.least(F.lit(most), sharp))).otherwise(F.col("view")).alias("view"), "compose")
+
+
+def plated_view(df: DataFrame, by: float, layers: int, width: int, reach: int = 2, radii: tuple[int, ...] = (1, 2, 4), strength: float = 0.8, sharpen: float = 0.5, least: float = -1.0, most: float = 1.0) -> DataFrame:
+    """(frame, y, x, view, hole, known): a forward splat by `by` * v over the splat of a far plate, its holes filled and sharpened.
+
+    The plate has the least value within `reach` cells of the row, so the far side goes on behind what is near. What
+    neither covers (not known) goes by `strength` from its own value to known cells of the row.
+    """
+    seen = visible(df, by * F.col("v"), layers, width).withColumnRenamed("near", "_near")
+    plate = df.select("frame", "y", "x", F.min("v").over(along("x", reach)).alias("v"))
+    behind = visible(plate, by * F.col("v"), layers, width).select("frame", "y", "x", F.col("near").alias("_far"), F.col("valid").alias("_plated"))
+    d = by_frame(seen.join(behind, ["frame", "y", "x"])).withColumn("known", F.col("valid") | F.col("_plated"))
+    d = d.withColumnRenamed("v", "_own").withColumn("v", F.when(F.col("valid"), F.col("_near")).when(F.col("_plated"), F.col("_far")))
+    d = push_pull(d, F.col("known"), radii)
+    d = d.withColumn("view", F.when(F.col("known"), F.col("v")).otherwise(F.col("_own") + (F.coalesce("f", "_own") - F.col("_own")) * strength))
+    d = pooled(d, F.col("view"), 1, 1, "_box")
+    sharp = F.col("view") + (F.col("view") - F.col("_box") / 9) * (0.65 * sharpen)
+    view = F.when(F.col("valid"), F.col("view")).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), sharp)))
+    return d.select("frame", "y", "x", view.alias("view"), (~F.col("valid")).alias("hole"), "known")
+
+
 def blurred(df: DataFrame, value: Column, radius: int, sigma: float, name: str) -> DataFrame:
     """Gaussian mean of the (2 radius + 1)² cells about each; at the border, of those that are there."""
     d = df.withColumn(name, value)

@@ -48,20 +48,28 @@ def resized_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resized_flow(cells(spark, sf_dir), 8, 8, 5, 3).select("frame", "y", "x", F.round("v", 6).alias("flow"))
 
 
+def _splatted(source: str, n: str = "") -> str:
+    return f"""s{n} as (select frame, y, x + v * 4 as pos, round_even(v * 5, 0) / 5 as layer, v as colour from {source}),
+  t{n} as (select frame, y, floor(pos)::int as x, 1 - (pos - floor(pos)) as weight, layer, colour from s{n} union all select frame, y, floor(pos)::int + 1, pos - floor(pos), layer, colour from s{n}),
+  u{n} as (select *, max(layer) over (partition by frame, y, x) as front, min(layer) over (partition by frame, y, x) as back from t{n} where weight > 1e-4 and x between 0 and 7),
+  g{n} as (select frame, y, x, sum(weight * colour) filter (layer >= front - 0.05) / sum(weight) filter (layer >= front - 0.05) as near, sum(weight) filter (layer >= front - 0.05) >= 0.02 as valid, max(front) - 0.05 > min(back) as crossed from u{n} group by frame, y, x),
+  seen{n} as (select c.frame, c.y, c.x, v, near, coalesce(valid, false) as valid, coalesce(crossed, false) as crossed from {source} c left join g{n} using (frame, y, x))"""
+
+
 #: Rows (frame, y, x, v, near, valid, crossed): what a forward splat by 4 * v leaves, in six layers.
-_SEEN = f"""{CELLS}, s as (select frame, y, x + v * 4 as pos, round_even(v * 5, 0) / 5 as layer, v as colour from cl),
-  t as (select frame, y, floor(pos)::int as x, 1 - (pos - floor(pos)) as weight, layer, colour from s union all select frame, y, floor(pos)::int + 1, pos - floor(pos), layer, colour from s),
-  u as (select *, max(layer) over (partition by frame, y, x) as front, min(layer) over (partition by frame, y, x) as back from t where weight > 1e-4 and x between 0 and 7),
-  g as (select frame, y, x, sum(weight * colour) filter (layer >= front - 0.05) / sum(weight) filter (layer >= front - 0.05) as near, sum(weight) filter (layer >= front - 0.05) >= 0.02 as valid, max(front) - 0.05 > min(back) as crossed from u group by frame, y, x),
-  seen as (select cl.frame, cl.y, cl.x, v, near, coalesce(valid, false) as valid, coalesce(crossed, false) as crossed from cl left join g using (frame, y, x))"""
+_SEEN = f"{CELLS}, {_splatted('cl')}"
 
 
 def _over(f: str, value: str, ry: int, rx: int, source: str, name: str) -> str:
     return f"{name}_r as (select *, {f}({value}) over (partition by frame, y order by x rows between {rx} preceding and {rx} following) as s_ from {source}), {name}_t as (select * exclude (s_), {f}(s_) over (partition by frame, x order by y rows between {ry} preceding and {ry} following) as {name} from {name}_r)"
 
 
-@query(f"""{_SEEN}, h as (select *, (not valid)::int as hole from seen), {_over("sum", "hole", 1, 1, "h", "n9")}, {_over("max", "(n9 / 9 >= 0.22)::int", 2, 1, "n9_t", "wide")}, {_over("sum", "wide", 2, 1, "wide_t", "n15")},
-  j as (select *, (n15 / 15 >= 0.52)::int as joined from n15_t), {_over("max", "joined", 2, 4, "j", "c1")}, {_over("max", "joined", 3, 3, "c1_t", "c2")}
+#: The same with hole, joined, c1 and c2, of which the bands are made.
+_MASKS = f"""{_SEEN}, h as (select *, (not valid)::int as hole from seen), {_over("sum", "hole", 1, 1, "h", "n9")}, {_over("max", "(n9 / 9 >= 0.22)::int", 2, 1, "n9_t", "wide")}, {_over("sum", "wide", 2, 1, "wide_t", "n15")},
+  j as (select *, (n15 / 15 >= 0.52)::int as joined from n15_t), {_over("max", "joined", 2, 4, "j", "c1")}, {_over("max", "joined", 3, 3, "c1_t", "c2")}"""
+
+
+@query(f"""{_MASKS}
   select frame, y, x, hole = 1 as hole, c1 > 0 or (crossed and c2 > 0) as context, joined = 1 and (c1 > 0 or (crossed and c2 > 0)) as compose from c2_t""")
 def stereo_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where another view has holes: a forward splat of each grid, its uncovered cells, and smooth bands about them."""
@@ -69,6 +77,22 @@ def stereo_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.visibility_masks(seen).select("frame", "y", "x", "hole", "context", "compose")
 
 
+_NEAREST = "coalesce(last_value(case when valid then {0} end ignore nulls) over l, first_value(case when valid then {0} end ignore nulls) over r, {1})"
+
+
+@query(f"""{_MASKS}, m as (select frame, y, x, v, near, valid, joined = 1 and (c1 > 0 or (crossed and c2 > 0)) as compose from c2_t),
+  e as (select *, {_NEAREST.format("near", "0")} as d, {_NEAREST.format("x", "x")} as edge from m window l as (partition by frame, y order by x rows unbounded preceding), r as (partition by frame, y order by x rows between current row and unbounded following)),
+  p as (select *, greatest(0, least(7, x - d * 4)) as px, y as py from e), {_AT.format("p", "v")},
+  b as (select p.*, sampled as back, greatest(0, least(7, edge - 2 - greatest(0, x - edge - 1))) as src from p join p_s using (frame, y, x)),
+  f as (select b.*, case when b.compose and not b.valid then s.back else b.back end as seed from b join b s on s.frame = b.frame and s.y = b.y and s.x = b.src), {_over("sum", "seed", 2, 0, "f", "v5")},
+  g2 as (select *, case when compose then seed + (v5 / 5 - seed) * 0.15 else seed end as soft from v5_t), {_over("sum", "soft", 1, 1, "g2", "s9")}
+  select frame, y, x, round(case when compose then greatest(-1, least(1, soft + (soft - s9 / 9) * 0.35 * 0.5)) else soft end, 6) as view, compose from s9_t""")
+def backward_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visibility by a splat, colour by sampling back along the disparity that it leaves; reveals mirror what lies beside them."""
+    seen = G.visible(cells(spark, sf_dir), F.col("v") * 4, 6, 8)
+    return G.backward_view(seen, 8, 8, 4.0).select("frame", "y", "x", F.round("view", 6).alias("view"), "compose")
+
+
 _ROW = "partition by frame, y order by x rows between {0} preceding and {0} following"
 
 
@@ -82,6 +106,16 @@ def layered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("frame", "y", "x", F.round(view, 6).alias("view"), "valid")
 
 
+@query(f"""{_SEEN}, pl as (select frame, y, x, min(v) over ({_ROW.format(2)}) as v from cl), {_splatted("pl", "2")},
+  a as (select seen.*, case when seen.valid then seen.near when seen2.valid then seen2.near end as f0, seen.valid or seen2.valid as known from seen join seen2 on seen.frame = seen2.frame and seen.y = seen2.y and seen.x = seen2.x),
+  b as (select *, coalesce(f0, avg(f0) over ({_ROW.format(1)})) as f1 from a), c as (select *, coalesce(f1, avg(f1) over ({_ROW.format(2)})) as f2 from b), d as (select *, coalesce(f2, avg(f2) over ({_ROW.format(4)})) as f3 from c),
+  w as (select *, case when known then f0 else v + (coalesce(f3, v) - v) * 0.8 end as soft from d), {_over("sum", "soft", 1, 1, "w", "s9")}
+  select frame, y, x, round(case when valid then soft else greatest(-1, least(1, soft + (soft - s9 / 9) * 0.65 * 0.5)) end, 6) as view, not valid as hole, known from s9_t""")
+def plated_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forward splat whose holes show the splat of a far plate, or else known cells of the row."""
+    return G.plated_view(cells(spark, sf_dir), 4.0, 6, 8).select("frame", "y", "x", F.round("view", 6).alias("view"), "hole", "known")
+
+
 @query(f"""{CELLS}, q as (select scene, frame, quantile_cont(v, 0.05) as a, quantile_cont(v, 0.95) as b from cl where y % 2 = 0 and x % 2 = 0 group by scene, frame),
   r as materialized (select scene, frame, case when b - a < 1e-4 then 0 else a end as a, case when b - a < 1e-4 then 1 else b end as b, row_number() over (partition by scene order by frame) as i from q), e as (with recursive f as (
     select scene, frame, i, a, b from r where i = 1 union all

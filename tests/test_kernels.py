@@ -357,3 +357,14 @@ def test_sampling_keeps_a_plane(spark, shares):
     points = spark.createDataFrame([(0, 0, i, *p) for i, p in enumerate(at)], "frame int, y int, x int, px double, py double")
     out = {r.x: r.s for r in grids.sampled(points, source, 6, 6, "s", shares).collect()}
     assert np.allclose([out[i] for i in range(4)], [9.75, 9, 20, 0])
+
+
+def test_backward_view_keeps_the_front(spark):
+    """A block nearer by two cells moves by them; outside the bands its colour comes whole, and a flat grid stays flat."""
+    cells = [(f, y, x, (0.5 if 2 <= x <= 4 else 0.0) if f else 0.25) for f in (0, 1) for y in range(8) for x in range(8)]
+    df = spark.createDataFrame(cells, "frame long, y int, x int, v double")
+    out = grids.backward_view(grids.visible(df, F.col("v") * 4, 6, 8), 8, 8, 4.0).collect()
+    assert len(out) == 128 and {r.view for r in out if r.frame == 0 and not r.compose} == {0.25}
+    plain = [r for r in out if r.frame == 1 and not r.compose]
+    assert all(r.view == (0.5 if 4 <= r.x <= 6 else 0.0) for r in plain) and any(r.view for r in plain)
+    assert any(r.compose for r in out if r.frame == 1)
