@@ -246,6 +246,41 @@ def repaired(points: DataFrame, donors: DataFrame, width: int, height: int, tole
     return both.groupBy("frame", "y", "x").agg(first).select("frame", "y", "x", "_first.donor", "_first.value")
 
 
+def grown_to_side(df: DataFrame, mask: Column, span: int, vertical: int, to_left: bool, name: str) -> DataFrame:
+    """`mask` grown by `span` cells to one side only, where what occludes lies, and by `vertical` rows; as it is where the span is none."""
+    if span <= 0:
+        return df.withColumn(name, mask)
+    row = Window.partitionBy("frame", "y").orderBy("x")
+    wide = F.max(mask.cast("int")).over(row.rowsBetween(0, span) if to_left else row.rowsBetween(-span, 0))
+    return df.withColumn("_s", wide).withColumn(name, F.max("_s").over(along("y", vertical)) > 0).drop("_s")
+
+
+def mirrored_runs(df: DataFrame, hole: Column, name: str) -> DataFrame:
+    """Each run of holes in a row reflects what lies right of it, the row's last cell at most; a run that ends the row stays."""
+    w = Window.partitionBy("frame", "y").orderBy("x")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    end = F.first(F.when(~hole, F.col("x")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    source = F.least(F.max("x").over(whole), 2 * end - F.col("x") - 1)
+    return df.withColumn(name, F.when(hole & end.isNotNull(), F.get(F.collect_list("v").over(whole), source)).otherwise(F.col("v")))
+
+
+def bilateral(df: DataFrame, value: str, radius: int, alike: float, near: float, name: str) -> DataFrame:
+    """Mean of the disc about each cell by Gaussian weights of distance (`near`) and of difference (`alike`); what is outside the grid has none."""
+    disc = [(dx, dy) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
+    d, taps_ = by_frame(df), []
+    for i, dy in enumerate(sorted({dy for _, dy in disc})):
+        d = d.withColumn(f"_r{i}", F.lead(value, dy).over(Window.partitionBy("frame", "x").orderBy("y")) if dy >= 0 else F.lag(value, -dy).over(Window.partitionBy("frame", "x").orderBy("y")))
+        for dx in [dx for dx, own in disc if own == dy]:
+            row = Window.partitionBy("frame", "y").orderBy("x")
+            v = F.lead(f"_r{i}", dx).over(row) if dx >= 0 else F.lag(f"_r{i}", -dx).over(row)
+            taps_.append((f"_t{len(taps_)}", v, math.exp(-(dx * dx + dy * dy) / (2 * near * near))))
+    d = d.withColumns({n: v for n, v, _ in taps_})
+    weights = [F.coalesce(w * F.exp(-F.pow(F.col(n) - F.col(value), F.lit(2.0)) / (2 * alike * alike)), F.lit(0.0)) for n, _, w in taps_]
+    total = lambda columns: sum(columns[1:], columns[0])
+    mean = total([w * F.coalesce(n, F.lit(0.0)) for w, (n, _, _) in zip(weights, taps_, strict=True)]) / total(weights)
+    return d.withColumn(name, mean).select(*df.columns, name)
+
+
 def seam_score(df: DataFrame, hole: Column) -> DataFrame:
     """frame and score: how far values jump where a run of holes in a row ends at its right; null without such an end.
 

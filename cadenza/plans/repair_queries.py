@@ -113,3 +113,26 @@ def expanded_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = F.when(F.col("sure") > 1e-4, F.col("f") / F.col("sure")).otherwise(0.0)
     bias = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 1.15 * F.col("sure")))
     return both.select("frame", "y", "x", F.round("colour", 6).alias("colour"), F.round(flow, 6).alias("flow"), F.round(bias, 6).alias("bias"))
+
+
+@query(f"""{CELLS}, m as (select *, (v > 0.1)::int as m from cl),
+  a as (select *, max(m) over (partition by frame, y order by x rows between current row and 3 following) as l, max(m) over (partition by frame, y order by x rows between 2 preceding and current row) as r from m)
+  select frame, y, x, max(l) over w > 0 as left_grown, max(r) over w > 0 as right_grown, m = 1 as compose, round(case when m = 1 then -v else v end, 6) as pasted from a window w as (partition by frame, x order by y rows between 1 preceding and 1 following)""")
+def model_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks that a model sees, grown over what occludes, to one side; the mask to compose by stays, and only inside it something is pasted."""
+    c = G.by_frame(cells(spark, sf_dir)).withColumn("compose", F.col("v") > 0.1)
+    c = G.grown_to_side(c, F.col("compose"), 3, 1, True, "left_grown")
+    c = G.grown_to_side(c, F.col("compose"), 2, 1, False, "right_grown")
+    return c.select("frame", "y", "x", "left_grown", "right_grown", "compose", F.round(F.when(F.col("compose"), -F.col("v")).otherwise(F.col("v")), 6).alias("pasted"))
+
+
+@query(f"""{CELLS}, e as (select *, v <= 0 as hole, first_value(case when v > 0 then x end ignore nulls) over (partition by frame, y order by x rows between current row and unbounded following) as edge from cl),
+  s as (select e.*, case when hole and edge is not null then least(7, 2 * edge - x - 1) else x end as src from e),
+  m as (select s.frame, s.y, s.x, s.hole, c.v as mirrored from s join cl c on c.frame = s.frame and c.y = s.y and c.x = s.src),
+  w as (select a.frame, a.y, a.x, a.hole, a.mirrored, b.mirrored as o, exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 18.0::double) * exp(-((b.mirrored - a.mirrored) ** 2) / (2 * 0.07 * 0.07)::double) as w from m a join m b on a.frame = b.frame and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 4)
+  select frame, y, x, hole, round(case when hole then sum(w * o) / sum(w) else max(mirrored) end, 6) as filled from w group by frame, y, x, hole""")
+def smoothed_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of cells not above 0 mirror what is right of them and are smoothed without crossing edges; all others stay."""
+    m = G.mirrored_runs(cells(spark, sf_dir).withColumn("hole", F.col("v") <= 0), F.col("hole"), "mirrored")
+    b = G.bilateral(m, "mirrored", 2, 0.07, 3.0, "smooth")
+    return b.select("frame", "y", "x", "hole", F.round(F.when(F.col("hole"), F.col("smooth")).otherwise(F.col("mirrored")), 6).alias("filled"))
