@@ -141,13 +141,14 @@ class _Watch(StatefulProcessor):
 def silent(stream: DataFrame, idle_ms: int, at: str | None = None, late: str = "0 seconds") -> DataFrame:
     """An alarm (session, since_ms, rows) for each pause of a session of over `idle_ms`, without waiting for its next row. Start it inside `state_store`.
 
-    With `at`, a timestamp column, pauses are in event time, and a timer fires when the watermark, `late` behind the
-    newest event, has passed it; else they are in processing time. `rows` have come since the alarm before. A session's
-    state goes with its alarm.
+    With `at`, a timestamp column, pauses are in event time, taken to the nearest millisecond (half of one goes away from zero; rows without
+    a time do not count), and a timer fires when the watermark, `late` behind the newest event, has passed it; else they
+    are in processing time. `rows` have come since the alarm before. A session's state goes with its alarm.
     """
     if at is None:
         return stream.groupBy("session").transformWithStateInPandas(_Watch(idle_ms, False), "session long, since_ms long, rows long", "append", "ProcessingTime")
-    rows = stream.withWatermark(at, late).select("session", at, F.unix_millis(at).alias("at_ms"))
+    nearest = F.timestamp_micros(F.round(F.unix_micros(at), -3))
+    rows = stream.where(F.col(at).isNotNull()).withColumn(at, nearest).withWatermark(at, late).select("session", at, F.unix_millis(at).alias("at_ms"))
     return rows.groupBy("session").transformWithStateInPandas(_Watch(idle_ms, True), "session long, since_ms long, rows long", "append", "EventTime")
 
 

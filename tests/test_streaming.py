@@ -123,6 +123,23 @@ def test_pauses_do_not_depend_on_the_cut(spark, tmp_path, edges):
     assert sorted(map(tuple, spark.table(f"pauses{len(edges)}").collect())) == sorted(expected)
 
 
+def test_times_are_taken_to_the_nearest_millisecond(spark, tmp_path):
+    """As the SQL takes them: half a millisecond and more count up, in the alarm, in a pause and in the watermark."""
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = spark.readStream.schema("session long, at timestamp").parquet(str(source))
+    query = started(spark, tmp_path, "nearest", stateful.silent(stream, 20_000, "at", "1 second"))
+    # Session 1 pauses for 20 s and, rounded, a millisecond; 2 rounded for 20 s. The mark is 21000 + 20001: 3 is one millisecond before it, 4 is not.
+    micros = [(1, 0), (1, 20_000_500), (1, 21_000_500), (2, 500), (2, 20_000_600), (2, 21_001_000), (3, 20_999_900), (4, 21_001_499), (5, 42_000_500), (6, None)]
+    try:
+        put(spark, tmp_path, source, 0, [(s, None if t is None else datetime.datetime.fromtimestamp(1000, datetime.UTC) + datetime.timedelta(microseconds=t)) for s, t in micros], "session long, at timestamp")
+        query.processAllAvailable()
+        until(lambda: spark.table("nearest").count() >= 2)
+    finally:
+        query.stop()
+    assert sorted(map(tuple, spark.table("nearest").collect())) == [(1, 1_000_000, 1), (3, 1_021_000, 1)]
+
+
 def test_idle_state_goes(spark, tmp_path):
     """A fold whose session is silent loses its state and starts anew at frame 0."""
     source = tmp_path / "in"
