@@ -6,16 +6,19 @@ result is a fold whose state is a grid, one scene at a time.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .grids import linear
+
 Grids = np.ndarray  # (n, height, width)
 
 
@@ -64,6 +67,73 @@ def sample_nearest(values: Grids, x: Grids, y: Grids, outside: Any = 0) -> Grids
     return np.where(inside, values[np.arange(n)[:, None, None], np.clip(cy, 0, height - 1), np.clip(cx, 0, width - 1)], outside)
 
 
+def summed(of: Callable[..., Column]) -> Column:
+    """The measure `of` of each cell (its value, and if wanted its number) of `grids`, the lists that a frame comes with; cells of more than one list add up, nulls aside."""
+    both = lambda a, b: F.coalesce(a + b, a, b)
+    return F.aggregate(F.slice("grids", 2, F.size("grids")), F.transform(F.col("grids")[0], of), lambda s, g: F.zip_with(s, F.transform(g, of), both))
+
+
+def resampled(frames: DataFrame, height: int, width: int, places: list[tuple[int, int, float, float]], measures: dict[str, Callable]) -> DataFrame:
+    """frame, y, x and each measure at fixed places (y, x, px, py) of every frame: between the cells about (px, py) by the measure's shares, the border repeated.
+
+    A measure is a column of `frames`, a list of height * width cells in order of rows. Nulls do not count; a place about
+    which a measure has no cells (a short list) gives no row. A row needs nothing but its own grid, so nothing is shuffled.
+    """
+
+    def taps(shares: Callable) -> tuple[np.ndarray, np.ndarray]:
+        cells, weights = [], []
+        for _, _, px, py in places:
+            px, py = max(0.0, min(width - 1.0, px)), max(0.0, min(height - 1.0, py))
+            about = [(math.floor(py) + oy, math.floor(px) + ox, wx * wy) for oy, wy in shares(py - math.floor(py)) for ox, wx in shares(px - math.floor(px))]
+            cells.append([max(0, min(y, height - 1)) * width + max(0, min(x, width - 1)) for y, x, _ in about])
+            weights.append([w for _, _, w in about])
+        return np.array(cells), np.array(weights)
+
+    def dense(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values (0 for null), which are not null, and which are there."""
+        size, n = height * width, len(column)
+        sizes, flat = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten()
+        row, at = np.repeat(np.arange(n), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        inside = at < size
+        values, known = np.zeros((n, size)), np.zeros((n, size), dtype=bool)
+        values[row[inside], at[inside]] = flat.fill_null(0.0).to_numpy(zero_copy_only=False)[inside]
+        known[row[inside], at[inside]] = flat.is_valid().to_numpy(zero_copy_only=False)[inside]
+        return values, known, np.arange(size) < sizes[:, None]
+
+    plans = {name: taps(shares) for name, shares in measures.items()}
+    y, x = (np.array([place[i] for place in places], dtype=np.int32) for i in (0, 1))
+    out = T.StructType([frames.schema["frame"], T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType()), *(T.StructField(name, T.DoubleType()) for name in measures)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, keep, columns = batch.num_rows, np.ones(batch.num_rows * len(places), dtype=bool), []
+            for name, (cells, weights) in plans.items():
+                values, known, there = dense(batch.column(name))
+                total, any_, hit = np.zeros((n, len(places))), np.zeros((n, len(places)), dtype=bool), np.zeros((n, len(places)), dtype=bool)
+                for k in range(cells.shape[1]):
+                    total += np.where(known[:, cells[:, k]], values[:, cells[:, k]] * weights[:, k], 0.0)
+                    any_ |= known[:, cells[:, k]]
+                    hit |= there[:, cells[:, k]]
+                columns.append(pa.array(total.reshape(-1), mask=~any_.reshape(-1)))
+                keep &= hit.reshape(-1)
+            frame = batch.column("frame").take(pa.array(np.repeat(np.arange(n), len(places))))
+            made = pa.RecordBatch.from_arrays([frame, pa.array(np.tile(y, n)), pa.array(np.tile(x, n)), *columns], names=out.names)
+            yield made.filter(pa.array(keep))
+
+    return frames.select("frame", *measures).mapInArrow(run, out)
+
+
+def centres(height: int, width: int, new_height: int, new_width: int) -> list[tuple[int, int, float, float]]:
+    """y, x of the cells of a grid of another size, and where their centres lie in the old one (px, py)."""
+    place = lambda c, old, new: (c + 0.5) * (old / new) - 0.5
+    return [(y, x, place(x, width, new_width), place(y, height, new_height)) for y in range(new_height) for x in range(new_width)]
+
+
+def resized_flow(frames: DataFrame, height: int, width: int, new_height: int, new_width: int) -> DataFrame:
+    """frame, y, x, v of flow along x, the lists v of `frames`, on a grid of another size: sampled at the cells' centres, and scaled as the width is."""
+    return resampled(frames, height, width, centres(height, width, new_height, new_width), {"v": linear}).withColumn("v", F.col("v") * (new_width / width))
+
+
 def chained(edges: DataFrame, hops: int, height: int, width: int, back: bool = False) -> DataFrame:
     """scene, frame, dx, dy, confidence: where each frame's cells are `hops` frames on (or back), and the least confidence met.
 

@@ -95,12 +95,12 @@ def pooled(df: DataFrame, value: Column, ry: int, rx: int, name: str, largest: b
     return df.withColumn("_s", f(value).over(along("x", rx))).withColumn(name, f("_s").over(along("y", ry))).drop("_s")
 
 
-def linear(t: Column) -> list[tuple[int, Column]]:
-    """Steps to the cells about a place t beyond one, and their shares."""
+def linear(t):
+    """Steps to the cells about a place t (a column or a number) beyond one, and their shares."""
     return [(0, 1 - t), (1, t)]
 
 
-def cubic(t: Column) -> list[tuple[int, Column]]:
+def cubic(t):
     """The same for the Catmull-Rom curve through four cells."""
     return [(-1, t * (t * (1 - 0.5 * t) - 0.5)), (0, 1 + t * t * (1.5 * t - 2.5)), (1, t * (0.5 + t * (2 - 1.5 * t))), (2, t * t * (0.5 * t - 0.5))]
 
@@ -108,7 +108,8 @@ def cubic(t: Column) -> list[tuple[int, Column]]:
 def sampled(points: DataFrame, source: DataFrame, width: int, height: int, name: str | dict[str, str], shares: Callable[[Column], list[tuple[int, Column]]] = linear) -> DataFrame:
     """(frame, y, x) of `points` (frame, y, x, px, py) with the value of `source` (frame, y, x, v) at (px, py), between the cells about it by their `shares`; the border goes on outside.
 
-    `name` is the result's, or a dict from columns of `source` to those of their results.
+    `name` is the result's, or a dict from columns of `source` to those of their results. Cells come of exploded rows, whose
+    size Spark underrates by far, so neither they nor the result are ever broadcast.
     """
     names = {"v": name} if isinstance(name, str) else name
     at = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col(c)))
@@ -120,22 +121,8 @@ def sampled(points: DataFrame, source: DataFrame, width: int, height: int, name:
         for ox, wx in shares(F.col("_px") - F.floor("_px"))
     ]
     t = d.select("frame", F.col("y").alias("_ty"), F.col("x").alias("_tx"), F.explode(F.array(*taps)).alias("t")).select("frame", "_ty", "_tx", "t.x", "t.y", "t.w")
-    hit = t.join(source.select("frame", "y", "x", *names), ["frame", "y", "x"])
-    return hit.groupBy("frame", F.col("_ty").alias("y"), F.col("_tx").alias("x")).agg(*(F.sum(F.col(c) * F.col("w")).alias(n) for c, n in names.items()))
-
-
-def places(df: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
-    """frame, y, x of a grid of another size for each frame, and where its cells' centres lie in the old one (px, py)."""
-    cells = F.explode(F.sequence(F.lit(0), F.lit(new_width * new_height - 1)))
-    points = df.select("frame").distinct().withColumn("_i", cells).withColumns({"y": F.expr(f"int(_i div {new_width})"), "x": (F.col("_i") % new_width).cast("int")})
-    place = lambda c, old, new: (F.col(c) + 0.5) * (old / new) - 0.5
-    return points.withColumns({"px": place("x", width, new_width), "py": place("y", height, new_height)}).drop("_i")
-
-
-def resized_flow(df: DataFrame, width: int, height: int, new_width: int, new_height: int) -> DataFrame:
-    """Flow (frame, y, x, v) along x on a grid of another size: sampled at the cells' centres, and scaled as the width is."""
-    points = places(df, width, height, new_width, new_height)
-    return sampled(points, df, width, height, "v").withColumn("v", F.col("v") * (new_width / width))
+    hit = t.hint("merge").join(source.select("frame", "y", "x", *names), ["frame", "y", "x"])
+    return hit.groupBy("frame", F.col("_ty").alias("y"), F.col("_tx").alias("x")).agg(*(F.sum(F.col(c) * F.col("w")).alias(n) for c, n in names.items())).hint("merge")
 
 
 def visible(df: DataFrame, shift: Column, layers: int, width: int, tolerance: float = 0.05) -> DataFrame:

@@ -60,6 +60,12 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("frame", "scene", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).cast("int").alias("x"), "v")
 
 
+def whole_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, whole: one row (frame, grids) per frame; a frame that the table has once has one list."""
+    e = table(spark, sf_dir, "embeddings").where("size(embedding) > 0")
+    return e.groupBy(F.col("vec_id").alias("frame")).agg(F.collect_list("embedding").alias("grids")).withColumn("grids", F.col("grids").cast("array<array<double>>"))
+
+
 def lagged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`cells` and was, the cell of the frame before of the scene; a scene's first frame is left out. Grids are lagged whole."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").alias("scene"), F.col("embedding").cast("array<double>").alias("e"))

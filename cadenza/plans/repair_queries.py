@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators import fields
 from cadenza.operators import grids as G
 from cadenza.operators import sequences as S
 
-from .registry import CELLS, cells, lagged_cells, query
+from .registry import CELLS, cells, lagged_cells, query, whole_grids
 from .view_queries import _AT
 
 _BEFORE = f"{CELLS}, h as (select *, lag(v) over (partition by scene, y, x order by frame) as was from cl), d as (select * from h where was is not null)"
@@ -31,12 +32,11 @@ def between_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
   select t.frame, t.y::int as y, t.x::int as x, round(sum(flow * w), 6) as flow, round(sum(c * w), 6) as confidence from t join f on f.frame = t.frame and f.y = t.sy and f.x = t.sx group by t.frame, t.y, t.x""")
 def motion_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow and its confidence on the cells of a square: 4 x 4 at (1, 2) of a source of 15 x 15, read from the 8 x 8 grid."""
-    u = cells(spark, sf_dir).withColumn("c", F.least(F.lit(1.0), F.abs("v") * 4) * (F.col("x") != 3).cast("int"))
-    flow = u.withColumn("flow", F.col("v") * F.col("c") / F.greatest("c", F.lit(1 / 255.0)))
-    i = F.explode(F.sequence(F.lit(0), F.lit(15)))
-    points = u.select("frame").distinct().withColumn("i", i).withColumns({"y": F.expr("int(i div 4)"), "x": (F.col("i") % 4).cast("int")})
-    points = points.withColumns({"px": (1 + F.col("x")) * (7 / 14), "py": (2 + F.col("y")) * (7 / 14)})
-    out = G.sampled(points, flow, 8, 8, {"flow": "flow", "c": "confidence"})
+    sure = lambda v, i: F.least(F.lit(1.0), F.abs(v) * 4) * (i % 8 != 3).cast("int")
+    flow = lambda v, i: v * sure(v, i) / F.greatest(sure(v, i), F.lit(1 / 255.0))
+    grids = whole_grids(spark, sf_dir).select("frame", fields.summed(flow).alias("flow"), fields.summed(sure).alias("confidence"))
+    places = [(y, x, (1 + x) * (7 / 14), (2 + y) * (7 / 14)) for y in range(4) for x in range(4)]
+    out = fields.resampled(grids, 8, 8, places, {"flow": G.linear, "confidence": G.linear})
     return out.select("frame", "y", "x", F.round("flow", 6).alias("flow"), F.round("confidence", 6).alias("confidence"))
 
 
@@ -107,9 +107,9 @@ _CUBIC = "case {0} when -1 then -0.5 * {1} + {1} ** 2 - 0.5 * {1} ** 3 when 0 th
   select frame, y::int as y, x::int as x, round(colour, 6) as colour, round(case when c > 1e-4 then flow / c else 0 end, 6) as flow, round(greatest(0, least(1, 1 - 1.15 * c)), 6) as bias from c4 join c2 using (frame, y, x)""")
 def expanded_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grids on 10 x 6 cells: values by a cubic curve, flow and its confidence linearly, the flow then freed of it where it is there."""
-    c = cells(spark, sf_dir).withColumn("c", F.least(F.lit(1.0), F.abs("v") * 4)).withColumn("flow", F.col("v") * F.col("c"))
-    points = G.places(c, 8, 8, 10, 6)
-    both = G.sampled(points, c, 8, 8, "colour", G.cubic).join(G.sampled(points, c, 8, 8, {"flow": "f", "c": "sure"}), ["frame", "y", "x"])
+    sure = lambda v: F.least(F.lit(1.0), F.abs(v) * 4)
+    grids = whole_grids(spark, sf_dir).select("frame", fields.summed(lambda v: v).alias("colour"), fields.summed(lambda v: v * sure(v)).alias("f"), fields.summed(sure).alias("sure"))
+    both = fields.resampled(grids, 8, 8, fields.centres(8, 8, 6, 10), {"colour": G.cubic, "f": G.linear, "sure": G.linear})
     flow = F.when(F.col("sure") > 1e-4, F.col("f") / F.col("sure")).otherwise(0.0)
     bias = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 1.15 * F.col("sure")))
     return both.select("frame", "y", "x", F.round("colour", 6).alias("colour"), F.round(flow, 6).alias("flow"), F.round(bias, 6).alias("bias"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators import fields
 from cadenza.operators import grids as G
 from cadenza.operators import sequences as S
 from cadenza.sources import chunks, sidecars
 from cadenza.sources.shared import new_folder
 from cadenza.streaming.stateful import folded, silent, state_store
 
-from .registry import CELLS, ORACLES, cells, lagged_cells, query, table
+from .registry import CELLS, ORACLES, cells, lagged_cells, query, table, whole_grids
 from .sequence_queries import CUT, scenes
 
 _AT = """{0}_t as (select frame, y, x, least(7, floor(px)::int + ox) as sx, least(7, floor(py)::int + oy) as sy, abs(1 - ox - (px - floor(px))) * abs(1 - oy - (py - floor(py))) as w from {0}, range(2) a(ox), range(2) b(oy)),
@@ -45,7 +46,8 @@ def inverse_view(spark: SparkSession, sf_dir: str) -> DataFrame:
   select t.frame, t.y::int as y, t.x::int as x, round(sum(v * w) * (5 / 8::double), 6) as flow from t join cl on cl.frame = t.frame and cl.y = t.sy and cl.x = t.sx group by t.frame, t.y, t.x""")
 def resized_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow on a grid of 5 x 3."""
-    return G.resized_flow(cells(spark, sf_dir), 8, 8, 5, 3).select("frame", "y", "x", F.round("v", 6).alias("flow"))
+    grids = whole_grids(spark, sf_dir).select("frame", fields.summed(lambda v: v).alias("v"))
+    return fields.resized_flow(grids, 8, 8, 3, 5).select("frame", "y", "x", F.round("v", 6).alias("flow"))
 
 
 def _splatted(source: str, n: str = "") -> str:

@@ -111,3 +111,37 @@ def test_pyramid_fills_an_odd_grid(spark):
     assert out[0, 1, 1] == 5 and out[0, 3, 3] == 5 and out[0, 4, 5] == 9 and out[0, 2, 5] == 7 and out[1, 0, 0] is None
     plan = V.pyramid_fill(spark.createDataFrame(rows, "frame long, y int, x int, v double"), "v", "f", 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hash") == 1
+
+
+def _grid_table(spark, folder):
+    rows = [(i, [((i * 31 + c * 17) % 41 - 20) / 31 for c in range(64)]) for i in range(6)]
+    rows[1][1][5] = None
+    rows[2] = (2, rows[2][1][:20])  # a grid that ends early
+    rows += [(3, [c / 67 for c in range(64)]), (7, None), (8, [])]  # a frame that comes twice, and no grids
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("vec_id", "embedding", "int(0) as label").write.parquet(f"{folder}/embeddings.parquet")
+    return rows
+
+
+@pytest.mark.parametrize("name", ["expanded_input", "motion_patch", "resized_flow"])
+def test_fixed_places_need_no_join(spark, tmp_path, name):
+    """Cells exploded and joined were underrated by the planner and broadcast, which took the driver's memory."""
+    import oracle
+
+    from cadenza import catalog
+
+    _grid_table(spark, tmp_path)
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    c = oracle.connection.__globals__["duckdb"].connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    made = c.sql(catalog.ORACLES[name])
+    assert oracle.rows(df.columns, [tuple(r) for r in df.collect()]) == oracle.rows(made.columns, made.fetchall())
+
+
+@pytest.mark.parametrize("name", ["warped_history", "inverse_view", "between_frames"])
+def test_sampled_cells_are_never_broadcast(spark, sf_dir, name):
+    from cadenza import catalog
+
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [frame#" in plan and "BroadcastHashJoin [frame#" not in plan
