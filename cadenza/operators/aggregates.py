@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,3 +99,68 @@ def combined_rate(serial: list[Column], overlapped: list[Column]) -> Column:
     for r in serial:
         out = F.when((out > 0) & (r > 0), 1 / (1 / out + 1 / r)).otherwise(F.lit(0.0))
     return out
+
+
+def lag_sums(rows: DataFrame, most: int, span: int = 4096) -> DataFrame:
+    """session, lag and, over the pairs of a frame and the frame `lag` after it: overlap (how many), and the sums ab, aa and bb of products, nulls aside.
+
+    rows: session, frame (from 0, distinct), a, b; lags go from -most to most. A session is cut into stretches of `span`
+    frames, each with the `most` about it, so rows move once or twice, never once for each lag, and a long session is
+    many pieces of work. A stretch gives a sum for each lag, and these add up.
+    """
+    if not 0 <= most <= span:
+        raise ValueError("most must be from 0 to span")
+    first, last = F.greatest(F.lit(0), F.expr(f"(frame - {most}) div {span}")), F.expr(f"(frame + {most}) div {span}")
+    dealt = rows.select("session", "frame", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), F.explode(F.sequence(first, last)).alias("stretch"))
+    pieces = dealt.groupBy("session", "stretch").agg(F.collect_list(F.struct("frame", "a", "b")).alias("rows"))
+    names = ("overlap", "products", "ab", "aa", "bb")
+
+    def plain(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+        """The sums lag by lag, so that what is not finite counts only where it meets a partner."""
+        n, out = len(left[0]), []
+        for k in range(len(right[0]) - n + 1):
+            there, known, y = (v[k : k + n] for v in right)
+            met = (left[0] > 0) & (there > 0)
+            both, x = met & (left[1] > 0) & (known > 0), left[2]
+            out.append((met.sum(), both.sum(), (x[both] * y[both]).sum(), (x[met] * x[met]).sum(), (y[met] * y[met]).sum()))
+        return list(np.array(out, dtype=float).T)
+
+    def of(stretch: int, frame: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        own = frame // span == stretch
+        if not own.any():
+            return np.zeros(0, np.int64), [np.zeros(0)] * len(names)
+        start, n = frame[own].min(), int(frame[own].max() - frame[own].min() + 1)
+        reach = min(most, int(max(start + n - 1 - frame.min(), frame.max() - start)))
+        at, beside = frame[own] - start, frame - start + reach
+        near = (beside >= 0) & (beside < n + 2 * reach)
+
+        def line(size: int, where: np.ndarray, values: np.ndarray) -> np.ndarray:
+            out = np.zeros(size)
+            out[where] = values
+            return out
+
+        left = [line(n, at, v) for v in (np.ones(len(at)), a[0][own], a[1][own])]
+        right = [line(n + 2 * reach, beside[near], v) for v in (np.ones(near.sum()), b[0][near], b[1][near])]
+        if np.isfinite(left[2]).all() and np.isfinite(right[2]).all():
+            sums = [np.correlate(y, x) for y, x in ((right[0], left[0]), (right[1], left[1]), (right[2], left[2]), (right[0], left[2] * left[2]), (right[2] * right[2], left[0]))]
+        else:
+            sums = plain(left, right)
+        lags = np.arange(-reach, reach + 1)
+        met = sums[0] > 0.5
+        return lags[met], [x[met] for x in sums]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("rows")
+            ends, flat = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]), lists.flatten()
+            frame = flat.field(0).to_numpy(zero_copy_only=False)
+            a, b = ([x.to_numpy(zero_copy_only=False) for x in (flat.field(i).is_valid(), flat.field(i).fill_null(0.0))] for i in (1, 2))
+            made = [of(s, frame[i:j], [x[i:j] for x in a], [x[i:j] for x in b]) for s, i, j in zip(batch.column("stretch").to_pylist(), ends, ends[1:], strict=False)]
+            session = batch.column("session").take(pa.array(np.repeat(np.arange(batch.num_rows), [len(lags) for lags, _ in made])))
+            sums = [np.concatenate([np.zeros(0), *(sums[k] for _, sums in made)]) for k in range(len(names))]
+            lags = np.concatenate([np.zeros(0, np.int64), *(lags for lags, _ in made)])
+            yield pa.RecordBatch.from_arrays([session, pa.array(lags), *(pa.array(np.rint(x).astype(np.int64) if k < 2 else x) for k, x in enumerate(sums))], names=["session", "lag", *names])
+
+    kind = rows.schema["session"].dataType.simpleString()
+    parts = pieces.mapInArrow(run, f"session {kind}, lag long, overlap long, products long, ab double, aa double, bb double")
+    return parts.groupBy("session", "lag").agg(F.sum("overlap").alias("overlap"), F.when(F.sum("products") > 0, F.sum("ab")).alias("ab"), F.sum("aa").alias("aa"), F.sum("bb").alias("bb"))

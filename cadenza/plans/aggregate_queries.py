@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cadenza.operators import aggregates as A
 from cadenza.operators import sequences as S
@@ -182,18 +183,16 @@ def footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tl a join tl b on a.session = b.session and b.frame - a.frame between -640 and 640 join n on a.session = n.session group by a.session, b.frame - a.frame, n.n having 2 * count(*) >= n.n)
   select session, arg_max(lag, (round(s, 6), -abs(lag), -lag)) as best_lag, round(max(s), 6) as best, round(max(s) filter (lag = 0), 6) as zero_lag from l group by session""")
 def cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lag within 640 frames at which two series agree best; lags are exploded, not ranged over.
+    """The lag within 640 frames at which two series agree best.
 
     Agreement is the product over the overlap, by the norms of both there. An overlap of under half a session counts
     for nothing: that of a single frame would always agree. Of equals, the lag nearest to zero.
     """
     t = timeline(spark, sf_dir)
-    n = t.groupBy("session").agg(F.count("*").alias("n"))
-    reach = F.least(F.lit(640), F.expr("n div 2")).cast("int")
-    a = t.join(n, "session").select("session", "n", "frame", F.col("value").alias("a"), F.explode(F.sequence(-reach, reach)).alias("lag")).withColumn("frame", F.col("frame") + F.col("lag"))
-    pairs = a.join(t.select("session", "frame", F.col("confidence").alias("b")), ["session", "frame"])
-    norm = F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b")))
-    s = pairs.groupBy("session", F.col("lag").cast("long").alias("lag")).agg((F.sum(F.col("a") * F.col("b")) / F.nullif(norm, F.lit(0.0))).alias("s"), F.count("*").alias("overlap"), F.max("n").alias("n")).where("2 * overlap >= n")
+    sums = A.lag_sums(t.select("session", "frame", F.col("value").alias("a"), F.col("confidence").alias("b")), 640)
+    n = F.max("overlap").over(Window.partitionBy("session"))  # at lag 0 all frames meet
+    norm = F.sqrt(F.col("aa") * F.col("bb"))
+    s = sums.withColumn("n", n).where("2 * overlap >= n").withColumn("s", F.col("ab") / F.nullif(norm, F.lit(0.0)))
     best = F.max_by("lag", F.struct(F.round("s", 6), -F.abs("lag"), -F.col("lag")))
     return s.groupBy("session").agg(best.alias("best_lag"), F.round(F.max("s"), 6).alias("best"), F.round(F.max(F.when(F.col("lag") == 0, F.col("s"))), 6).alias("zero_lag"))
 

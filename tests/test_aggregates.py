@@ -62,3 +62,24 @@ def test_one_pass_over_targets_and_codes(spark):
     codes = spark.range(100).selectExpr("id", "id * 7919 as code")
     text = plan(joins.nearest_two(codes.where("id % 20 = 0"), codes, 0.7, query_rows=2, rows=16))
     assert text.count("MapInArrow") == 1 and "NestedLoop" not in text and "Cartesian" not in text and "WindowGroupLimit" in text
+
+
+@pytest.mark.parametrize("span", [8, 4096])
+def test_lag_sums_equal_plain_loops(spark, span):
+    """Sessions longer and shorter than a stretch, with nulls and what is not finite; rows are not multiplied by lags."""
+    rows = [(s, i, float((i * 7 + s) % 11 - 5), float((i * 5 + 2 * s) % 9 - 4)) for s, n in ((0, 40), (1, 5), (2, 1), (3, 21)) for i in range(n)]
+    rows = [(s, i, None if s == 0 and i % 6 == 1 else float("inf") if (s, i) == (3, 4) else a, None if s == 0 and i % 5 == 2 or s == 2 else b) for s, i, a, b in rows]
+    out = A.lag_sums(spark.createDataFrame(rows, "session long, frame long, a double, b double"), 7, span)
+    got = {(r.session, r.lag): (r.overlap, r.ab, r.aa, r.bb) for r in out.collect()}
+    expected = {}
+    for s in range(4):
+        one = {i: (a, b) for t, i, a, b in rows if t == s}
+        for lag in range(-7, 8):
+            pairs = [(one[i][0], one[i + lag][1]) for i in one if i + lag in one]
+            if pairs:
+                ab = [a * b for a, b in pairs if a is not None and b is not None]
+                expected[s, lag] = (len(pairs), sum(ab) if ab else None, sum(a * a for a, _ in pairs if a is not None), sum(b * b for _, b in pairs if b is not None))
+    assert got.keys() == expected.keys()
+    for key, numbers in expected.items():
+        assert got[key] == pytest.approx(numbers, nan_ok=True), key
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
