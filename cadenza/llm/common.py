@@ -65,10 +65,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def stage(df: DataFrame) -> DataFrame:
     """A written copy of `df` in the shared folder, read again: like `checkpoint`, but by column and without a partitioning.
 
-    A join with it shuffles both sides, so that Spark can split a partition that a hot key makes large.
+    A join with it shuffles both sides, so that Spark can split a partition that a hot key makes large. What was shuffled
+    to make it goes from the disk as soon as it is written.
     """
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    with configured(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
