@@ -12,7 +12,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bits of the filter that `possible` sends to executors.
+FILTER_BITS = 1 << 24
+
 #: Folders that this process has written between steps.
 _staged: list[str] = []
 
@@ -93,6 +96,25 @@ def configured(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
+def possible(df: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
+    """`df` and a boolean column _possible: false where its long column `name`, a hash, is surely not in the only column of `hashes`.
+
+    What is true still needs an exact join; what is false need not be shuffled for it, however wide. The filter is sent
+    as words of 64 bits, at most FILTER_BITS / 64 rows for any number of hashes; where it fills up, more is true.
+    """
+
+    def word(hash_: Column) -> Column:
+        return F.shiftright(hash_.bitwiseAND(F.lit(FILTER_BITS - 1)), 6)
+
+    def bit(hash_: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), hash_.bitwiseAND(F.lit(63)).cast("int"))
+
+    own, other = F.col(name), F.col(hashes.columns[0])
+    words = stage(hashes.groupBy(word(other).alias("_word")).agg(F.bit_or(bit(other)).alias("_bits")))
+    joined = df.join(F.broadcast(words), word(own) == F.col("_word"), "left")
+    return joined.select(*df.columns, F.coalesce(F.col("_bits").bitwiseAND(bit(own)) != 0, F.lit(False)).alias("_possible"))
+
+
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

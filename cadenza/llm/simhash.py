@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import minima
-from .common import append_columns, configured, packed, stage
+from .common import append_columns, configured, packed, possible, stage
 from .components import components
 
 DISTANCE = 4
@@ -215,6 +215,7 @@ def _regrouped(members: DataFrame, rows: DataFrame, texts: DataFrame, similarity
         return members
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     firsts = stage(firsts.join(ends, "node"))
+    texts = possible(texts, firsts.select("_h1"), "_h1").where("_possible")
     read = stage(texts.join(firsts, same(texts)).select("node", "text").dropDuplicates(["node"]))
     star = components(stage(minima.verified(links, read, similarity)))
     return stage(members.join(star, members["root"] == star["node"], "left").select(F.coalesce(star["root"], members["root"]).alias("root"), "n", "key"))
@@ -244,8 +245,9 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, distance: int = DISTANCE, sim
     def those(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
         return rows.join(some, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_a")) & (F.col("_h2") == F.col("_b")), how)
 
-    kept = those(whole, gone, "left_anti")
+    whole = possible(whole, marked.select("_a"), "_h1")  # what is surely kept stays where it is
+    sure, kept = whole.where("not _possible"), those(whole.where("_possible"), gone, "left_anti")
     if not once.isEmpty():
         single = those(kept, once, "left_semi").dropDuplicates(["_h1", "_h2"])
         kept = those(kept, once, "left_anti").unionByName(single)
-    return kept.select("_doc.*")
+    return sure.unionByName(kept).select("_doc.*")

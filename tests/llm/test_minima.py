@@ -4,9 +4,10 @@ import random
 import numpy as np
 import pytest
 from helpers import DOCS, empty, odd, sentence, with_clashes
+from pyspark.sql import functions as F
 
-from cadenza.llm import minima, simhash
-from cadenza.llm.common import append_columns, read, stage
+from cadenza.llm import common, minima, simhash
+from cadenza.llm.common import append_columns, configured, possible, read, stage
 
 
 def sets(texts):
@@ -105,6 +106,29 @@ def test_keep_one_of_similar_documents(spark):
     assert simhash.keep_one(docs).count() > len(kept)
 
 
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(13)
+    base = [sentence(rng, 80) for _ in range(60)]
+    rows = [*enumerate(base), *((1000 + i, base[i]) for i in range(6)), (500, base[7]), (500, base[7]), (9, base[9])]
+    spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS).write.parquet(f"{tmp_path}/docs")
+    with configured(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out = simhash.keep_one(spark.read.parquet(f"{tmp_path}/docs"))
+        assert sorted(r.doc_id for r in out.collect()) == list(range(60))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    stays = plan[: plan.index("SortMergeJoin")]
+    assert "FileScan" in stays and "hashpartitioning" not in stays
+
+
+def test_possible_misses_nothing(spark, monkeypatch):
+    for bits, most in ((1 << 24, 20), (1 << 10, 3000)):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h")).unionByName(spark.createDataFrame([(-1, -1), (-2, None)], "id long, h long"))
+        made = possible(rows, rows.where("id % 200 = 7 or id = -1").select("h"), "h").where("_possible").collect()
+        some = {r.id for r in made}
+        assert made[0].__fields__ == ["id", "h", "_possible"] and some >= {-1, *range(7, 20_000, 200)} and -2 not in some and len(made) < 101 + most
+    assert possible(rows, rows.where("false").select("h"), "h").where("_possible").count() == 0
+
+
 def test_keep_one_of_odd_documents(spark):
     docs = odd(spark)
     plain, out = (sorted(str(r) for r in simhash.keep_one(docs, similarity=s).collect()) for s in (None, 0.8))
