@@ -7,6 +7,8 @@ shuffle, and the winner is fitted again to all its inliers, by sums alone. So a
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,9 @@ SPREAD_X, SPREAD_Y = 0.35, 0.20
 LEAST_CONFIDENCE, LEAST_DETERMINANT = 0.70, 0.1
 THRESHOLD = 1.0
 
+#: Twice the area, in shares of an image, under which three of a set's points count as in a line.
+LEAST_AREA = 1e-9
+
 
 def solved(points: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """The homographies (n, 3, 3) that map sets of four points (n, 4, 2) to their targets: null vectors of the direct linear equations."""
@@ -33,6 +38,40 @@ def solved(points: np.ndarray, targets: np.ndarray) -> np.ndarray:
     return np.linalg.svd(a.reshape(n, 8, 9))[2][:, -1].reshape(n, 3, 3)
 
 
+def _frame(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets of four points (n, 4, 2): adjugates of the matrices of the first three, the fourth in their terms, and each set's least doubled area."""
+    x, y = p[..., 0], p[..., 1]
+    i, j = [1, 2, 0], [2, 0, 1]
+    adjugates = np.stack([y[:, i] - y[:, j], x[:, j] - x[:, i], x[:, i] * y[:, j] - x[:, j] * y[:, i]], axis=2)
+    fourth = adjugates[..., 0] * x[:, 3:] + adjugates[..., 1] * y[:, 3:] + adjugates[..., 2]
+    whole = adjugates[..., 2].sum(axis=1)
+    return adjugates, fourth, np.minimum(np.abs(fourth).min(axis=1), np.abs(whole))
+
+
+def framed(points: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The homographies that `solved` finds, up to a factor, in closed form, and which of them four such points fix: where three are in a line they do not."""
+    adjugates, a, least = _frame(points)
+    _, b, there = _frame(targets)
+    weights = np.stack([b[:, 0] * a[:, 1] * a[:, 2], a[:, 0] * b[:, 1] * a[:, 2], a[:, 0] * a[:, 1] * b[:, 2]], axis=1)
+    corners = np.concatenate([targets[:, :3].transpose(0, 2, 1), np.ones((len(targets), 1, 3))], axis=1)
+    return (corners * weights[:, None]) @ adjugates, np.minimum(least, there) >= LEAST_AREA
+
+
+@lru_cache(maxsize=64)
+def _picks(n: int, sets: int) -> np.ndarray:
+    """The sets of four of n matches; the seed is fixed, so they depend on nothing else."""
+    return np.random.default_rng(SEED).random((sets, n)).argpartition(3, axis=1)[:, :4]
+
+
+def agreeing(matrices: np.ndarray, rows: np.ndarray, w: float, h: float) -> np.ndarray:
+    """How many matches (m, 4), in shares of w and h, each of the matrices (n, 3, 3) maps to within THRESHOLD pixels."""
+    n = len(matrices)
+    p = (matrices.reshape(-1, 3) @ np.stack([rows[:, 0], rows[:, 1], np.ones(len(rows))])).reshape(n, 3, -1)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        x, y = (p[:, 0] / p[:, 2] - rows[:, 2]) * w, (p[:, 1] / p[:, 2] - rows[:, 3]) * h
+        return np.count_nonzero(x * x + y * y <= THRESHOLD * THRESHOLD, axis=1)
+
+
 def mapped(matrices: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Where matrices (n, 3, 3) map points (m, 2): (n, m, 2)."""
     p = np.einsum("nij,mj->nmi", matrices, np.hstack([points, np.ones((len(points), 1))]))
@@ -53,12 +92,13 @@ def hypotheses(matches: DataFrame, sizes: DataFrame, sets: int, kept: int) -> Da
         rows = rows[np.lexsort(rows.T)]  # the order of a shuffle must not matter
         if len(rows) < 4:
             return table.slice(0, 0).select(["pair"]).append_column("hypothesis", pa.array([], pa.int32())).append_column("m", pa.array([], pa.list_(pa.float64())))
-        rng = np.random.default_rng(SEED)
-        picks = rng.random((sets, len(rows))).argpartition(3, axis=1)[:, :4]
-        matrices = solved(rows[picks, :2], rows[picks, 2:])
-        off = (mapped(matrices, rows[:, :2]) - rows[:, 2:]) * [w, h]
-        with np.errstate(invalid="ignore"):
-            agree = (np.hypot(off[..., 0], off[..., 1]) <= THRESHOLD).sum(axis=1)
+        picks = _picks(len(rows), sets)
+        points, targets = rows[picks, :2], rows[picks, 2:]
+        matrices, fixed = framed(points, targets)
+        agree = np.where(fixed, agreeing(matrices, rows, w, h), 0)
+        if 2 * agree.max() < len(rows):  # else no map of a set in a line, which leaves the rest of the plane open, is needed
+            matrices[~fixed] = solved(points[~fixed], targets[~fixed])
+            agree[~fixed] = agreeing(matrices[~fixed], rows, w, h)
         best = np.argsort(-agree, kind="stable")[:kept]
         pair = pa.array([table.column("pair")[0].as_py()] * len(best), table.schema.field("pair").type)
         return pa.table({"pair": pair, "hypothesis": pa.array(np.arange(len(best), dtype=np.int32)), "m": pa.array(matrices[best].reshape(-1, 9).tolist(), pa.list_(pa.float64()))})

@@ -66,3 +66,30 @@ def test_sets_of_four():
     q = np.stack([R.mapped(TRUE[None], s)[0] for s in p])
     m = R.solved(p, q)
     assert np.allclose(m / m[:, 2:, 2:], TRUE, atol=1e-6)
+
+
+def test_closed_form_of_sets_of_four():
+    rng = np.random.default_rng(3)
+    p = np.concatenate([rng.random((300, 4, 2)), rng.integers(0, 8, (300, 4, 2)) / [639 / 80, 359 / 45]])
+    q = np.stack([R.mapped(TRUE[None], s)[0] for s in p])
+    q[::5] = rng.random(q[::5].shape)  # any four targets have a map
+    m, fixed = R.framed(p, q)
+    other = R.solved(p, q)
+    line = [min(abs(np.linalg.det(np.column_stack([np.delete(s, k, axis=0), np.ones(3)]))) for k in range(4)) < 1e-12 for s in p]
+    assert (fixed == ~np.array(line)).all() and 300 < fixed.sum() < 560
+    for s, t, a, b in zip(p[fixed], q[fixed], m[fixed], other[fixed], strict=True):
+        assert np.allclose(R.mapped(a[None], s)[0], t, atol=1e-6) and np.allclose(a / np.linalg.norm(a) * np.sign((a * b).sum()), b, atol=1e-5)
+    rows = np.concatenate([p.reshape(-1, 2), q.reshape(-1, 2)], axis=1)[:100]
+    off = (R.mapped(m[fixed], rows[:, :2]) - rows[:, 2:]) * [639, 359]
+    with np.errstate(invalid="ignore"):
+        assert (np.abs(R.agreeing(m[fixed], rows, 639, 359) - (np.hypot(off[..., 0], off[..., 1]) <= 1).sum(axis=1)) <= 1).all()
+
+
+def test_grids_and_matches_in_a_line(spark):
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(8) * 80.0, np.arange(8) * 45.0))
+    there = R.mapped(TRUE[None], np.stack([x, y], axis=1) / [639, 359])[0] * [639, 359]
+    grid = np.column_stack([x, y, there]).tolist()
+    row = [[20.0 * i, 100.0, 20.0 * i + 3, 104.0] for i in range(30)]  # all in a line: still found, and too narrow
+    out = run(spark, {0: grid, 1: row})
+    assert out[0].reason is None and out[0].inliers == 64 and np.allclose(np.reshape(out[0].m, (3, 3)), TRUE, atol=1e-6)
+    assert out[1].reason == "narrow-coverage"
