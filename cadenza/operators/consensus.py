@@ -66,7 +66,7 @@ def _picks(n: int, sets: int) -> np.ndarray:
 def agreeing(matrices: np.ndarray, rows: np.ndarray, w: float, h: float) -> np.ndarray:
     """How many matches (m, 4), in shares of w and h, each of the matrices (n, 3, 3) maps to within THRESHOLD pixels."""
     n = len(matrices)
-    p = (matrices.reshape(-1, 3) @ np.stack([rows[:, 0], rows[:, 1], np.ones(len(rows))])).reshape(n, 3, -1)
+    p = (matrices.reshape(-1, 3) @ np.stack([rows[:, 0], rows[:, 1], np.ones(len(rows))])).reshape(n, 3, len(rows))
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         x, y = (p[:, 0] / p[:, 2] - rows[:, 2]) * w, (p[:, 1] / p[:, 2] - rows[:, 3]) * h
         return np.count_nonzero(x * x + y * y <= THRESHOLD * THRESHOLD, axis=1)
