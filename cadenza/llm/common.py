@@ -27,6 +27,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 #: Bits of the filter that `possible` sends to executors.
 FILTER_BITS = 1 << 24
 
+#: Bytes of an Arrow batch, where the session does not say otherwise. Rows alone bound none: 10,000 texts may take any room.
+BATCH_BYTES = 4 << 20
+
 #: Folders that this process has written between steps.
 _staged: list[str] = []
 
@@ -96,6 +99,17 @@ def configured(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold about BATCH_BYTES, unless it sets a size of its own.
+
+    It stays set, as plans are run after they are made. Tasks, their workers and the allocators of both keep the room of
+    the largest batch they have seen.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def possible(df: DataFrame, hashes: DataFrame, name: str) -> DataFrame:
     """`df` and a boolean column _possible: false where its long column `name`, a hash, is surely not in the only column of `hashes`.
 
@@ -136,6 +150,7 @@ def append_columns(
     clash = {f for f, _ in fields} & set(df.columns)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
+    bounded_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, *(T.StructField(f, t) for f, t in fields)])
     names, path = [f for f, _ in fields], name.split(".")
 

@@ -34,7 +34,7 @@ MINIMA = 256
 BANDS = 12
 ROWS = 5
 BLOCK = 512
-_CHUNK = 4096
+_CHUNK = 1024
 
 FIELDS = [("_minima", T.BinaryType()), ("_bands", T.ArrayType(T.LongType()))]
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, texts
+from .common import bounded_batches, stage, texts
 
 CAPACITY = 1024
 END_ID = 2
@@ -90,6 +90,7 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every piece of every document."""
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 

@@ -36,6 +36,8 @@ BINS = 1024
 FOLDS = 5
 THRESHOLD = 0.3
 SEED = 11
+#: Rows that are mapped at once: a row of cosines takes some times the room of its features.
+ROWS_AT_ONCE = 1024
 
 
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -51,6 +53,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
+def _parts(rows: np.ndarray) -> list[np.ndarray]:
+    return [rows[at : at + ROWS_AT_ONCE] for at in range(0, len(rows), ROWS_AT_ONCE)]
+
+
 def _features(texts: list[bytes]) -> np.ndarray:
     return np.array([features(t) for t in texts], np.float32).reshape(-1, len(FEATURES))
 
@@ -80,7 +86,7 @@ class Model:
         return np.hstack([np.rint(z * 4096) / 4096, np.ones((len(x), 1))])
 
     def ridge(self, x: np.ndarray) -> np.ndarray:
-        return self.fourier(x) @ self.weights
+        return np.concatenate([self.fourier(part) @ self.weights for part in _parts(x)] or [np.zeros(0)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None or not len(x):
@@ -111,9 +117,9 @@ def _normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
         sums = np.zeros((width, width + 1))
         for batch in batches:
             if batch.num_rows:
-                z = model.fourier(_matrix(batch.column("_x")))
                 y = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
-                sums += z.T @ np.hstack([z, y[:, None]])
+                for z, own in zip(map(model.fourier, _parts(_matrix(batch.column("_x")))), _parts(y), strict=True):
+                    sums += z.T @ np.hstack([z, own[:, None]])
         yield pa.RecordBatch.from_pydict({"slot": pa.array([TaskContext.get().partitionId() % slots], pa.int32()), "sums": [sums.tobytes()]})
 
     def merge(table: pa.Table) -> pa.Table:

@@ -9,8 +9,8 @@ connection; each link is verified all the same. At most 2,081 fingerprints can m
 A word with its mask's number takes ten bytes, and a fingerprint's ball some times the room of its text. So the
 words are dealt in PASSES passes by parities of their bits (a mask's parities tell which fingerprints need it in
 which pass: nothing is made in vain), and a pass's shuffle files are removed when its links are written. In a pass,
-words travel sorted by bucket in packed arrays; the number of buckets grows with the fingerprints, so that a task
-holds about BUCKET_WORDS words at any size. Components then join the links.
+words travel sorted by bucket in packed arrays of about ROW_WORDS words or more, so that none is large; the number of
+buckets grows with the fingerprints, so that a task holds about BUCKET_WORDS words at any size. Components then join the links.
 
 Defined cases: a null or empty text has fingerprint zero, which links like any other; fewer words than a shingle
 make one shingle; repeated rows share a fingerprint; a component whose ids are all null has a null component_id;
@@ -37,8 +37,10 @@ DISTANCE = 4
 SHINGLE = 4
 SEED = 42
 PASSES = 4
-BUCKET_WORDS = 1 << 20
-_CHUNK_WORDS = 4096 * 2081
+BUCKET_WORDS = 1 << 19
+ROW_WORDS = 256
+#: Fingerprints whose words are made at once: more where there are more buckets, so that rows keep their length.
+CHUNKS = (256, 2048)
 
 #: Multiplying by an odd number spreads words over buckets, and is undone by its inverse.
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,12 +93,16 @@ def with_fingerprint(docs: DataFrame, size: int = SHINGLE, sketched: bool = Fals
     return append_columns(docs, "text", [("_fp", T.LongType()), *(minima.FIELDS if sketched else [])], compute)
 
 
+def _chunk(bucket_bits: int, ball_size: int) -> int:
+    return min(max(CHUNKS[0], PASSES * (ROW_WORDS << bucket_bits) // ball_size), max(1, CHUNKS[1] * 2081 // ball_size))
+
+
 def _emit(step: int, bucket_bits: int, distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The words of a pass: rows (bucket, spread words, mask numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = ball(distance // 2)
-        numbers, chunk = np.arange(len(masks), dtype="<u2"), max(1, _CHUNK_WORDS // len(masks))
+        numbers, chunk = np.arange(len(masks), dtype="<u2"), _chunk(bucket_bits, len(masks))
         mask_pass = _pass_of(masks)
         for batch in batches:
             all_ = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
